@@ -206,7 +206,7 @@ def marginals(u: Units, field: Field, rounds: int = 10, damping: float = 0.5) ->
     return np.exp(norm(total))
 
 
-def find_spans(text: str | None, field: Field, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
+def find_spans(text: str | None, field: Field, sure: float = 0.5) -> tuple[list[Span], list[Span]]:
     """Found entities, and all spans: also tokens that take an entity's label over skip links with probability `sure`.
 
     Both are in the order of KINDS, then start. A token that no chain of links joins to an entity of its label is never

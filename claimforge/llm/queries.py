@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, packing, pii, quality, sharding, token_files
+from . import bpe, html_text, near_dup, packing, pii, quality, sharding, token_files
 from .common import new_path
 
 
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,5 +50,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op5_token_files, op6_bpe, op8_pii, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op8_pii, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
