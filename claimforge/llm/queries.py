@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, near_dup, packing, pii, quality, sharding, token_files
+from . import bpe, html_text, line_dup, near_dup, packing, pii, quality, sharding, token_files
 from .common import new_path
 
 
@@ -50,5 +50,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op8_pii, op9_packing)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op8_pii, op9_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

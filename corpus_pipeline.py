@@ -1,19 +1,50 @@
-"""The corpus pipeline: quality rules, line dedup, MinHash near-dedup, PII, best-fit packing."""
+"""The corpus pipeline: quality rules, line dedup, MinHash near-dedup, personal data, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
-from claimforge.llm import packing
+from claimforge.llm import line_dup, near_dup, packing, pii, quality
 from claimforge.llm.common import new_path
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.filter_quality(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go, and with them documents that have no other words."""
+    return line_dup.drop_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies stays."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    return pii.redact_pii(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in training sequences."""
     return packing.pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("personal data", redact),
+    ("best-fit packing", pack),
+]
+#: Expectation-maximisation, message passing and tokens can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
