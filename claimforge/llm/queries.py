@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dup, near_dup, packing, pii, quality, sharding, token_files
+from . import bpe, html_text, line_dup, media, near_dup, packing, pictures, pii, quality, sharding, token_files
 from .common import new_path
 
 
@@ -42,6 +42,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited copies are the query images; each is searched among all pictures and finds the one it was made from."""
+    table = pictures.media_table(_table(spark, sf_dir, "embeddings"))
+    found = media.find_copies(table.where("not is_edited"), table.where("is_edited"))
+    return found.select((-1 - F.col("query_id")).alias("query_id"), "media_id", "n_agree")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
@@ -54,5 +61,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dup.repeated_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op8_pii, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op7_media, op8_pii, op9_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
