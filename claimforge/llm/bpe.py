@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import CUT, IRREGULAR, byte_alphabet
+from .tokens import PieceCache, byte_alphabet
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,48 +57,27 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join([*pieces, trainer, normalizer])
 
 
-class _Cached(dict):
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
-
-
 class Codec:
-    """encode(text) gives decimal ids joined by a space; decode gives bytes back. Ids are the ranks."""
+    """encode(texts) gives decimal ids joined by a space for each text; decode gives a text's bytes back. Ids are the ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.split = regex.compile(pattern)
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         chars = byte_alphabet()
-        self.chars = str.maketrans(dict(enumerate(chars)))
+        table = str.maketrans(dict(enumerate(chars)))
         back = {c: b for b, c in enumerate(chars)}
-        self.bytes = {str(i): bytes([back[c] for c in self.model.id_to_piece(i + 1)]) for i in range(len(ranks))}
-        self.words = _Cached(self._word, most)
-        self.pieces = _Cached(lambda key: self._piece(key if key[0].isspace() else f" {key}"), most)
-
-    def _word(self, word: str) -> str:
-        return " ".join([str(i - 1) for i in self.model.encode(word.encode().decode("latin-1").translate(self.chars))])
-
-    def _piece(self, piece: str) -> str:
-        return " ".join(map(self.words.__getitem__, self.split.findall(piece)))
-
-    def encode(self, text: str | None) -> str:
-        """Each match of the pattern by itself. As in tokens.Encoder, pieces between lone spaces and line feeds are looked up."""
-        if not text:
-            return ""
-        if IRREGULAR.search(text):
-            first, *rest = CUT.split(text)
-            return " ".join([self._piece(first), *(self.pieces[x[1:] if x[0] == " " else x] for x in rest)])
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return " ".join([self._piece(first), *map(self.pieces.__getitem__, rest)])
+        self.bytes = {str(i): bytes([back[c] for c in model.id_to_piece(i + 1)]) for i in range(len(ranks))}
+
+        def encode_words(words: list[str]) -> list[str]:
+            ids = model.encode([w.encode().decode("latin-1").translate(table) for w in words], num_threads=1)
+            return [" ".join([str(i - 1) for i in x]) for x in ids]
+
+        self.cache = PieceCache(encode_words, regex.compile(pattern).findall, " ", "|", most)
+
+    def encode(self, texts: list[str | None]) -> list[str]:
+        """Each match of the pattern by itself; see tokens.PieceCache."""
+        return self.cache.encode(texts)
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.split(" "))) if ids else b""
@@ -117,8 +96,7 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         codec = Codec(read_ranks(ranks_path), pattern)
         for doc_ids, texts in slices(batches):
             rows = []
-            for d, text in zip(doc_ids, texts, strict=True):
-                ids = codec.encode(text)
+            for d, ids in zip(doc_ids, codec.encode(texts), strict=True):
                 back = codec.decode(ids)
                 n = ids.count(" ") + 1 if ids else 0
                 rows.append((d, n, *((hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()) if digest else ([int(x) for x in ids.split()], back))))

@@ -43,8 +43,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[list[list]]:
-    """Columns of at most `rows` rows as Python lists."""
+def columns(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[list[pa.Array]]:
+    """Columns of at most `rows` rows."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield [c.slice(at, rows).to_pylist() for c in batch.columns]
+            yield [c.slice(at, rows) for c in batch.columns]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[list[list]]:
+    """Columns of at most `rows` rows as Python lists."""
+    for own in columns(batches, rows):
+        yield [c.to_pylist() for c in own]

@@ -56,13 +56,8 @@ def order_sketches(own: np.ndarray, n_sketches: int, size: int) -> list[int]:
     """For each of n_sketches orders, a hash of the `size` smallest occurrence-labelled shingles in the order of the text."""
     if not len(own):
         return []
-    order = np.argsort(own, kind="stable")
-    ranked = own[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-    label = np.empty_like(own)
+    label = labelled_shingles(own)
     with np.errstate(over="ignore"):
-        label[order] = mix(ranked + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         out, take = [], min(size, len(own))
         for s in range(n_sketches):
             seed = np.uint64((s + 1) * 0xA0761D6478BD642F & (2**64 - 1))
@@ -162,6 +157,45 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
+def labelled_shingles(own: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrence numbers worked in: a multiset becomes a set."""
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(own) else np.zeros(0, bool)
+    nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+    label = np.empty_like(own)
+    with np.errstate(over="ignore"):
+        label[order] = mix(ranked + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return label
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of keys of different components that can be similar, by exact prefix, length and positional filters.
+
+    Texts whose labelled shingles overlap enough share one of their rarest; a text with many shingles of its own, such
+    as an edited copy that is too far from the others, has no common one in its prefix and meets none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for keys, own in slices(batches, 64):
+            labels = [labelled_shingles(shingles(t, hashes)).view(np.int64) for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tolist() for x in labels], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    own = texts.join(left.select("key"), "key", "left_semi").select("key", "text").mapInArrow(run, "key binary, shingles array<long>")
+    rows = stage_table(own.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    rare = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
+    ranked = rows.join(rare, "shingle").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("order"))
+    prefix = F.slice("order", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    entries = ranked.select("key", "n", F.posexplode(prefix).alias("place", "x")).where("x.texts > 1").select("key", "n", "place", F.col("x.shingle").alias("shingle"))
+    entries = stage_table(entries.join(left, "key"), "prefixes")
+    x, y = entries.alias("x"), entries.alias("y")
+    overlap = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (overlap >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, n_sketches: int = 24, sketch_size: int = 3) -> DataFrame:
     """One row per document: doc_id, key (of its text), class_id (the smallest doc_id of its class), n_class (documents in it).
 
@@ -170,9 +204,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sketches: at a similarity of 0.8 a pair misses all 24 once in 30 million times.
 
     In a bucket of texts with one sketch, texts are first compared with one of them, then, where the bucket still
-    holds several classes, with two others, and at last every two texts of different classes in it are compared, if
-    they agree in two sketches and their lengths allow it. So a large group of copies costs few comparisons, and every
-    two texts in a bucket end up in one class or are compared. Buckets are only aggregated and joined, never gathered.
+    holds several classes, with two others. What then are different classes of a bucket is joined exactly: on the rarest
+    shingles of each text, with length and positional filters. So a large group of copies costs few comparisons, and
+    every two texts in a bucket end up in one class or are known to differ. Buckets are only aggregated and joined, never gathered.
 
     A null text counts as empty; empty texts are copies of each other. Null ids come last in the choice of class_id.
     Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
@@ -205,13 +239,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # whatever two classes of a bucket are left
     again = _labelled(members.drop("center"), labels)
     open_buckets = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = stage_table(again.join(open_buckets, "bucket", "left_semi").join(distinct, "key"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    agree = F.size(F.array_intersect("x.sketches", "y.sketches")) >= F.lit(min(2, n_sketches))
-    fits = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & fits & agree)
-    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    links = links.union(stage_table(_verified(stage_table(pairs, "pairs"), texts, least), "verified"))
+    left = again.join(open_buckets, "bucket", "left_semi").select("key", "component").distinct()
+    pairs = stage_table(_prefix_pairs(left, texts, least).join(done, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(stage_table(_verified(pairs, texts, least), "verified"))
     labels = components(links)
 
     classes = _labelled(sketched.select("doc_id", "key"), labels)

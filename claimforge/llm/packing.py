@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stage_table
+from .common import columns, partitions, stage_table
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,10 +60,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
-        for doc_ids, texts in slices(batches):
+        for doc_ids, texts in columns(batches, 2048):
             rows = []
-            for d, text in zip(doc_ids, texts, strict=True):
-                ids = memoryview(encoder.encode(text) + end)
+            for d, own in zip(doc_ids.to_pylist(), encoder.encode(texts), strict=True):
+                ids = memoryview(own + end)
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stage_table
+from .common import columns, partitions, slices, stage_table
 from .tokens import Encoder
 
 MAGIC, BLOCK = b"PFR1", 256
@@ -154,9 +154,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                 seq, size = seq + 1, 0
                 doc_ids.clear(), counts.clear(), held.seek(0), held.truncate()
 
-        for ids, texts in slices(batches):
-            for d, text in zip(ids, texts, strict=True):
-                own = encoder.encode(text) + end
+        for ids, texts in columns(batches, 2048):
+            for d, own in zip(ids.to_pylist(), encoder.encode(texts), strict=True):
+                own += end
                 held.write(own)
                 doc_ids.append(d)
                 counts.append(len(own) // 4)

@@ -1,20 +1,25 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, fast enough for a whole corpus.
 
-A text is cut before each space or line feed that stands alone between two other characters. The pre-tokenizer of
+A text is cut before each space or line feed, if each stands alone between two other characters. The pre-tokenizer of
 byte-level BPE always cuts there as well, so the pieces can be encoded one by one and kept in a bounded cache: words
-repeat, and most pieces are looked up rather than encoded.
+repeat, and most pieces are looked up rather than encoded. Texts with other white space are split by the pattern.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S\n ]")
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: As is_regular(), for Arrow: the white space of Python besides space and line feed, or two of these in a row or at an end.
+IRREGULAR = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+RARE_SPACE = re.compile(r"[^\S\n ]")
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -26,58 +31,150 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-class _Words(dict):
-    """Ids of a pre-token, as little-endian unsigned 32-bit integers."""
+def is_regular(text: str) -> bool:
+    """Whether white space is only single spaces and line feeds between other characters."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or RARE_SPACE.search(text))
 
-    def __init__(self, model, most: int):
-        super().__init__()
-        self.model, self.most = model, most
-        self.chars = str.maketrans(dict(enumerate(byte_alphabet())))
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))])
-        out = self[word] = ids.tobytes()
-        return out
 
+class PieceCache:
+    """Encodes texts piece by piece, with what encode_words makes of a list of pre-tokens: values that glue.join() joins.
 
-class _Pieces(dict):
-    """Ids of ' ' + key, or of the key itself where it starts with white space."""
+    mark is a value that no pre-token has; it keeps the pieces apart while new ones are split by one pass of the pattern.
+    Of up to 2 * most pieces and as many pre-tokens, those met lately are kept.
+    """
 
-    def __init__(self, words: _Words, most: int):
-        super().__init__()
-        self.words, self.most = words, most
+    def __init__(self, encode_words: Callable[[list[str]], list], split: Callable[[str], list[str]], glue: str | bytes, mark: str | bytes, most: int):
+        self.encode_words, self.split, self.glue, self.mark, self.most = encode_words, split, glue, mark, most
+        self.feed = encode_words(["\n"])[0]
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
+
+    def _learn_words(self, words: set[str]) -> None:
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
+        new = words.difference(self.words)
+        old = self.old_words
+        self.words.update([(w, old[w]) for w in new if w in old])
+        new = list(new.difference(old))
+        if new:
+            self.words.update(zip(new, self.encode_words(new), strict=True))
+
+    def make(self, keys: list[str]) -> list:
+        """Values of keys. A key stands for a space and the key, or for itself where it starts with a line feed."""
+        spaced, fed = [], []
+        for k, key in enumerate(keys):
+            (fed if key[0] == "\n" else spaced).append(k)
+        flat = self.split("\n".join([*(f" {keys[k]}" for k in spaced), *(keys[k][1:] for k in fed)]))
+        self._learn_words({w for w in set(flat) if w != "\n"})
+        get = self.words.__getitem__
+        values = self.glue.join([self.mark if w == "\n" else get(w) for w in flat]).split(self.glue + self.mark + self.glue)
+        out = [self.mark] * len(keys)
+        for k, v in zip([*spaced, *fed], values, strict=True):
+            out[k] = v
+        for k in fed:
+            out[k] = self.glue.join([self.feed, out[k]])
+        return out
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        piece = key if key[0].isspace() else f" {key}"
-        out = self[key] = b"".join(map(self.words.__getitem__, SPLIT.findall(piece)))
+    def _learn(self, keys: set[str]) -> None:
+        if len(self.pieces) > self.most:
+            self.pieces, self.old_pieces = {}, self.pieces
+        new = keys.difference(self.pieces)
+        old = self.old_pieces
+        self.pieces.update([(k, old[k]) for k in new if k in old])
+        missing = list(new.difference(old))
+        if missing:
+            self.pieces.update(zip(missing, self.make(missing), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list:
+        """The value of each text; an empty or null one has an empty value."""
+        keys, whole, need = [], {}, set()
+        for i, text in enumerate(texts):
+            own: list[str] = []
+            if text and not is_regular(text):
+                whole[i] = self.split(text)
+            elif text:
+                first, *own = text.replace("\n", " \n").split(" ")
+                own = [f"\n{first}", *own]
+                need.update(own)
+            keys.append(own)
+        self._learn(need)
+        self._learn_words({w for x in whole.values() for w in x})
+        get, skip, out = self.pieces.__getitem__, len(self.feed) + len(self.glue), []
+        for i, own in enumerate(keys):
+            if i in whole:
+                out.append(self.glue.join(map(self.words.__getitem__, whole[i])))
+            else:
+                out.append(self.glue.join(map(get, own))[skip:])
         return out
 
 
 class Encoder:
-    """encode(text) gives the ids, little-endian unsigned 32-bit, that tokenizers.Tokenizer gives without special tokens.
+    """encode(texts) gives the ids, little-endian unsigned 32-bit, that tokenizers.Tokenizer gives without special tokens.
 
     Strings of special tokens in a text are ordinary text. path names a byte-level BPE tokenizer file without a normalizer.
+    Arrow cuts texts into pieces and finds them among some `most` known ones; Python sees only new pieces.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 600_000):
         found = Tokenizer.from_file(path)
         if found.normalizer is not None or "ByteLevel" not in str(found.pre_tokenizer):
             raise ValueError("a byte-level BPE tokenizer without a normalizer is needed")
-        self.words = _Words(found.model, most)
-        self.pieces = _Pieces(self.words, most)
-        self.feed = self.words["\n"]
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if IRREGULAR.search(text):
-            first, *rest = CUT.split(text)
-            head = b"".join(map(self.words.__getitem__, SPLIT.findall(first)))
-            return head + b"".join([self.pieces[x[1:] if x[0] == " " else x] for x in rest])
-        keys = f"\n{text}".replace("\n", " \n").split(" ")
-        keys[0] = keys[1]
-        return b"".join(map(self.pieces.__getitem__, keys[1:]))[len(self.feed) :]
+        tokenize, alphabet = found.model.tokenize, dict(enumerate(byte_alphabet()))
+        chars, but_feed = str.maketrans(alphabet), str.maketrans({b: c for b, c in alphabet.items() if b != 10})
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            joined = "\n".join(words).encode().decode("latin-1").translate(but_feed).split("\n")
+            if len(joined) != len(words):  # words with line feeds
+                joined = [w.encode().decode("latin-1").translate(chars) for w in words]
+            return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in joined]
+
+        self.cache = PieceCache(encode_words, SPLIT.findall, b"", b"\xff\xff\xff\xff", most)
+        self.most, self.round = most, 0
+        # known pieces, first the empty one; their ids; the round in which each was met last
+        self.keys = pa.array([""], pa.large_string())
+        self.ids = pa.array([[]], pa.large_list(pa.uint32()))
+        self.met = np.zeros(1, np.int64)
+
+    def _slots(self, pieces: pa.Array) -> pa.Array:
+        """Places of different pieces among the known ones; new ones are made known, and the longest unmet forgotten."""
+        self.round += 1
+        if len(self.keys) > self.most:
+            least = np.partition(self.met[1:], len(self.met) // 2)[len(self.met) // 2]
+            keep = self.met >= least
+            keep[0] = True
+            self.keys, self.ids, self.met = self.keys.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.met[keep]
+        slots = pc.index_in(pieces, value_set=self.keys)
+        unknown = slots.is_null()
+        new = pieces.filter(unknown)
+        if len(new):
+            values = self.cache.make(new.to_pylist())
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4)])
+            own = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), "<u4")))
+            slots = pc.replace_with_mask(slots, unknown, pa.array(np.arange(len(self.keys), len(self.keys) + len(new), dtype=np.int32)))
+            self.keys, self.ids = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.ids, own])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[slots.to_numpy()] = self.round
+        return slots
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        rest = np.flatnonzero(odd)
+        for i, own in zip(rest.tolist(), self.cache.encode(texts.take(pa.array(rest)).to_pylist()), strict=True):
+            out[i] = own
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        # " \nfirst second \nthird": the piece before the first space is empty, and the first line feed's id goes
+        fed = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts.take(pa.array(plain)), pa.scalar("", pa.large_string()))
+        lists = pc.split_pattern(pc.replace_substring(fed, "\n", " \n"), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        slots = self._slots(coded.dictionary).take(coded.indices)
+        found = self.ids.take(slots)
+        ids = found.values.to_numpy()
+        ends = found.offsets.to_numpy()[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        feed = len(self.cache.feed) // 4
+        for i, start, end in zip(plain.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = ids[start + feed : end].tobytes()
+        return out
