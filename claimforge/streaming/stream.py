@@ -31,8 +31,9 @@ def stream_session_window(turns: DataFrame, key: str, ts: str, gap: str = "30 mi
     return own.agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_token_bucket(events: DataFrame, key: str, ts: str, order: str, rate: float, burst: float, cost: float = 1.0, idle: str = "1 hour") -> DataFrame:
-    """Whether each request is accepted, with the bucket of a key as state that expires when the key is idle.
+def stream_token_bucket(events: DataFrame, key: str, ts: str, order: str, rate: float, burst: float, cost: float = 1.0, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Whether each request is accepted, with the bucket of a key as state. It expires when the watermark
+    has passed the key's last request by `idle`.
 
     Inside a micro-batch requests are taken in the order (ts, order); a later batch's requests follow.
     """
@@ -52,12 +53,12 @@ def stream_token_bucket(events: DataFrame, key: str, ts: str, order: str, rate:
             ok.append(tokens >= cost)
             tokens -= cost if ok[-1] else 0
         state.update((tokens, last))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: own[key], ts: own[ts], order: own[order], "accepted": ok})
 
     kinds = dict(events.dtypes)
     schema = f"{key} {kinds[key]}, {ts} {kinds[ts]}, {order} {kinds[order]}, accepted boolean"
-    return events.select(key, ts, order).groupBy(key).applyInPandasWithState(step, schema, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, ts, order).withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, schema, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def insert_batches(stream: DataFrame, store: str, checkpoint: str, text: str = "fact"):
