@@ -12,23 +12,25 @@ from claimforge.functions.text import char_ngrams, squeeze, word_array
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, least: float, name: str) -> DataFrame:
-    """(gram, id, n) for the rarest grams of each set that any similar set must share one of."""
+    """(gram, id, n, shared) for the rarest grams of each set, of which any similar set must share at least `shared`."""
     rows = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(ranks, "gram")
     order = Window.partitionBy("id").orderBy("df", "gram")
-    ranked = rows.withColumn("_r", F.row_number().over(order))
-    return ranked.where(F.col("_r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("gram", F.col("id").alias(name), F.col("n").alias(f"{name}_n"))
+    overlap = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    ranked = rows.withColumn("_r", F.row_number().over(order)).withColumn("_s", F.greatest(F.lit(1), F.least(F.lit(4), overlap)))
+    return ranked.where(F.col("_r") <= F.col("n") - overlap + F.col("_s")).select("gram", F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("_s").alias(f"{name}_s"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """All pairs (left_id, right_id, similarity) of sets (id, grams) whose Jaccard similarity is `least` or more.
 
-    Sets share one of their rarest grams or can't be similar enough, and their sizes are close; only such pairs are
+    Sets share several of their rarest grams or can't be similar enough, and their sizes are close; only such pairs are
     compared. Common grams stand last in every set and are hardly ever joined.
     """
     ranks = left.select(F.explode("grams").alias("gram")).unionAll(right.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("df"))
     a, b = _prefixes(left, ranks, least, "left_id"), _prefixes(right, ranks, least, "right_id")
     near = F.least("left_id_n", "right_id_n") >= least * F.greatest("left_id_n", "right_id_n")
-    pairs = a.join(b, "gram").where(near).select("left_id", "right_id").distinct()
+    counted = a.join(b, "gram").where(near).groupBy("left_id", "right_id", F.least("left_id_s", "right_id_s").alias("_s")).agg(F.count("*").alias("_c"))
+    pairs = counted.where(F.col("_c") >= F.col("_s")).select("left_id", "right_id")
     pairs = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("_x")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("grams").alias("_y")), "right_id")
     both = F.size(F.array_intersect("_x", "_y"))
     return pairs.withColumn("similarity", both / (F.size("_x") + F.size("_y") - both)).where(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
