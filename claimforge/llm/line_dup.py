@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from .near_dup import WordHashes, mix
 #: Slots of the table of word numbers, 2 ** SLOT_BITS of one byte each, whatever the corpus.
 SLOT_BITS = 22
 _PAGE = 1 << 12
-#: Rare words that two sets must share to be compared; prefixes are longer by as many less one. Fewer where min_words is small.
+#: Rare words that two sets must share to be compared; prefixes are longer by as many less one. Small sets share fewer.
 SHARED = 4
 LINES = "doc_id long, line int, k1 long, k2 long, n int, tokens array<long>, places array<int>"
 
@@ -68,8 +67,11 @@ def rarity_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return levels
 
 
-def _lines(docs: DataFrame, levels: np.ndarray, least: float, min_words: int, shared_words: int) -> DataFrame:
-    """Each line of min_words words or more: a key of its word set, its size, and the rare words of its prefix with their places."""
+def _lines(docs: DataFrame, levels: np.ndarray, least: float, min_words: int) -> DataFrame:
+    """Each line of min_words words or more: a key of its word set, its size, and the rare words of its prefix with their places.
+
+    A set so small that only an equal one is similar has no prefix: equal sets are found by their keys.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +100,8 @@ def _lines(docs: DataFrame, levels: np.ndarray, least: float, min_words: int, sh
             with np.errstate(over="ignore"):
                 k1, k2 = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ np.uint64(0x94D049BB133111EB)), first)
             place = np.arange(len(h)) - first[at]
-            prefix = n - np.ceil(least * n - 1e-9).astype(int) + shared_words
+            both = np.ceil(least * n - 1e-9).astype(int)  # words that a similar set has at least
+            prefix = np.where(n >= least * (n + 1) - 1e-9, n - both + np.minimum(SHARED, np.maximum(both, 1)), 0)
             take = (place < prefix[at]) & (rare > 0) & (n[at] >= min_words)  # a word that occurs once joins nothing
             ends = np.concatenate([[0], np.cumsum(np.bincount(at[take], minlength=len(sizes)))]).astype(np.int32)
             columns = [
@@ -117,6 +120,11 @@ def _can_reach(least: float, n: Column, m: Column, i: Column, j: Column) -> Colu
     return (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (most >= least / (1 + least) * (n + m) - 1e-9)
 
 
+def _shared(least: float, n: Column, m: Column) -> Column:
+    """Prefix words that similar sets of n and m words share at least."""
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(least * F.least(n, m) - 1e-9)))
+
+
 def _jaccard_pairs(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Of the pairs (a later set, an earlier one) those whose lines are similar; docs has doc_id and text."""
     need = pairs.select("a.*").union(pairs.select("b.*")).distinct()
@@ -147,31 +155,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines are cut at line feeds and counted from 0; they stand in the order of (doc_id, line), a null id first. A line
     repeats an earlier one if the Jaccard similarity of their sets of words (runs without ASCII white space) is `least`
     or more, whether or not that one is itself repeated. Lines of fewer than min_words different words are left alone
-    and match nothing. A null text has no lines. Rows with equal ids count as one document. An empty table gives an
+    and match nothing; with 1, these are only the lines without words. A null text has no lines. Rows with equal ids count as one document. An empty table gives an
     empty result. Other columns are not read.
 
     Lines with one set of words are compared once, at the first of them. A set's words are ordered by rarity; similar
-    sets share several words of their prefixes. Every set is first compared with the earliest sets that have two of its
+    sets share several words of their prefixes, small ones all of the smaller set's. Every set is first compared with the earliest sets that have two of its
     words, which settles most members of a large group; only sets that are still unmatched are compared with every other
     earlier set that shares enough words, so nothing is missed. Words that occur once are never shuffled.
     """
-    shared = max(1, min(SHARED, math.ceil(least * min_words - 1e-9)))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = stage_table(_lines(own, rarity_levels(own), least, min_words, shared), "lines")
+    lines = stage_table(_lines(own, rarity_levels(own), least, min_words), "lines")
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first(F.arrays_zip("tokens", "places")).alias("prefix"))
     sets = stage_table(sets, "sets")
     postings = sets.select("at", "n", F.explode("prefix").alias("p")).select("at", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
     heads = postings.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("at", "n", "place")).alias("head")).where("sets > 1").drop("sets")
     postings = stage_table(postings.join(heads, "token"), "postings")
     first = postings.where((F.col("head.at") < F.col("at")) & _can_reach(least, F.col("n"), F.col("head.n"), F.col("place"), F.col("head.place")))
-    first = first.groupBy(F.col("at").alias("a"), F.col("head.at").alias("b")).agg(F.count("*").alias("words"))
-    first = stage_table(first.where(F.col("words") >= F.lit(min(2, shared))).drop("words"), "pairs")
+    first = first.groupBy(F.col("at").alias("a"), F.col("head.at").alias("b")).agg(F.count("*").alias("words"), F.first(_shared(least, F.col("n"), F.col("head.n"))).alias("shared"))
+    first = stage_table(first.where(F.col("words") >= F.least(F.lit(2), F.col("shared"))).drop("words", "shared"), "pairs")
     found = stage_table(_jaccard_pairs(first, own, least), "similar")
     # sets that the earliest ones don't match: every other earlier set that shares a prefix word
     x = postings.drop("head").join(found.select(F.col("a").alias("at")).distinct(), "at", "left_anti").alias("x")
     y = postings.drop("head").alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at")) & _can_reach(least, F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")))
-    rest = rest.groupBy(F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count("*").alias("words")).where(F.col("words") >= shared).drop("words").join(first, ["a", "b"], "left_anti")
+    rest = rest.groupBy(F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count("*").alias("words"), F.first(_shared(least, F.col("x.n"), F.col("y.n"))).alias("shared"))
+    rest = rest.where(F.col("words") >= F.col("shared")).drop("words", "shared").join(first, ["a", "b"], "left_anti")
     found = found.union(stage_table(_jaccard_pairs(stage_table(rest, "pairs"), own, least), "similar"))
 
     earliest = found.groupBy("a").agg(F.min("b").alias("b"))

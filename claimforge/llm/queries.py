@@ -58,7 +58,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return line_dup.repeated_lines(_table(spark, sf_dir, "documents"), min_words=1)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op7_media, op8_pii, op9_packing, op10_line_dedup)}

@@ -5,6 +5,7 @@ import itertools
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimforge.llm import bpe, html_text, line_dup, media, near_dup, packing, pictures, pii, quality, sharding, token_files, tokens
+from claimforge.llm import queries as llm_queries
 from claimforge.llm.common import new_path
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -212,6 +214,28 @@ def test_repeated_lines_equal_brute_force(spark):
     assert line_dup.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_short_repeated_lines_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pool = [f"w{k}" for k in range(7)]
+    lines = [" ".join(rng.choice(pool, rng.integers(0, 9))) for _ in range(300)] + ["short line", "line short", "x", "x", "", "a b c d", "a b c d e", "a b c", BASE, BASE]
+    texts = {i: "\n".join(lines[i::6]) for i in range(6)} | {6: None, 7: "", 8: "x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for least in (0.8, 0.5):
+        seen, want = [], set()
+        for i in sorted(texts):
+            for k, x in enumerate((texts[i] or "").split("\n")):
+                if w := set(x.split()):
+                    if any(len(w & v) >= least * len(w | v) - 1e-9 for v in seen):
+                        want.add((i, k))
+                    seen.append(w)
+        got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in line_dup.repeated_lines(df, least=least, min_words=1).collect()}
+        assert got.keys() == want and all(m < at for at, m in got.items())
+    monkeypatch.setattr(llm_queries, "_table", lambda *_: df)
+    query = {(r.doc_id, r.line) for r in llm_queries.op10_line_dedup(spark, "").collect()}
+    assert {(8, 0)} < query  # lines of one word are in the query's result
+    assert 8 not in {r.doc_id for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+
+
 def test_pii(spark):
     text = "Mail a.b@mail.example.com or call +1 (243) 555-5526. Card 4111 1111 1111 1111, not 4111111111111112x; ip 10.0.0.1 and 10.0.0.999"
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", "a.b@mail.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (243) 555-5526")]
