@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python worker turns into Python objects at once; long texts stay few in memory.
@@ -14,9 +16,15 @@ SLICE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a fresh local folder; on a cluster executors would not see each other's files
+    there, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +58,18 @@ def columns(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[li
             yield [c.slice(at, rows) for c in batch.columns]
 
 
+def sized(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = 4096, most: int = 16 << 20) -> Iterator[list[pa.Array]]:
+    """Columns of at most `rows` rows and about `most` bytes in the column of place `text`; a longer text comes alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = max(1, min(rows, int(np.searchsorted(ends, before + most, "right")) - at))
+            yield [c.slice(at, n) for c in batch.columns]
+            at += n
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[list[list]]:
     """Columns of at most `rows` rows as Python lists."""
     for own in columns(batches, rows):

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, stage_table
-from .tokens import Encoder
+from .common import partitions, sized, stage_table
+from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, low long, high long, first_sequence long, offset long"
@@ -59,10 +59,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: st
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
-        for doc_ids, texts in columns(batches, 2048):
+        own_encoder, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        for doc_ids, texts in sized(batches):
             rows = []
-            for d, own in zip(doc_ids.to_pylist(), encoder.encode(texts), strict=True):
+            for d, own in zip(doc_ids.to_pylist(), own_encoder.encode(texts), strict=True):
                 ids = memoryview(own + end)
                 n = len(ids) // 4
                 at, k = 0, 0

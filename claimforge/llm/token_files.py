@@ -26,8 +26,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, slices, stage_table
-from .tokens import Encoder
+from .common import partitions, sized, slices, stage_table
+from .tokens import encoder
 
 MAGIC, BLOCK = b"PFR1", 256
 HEADER = struct.Struct("<4sIIQQQ")
@@ -122,7 +122,7 @@ def parse_file(data: bytes, step: int = 2048) -> Iterator[tuple[int | None, np.n
         yield (d if ok else None), ids[end - n : end]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = 4_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = 2_000_000) -> DataFrame:
     """Encodes the documents and writes their ids in ascending order of id into files under `path`; returns the manifest.
 
     tokenizer is the path of a byte-level BPE file on every node. Null ids come first, and equal ids by text. A null text
@@ -138,7 +138,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        own_encoder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part, store, root = TaskContext.get().partitionId(), *fs.FileSystem.from_uri(path)
         rows, seq = [], 0
         doc_ids, counts, held, size = [], [], io.BytesIO(), 0
@@ -154,8 +154,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                 seq, size = seq + 1, 0
                 doc_ids.clear(), counts.clear(), held.seek(0), held.truncate()
 
-        for ids, texts in columns(batches, 2048):
-            for d, own in zip(ids.to_pylist(), encoder.encode(texts), strict=True):
+        for ids, texts in sized(batches):
+            for d, own in zip(ids.to_pylist(), own_encoder.encode(texts), strict=True):
                 own += end
                 held.write(own)
                 doc_ids.append(d)

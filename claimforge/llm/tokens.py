@@ -8,8 +8,9 @@ repeat, and most pieces are looked up rather than encoded. Texts with other whit
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,74 +108,128 @@ class PieceCache:
         return out
 
 
-class Encoder:
-    """encode(texts) gives the ids, little-endian unsigned 32-bit, that tokenizers.Tokenizer gives without special tokens.
+class IdTable:
+    """Known strings and their ids, as Arrow arrays of at most some `most` bytes; those not met longest go first.
 
-    Strings of special tokens in a text are ordinary text. path names a byte-level BPE tokenizer file without a normalizer.
-    Arrow cuts texts into pieces and finds them among some `most` known ones; Python sees only new pieces.
+    make(strings) gives the ids of new strings as a large_list<uint32>. The first entry is the empty string without ids.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
-        found = Tokenizer.from_file(path)
-        if found.normalizer is not None or "ByteLevel" not in str(found.pre_tokenizer):
-            raise ValueError("a byte-level BPE tokenizer without a normalizer is needed")
-        tokenize, alphabet = found.model.tokenize, dict(enumerate(byte_alphabet()))
-        chars, but_feed = str.maketrans(alphabet), str.maketrans({b: c for b, c in alphabet.items() if b != 10})
-
-        def encode_words(words: list[str]) -> list[bytes]:
-            joined = "\n".join(words).encode().decode("latin-1").translate(but_feed).split("\n")
-            if len(joined) != len(words):  # words with line feeds
-                joined = [w.encode().decode("latin-1").translate(chars) for w in words]
-            return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in joined]
-
-        self.cache = PieceCache(encode_words, SPLIT.findall, b"", b"\xff\xff\xff\xff", most)
-        self.most, self.round = most, 0
-        # known pieces, first the empty one; their ids; the round in which each was met last
+    def __init__(self, make: Callable[[pa.Array], pa.Array], most: int):
+        self.make, self.most, self.round = make, most, 0
         self.keys = pa.array([""], pa.large_string())
         self.ids = pa.array([[]], pa.large_list(pa.uint32()))
         self.met = np.zeros(1, np.int64)
 
-    def _slots(self, pieces: pa.Array) -> pa.Array:
-        """Places of different pieces among the known ones; new ones are made known, and the longest unmet forgotten."""
+    def slots(self, keys: pa.Array) -> pa.Array:
+        """Places of different strings among the known ones; they hold until the next call."""
         self.round += 1
-        if len(self.keys) > self.most:
+        if self.keys.nbytes + self.ids.nbytes > self.most:
             least = np.partition(self.met[1:], len(self.met) // 2)[len(self.met) // 2]
-            keep = self.met >= least
+            keep = self.met > least if least < self.round - 1 else np.arange(len(self.met)) % 2 == 0
             keep[0] = True
             self.keys, self.ids, self.met = self.keys.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.met[keep]
-        slots = pc.index_in(pieces, value_set=self.keys)
+        slots = pc.index_in(keys, value_set=self.keys)
         unknown = slots.is_null()
-        new = pieces.filter(unknown)
+        new = keys.filter(unknown)
         if len(new):
-            values = self.cache.make(new.to_pylist())
-            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4)])
-            own = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), "<u4")))
             slots = pc.replace_with_mask(slots, unknown, pa.array(np.arange(len(self.keys), len(self.keys) + len(new), dtype=np.int32)))
-            self.keys, self.ids = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.ids, own])
+            self.ids = pa.concat_arrays([self.ids, self.make(new)])
+            self.keys = pa.concat_arrays([self.keys, new])
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
         self.met[slots.to_numpy()] = self.round
         return slots
 
+    def lists(self, keys: pa.Array) -> pa.Array:
+        """The ids of every string, which may repeat."""
+        coded = pc.dictionary_encode(keys)
+        slots = self.slots(coded.dictionary)
+        return self.ids.take(slots.take(coded.indices))
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
+def _nested(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(ends.astype(np.int64)), pa.array(values))
+
+
+class Encoder:
+    """encode(texts) gives the ids, little-endian unsigned 32-bit, that tokenizers.Tokenizer gives without special tokens added.
+
+    The string of a special token in a text becomes that token's id, as the library does by default; with
+    specials_as_text it is ordinary text. path names a byte-level BPE tokenizer file without a normalizer. Arrow cuts
+    texts into pieces and finds them among known ones; Python sees only new pieces, and the library's model new words.
+    """
+
+    def __init__(self, path: str, most: int = 32 << 20, specials_as_text: bool = False):
+        self.library = Tokenizer.from_file(path)
+        if self.library.normalizer is not None or "ByteLevel" not in str(self.library.pre_tokenizer):
+            raise ValueError("a byte-level BPE tokenizer without a normalizer is needed")
+        self.library.encode_special_tokens = specials_as_text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if not (specials_as_text and t.special)]
+        self.added = "|".join(map(re.escape, added))
+        tokenize, alphabet = self.library.model.tokenize, dict(enumerate(byte_alphabet()))
+        chars, but_feed = str.maketrans(alphabet), str.maketrans({b: c for b, c in alphabet.items() if b != 10})
+
+        def encode_words(words: pa.Array) -> pa.Array:
+            words = _strings(words)
+            joined = "\n".join(words).encode().decode("latin-1").translate(but_feed).split("\n")
+            if len(joined) != len(words):  # words with line feeds
+                joined = [w.encode().decode("latin-1").translate(chars) for w in words]
+            found = [[t.id for t in tokenize(w)] for w in joined]
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            return _nested(ends, np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1])))
+
+        self.words = IdTable(encode_words, most // 2)
+        self.pieces = IdTable(self._encode_pieces, most // 2)
+        self.feed = tokenize("\n".encode().decode("latin-1").translate(chars))[0].id
+
+    def _encode_pieces(self, pieces: pa.Array, step: int = 250_000) -> pa.Array:
+        """A piece stands for a space and itself, or for itself where it starts with a line feed. None holds other white space."""
+        out = []
+        for at in range(0, len(pieces), step):
+            own = pieces.slice(at, step)
+            fed = pc.starts_with(own, "\n")
+            found = []
+            for part, sign in ((own.filter(pc.invert(fed)), "\n "), (own.filter(fed), "")):
+                if not len(part):
+                    continue
+                # every piece follows a line feed, whose id belongs to the piece or goes
+                flat = pa.array(SPLIT.findall(sign + sign.join(_strings(part))), pa.large_string())
+                feeds = np.flatnonzero(pc.equal(flat, "\n").to_numpy(zero_copy_only=False))
+                lists = self.words.lists(pc.if_else(pc.equal(flat, "\n"), "", flat) if sign else flat)
+                ends = lists.offsets.to_numpy()
+                found.append(_nested(np.append(ends[feeds], ends[-1]) - ends[0], lists.values.to_numpy()[ends[0] : ends[-1]]))
+            places = np.concatenate([np.flatnonzero(~fed.to_numpy(zero_copy_only=False)), np.flatnonzero(fed.to_numpy(zero_copy_only=False))])
+            out.append(pa.concat_arrays(found).take(pa.array(np.argsort(places))))
+        return pa.concat_arrays(out)
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; a null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
-        rest = np.flatnonzero(odd)
-        for i, own in zip(rest.tolist(), self.cache.encode(texts.take(pa.array(rest)).to_pylist()), strict=True):
-            out[i] = own
-        plain = np.flatnonzero(~odd)
+        special = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        for i in np.flatnonzero(special).tolist():
+            out[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False) & ~special
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.words.lists(pa.array(SPLIT.findall(texts[i].as_py()), pa.large_string())).flatten().to_numpy().tobytes()
+        plain = np.flatnonzero(~odd & ~special)
         if not len(plain):
             return out
         # " \nfirst second \nthird": the piece before the first space is empty, and the first line feed's id goes
         fed = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts.take(pa.array(plain)), pa.scalar("", pa.large_string()))
         lists = pc.split_pattern(pc.replace_substring(fed, "\n", " \n"), " ")
-        coded = pc.dictionary_encode(lists.flatten())
-        slots = self._slots(coded.dictionary).take(coded.indices)
-        found = self.ids.take(slots)
-        ids = found.values.to_numpy()
-        ends = found.offsets.to_numpy()[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        feed = len(self.cache.feed) // 4
+        found = self.pieces.lists(lists.flatten())
+        ids, starts = found.values.to_numpy(), found.offsets.to_numpy()
+        ends = starts[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         for i, start, end in zip(plain.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out[i] = ids[start + feed : end].tobytes()
+            out[i] = ids[start + 1 : end].tobytes()
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which its tasks share: the tokenizer is loaded once, and known pieces stay known."""
+    return Encoder(path)

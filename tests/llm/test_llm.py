@@ -32,14 +32,20 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def ids():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in TEXTS]
 
 
 def test_encoder_equals_the_library(ids):
-    encoder = tokens.Encoder(JSON, most=5)
+    encoder = tokens.Encoder(JSON, most=500)
     for _ in range(2):
         assert encoder.encode(pa.array(TEXTS)) == [x[:-1].tobytes() for x in ids]
+    library = Tokenizer.from_file(JSON)
+    rng, parts = np.random.default_rng(4), ["a", "the", " ", " ", "\n", "\n", "\t", "'s", ".", "!", "é", "日本", "23", "<|endoftext|>", "\u00a0", "\r\n", "  ", "_"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(2000)]
+    for plain in (False, True):
+        library.encode_special_tokens = plain
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert tokens.Encoder(JSON, specials_as_text=plain).encode(pa.array(texts)) == want
 
 
 def test_bpe_model_equals_tiktoken(spark, docs):
