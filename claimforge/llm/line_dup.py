@@ -5,198 +5,141 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage_table
-from .near_dup import WordHashes, mix
+from .common import sized, slices, stage_table
+from .rarity import needed, rarity_levels, slots
+from .setjoin import ALL, Overlap, candidates, crowded, ordered_tokens, parity
+from .words import batch_words, mix
 
-#: Slots of the table of word numbers, 2 ** SLOT_BITS of one byte each, whatever the corpus.
-SLOT_BITS = 22
-_PAGE = 1 << 12
-#: Rare words that two sets must share to be compared; prefixes are longer by as many less one. Small sets share fewer.
-SHARED = 4
-LINES = "doc_id long, line int, k1 long, k2 long, n int, tokens array<long>, places array<int>"
+LINES = "doc long, line long, k1 long, k2 long, n int, parity long, tokens array<long>"
+#: Stands for a null id, which so comes first.
+NO_ID = -(2**63)
 
 
-def _slot_counts(docs: DataFrame) -> DataFrame:
-    """How often words of each slot occur in the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, held, size = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64), [], 0
-
-        def add() -> None:
-            nonlocal size
-            if held:
-                np.add(total, np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS), out=total)
-            held.clear()
-            size = 0
-
-        for (texts,) in slices(batches):
-            words = [w for t in texts if t for w in t.encode().split()]
-            held.append((hashes.of(words) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
-            size += len(words)
-            if size > 4_000_000:
-                add()
-        add()
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], names=["slot", "n"])
-
-    return docs.mapInArrow(run, "slot int, n long")
-
-
-def rarity_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A byte for each slot: 0 if its words occur once in all documents, else more the more they occur.
-
-    The join's results don't depend on it, only its work: any order of words that all lines share is exact. The table
-    is counted over all documents and has 4 MiB on any corpus.
-    """
-    counts = _slot_counts(docs.select(F.col(text_col).alias("text"))).groupBy("slot").agg(F.sum("n").alias("n"))
-
-    def page(own: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(_PAGE, np.uint8)
-        out[own["slot"].to_numpy() % _PAGE] = np.where(own["n"] > 1, np.minimum(255, 1 + (8 * np.log2(own["n"])).astype(int)), 0)
-        return pd.DataFrame({"page": [int(own["slot"].iloc[0]) // _PAGE], "levels": [out.tobytes()]})
-
-    levels = np.zeros(1 << SLOT_BITS, np.uint8)
-    for r in counts.groupBy((F.col("slot") / _PAGE).cast("int")).applyInPandas(page, "page int, levels binary").collect():  # at most 1,024 rows of 4 KiB
-        levels[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(r["levels"], np.uint8)
-    return levels
-
-
-def _lines(docs: DataFrame, levels: np.ndarray, least: float, min_words: int) -> DataFrame:
-    """Each line of min_words words or more: a key of its word set, its size, and the rare words of its prefix with their places.
+def _lines(docs: DataFrame, levels: np.ndarray, rule: Overlap, min_words: int) -> DataFrame:
+    """Each line of min_words words or more: a key of its word set, its size, and the rare words of its prefix.
 
     A set so small that only an equal one is similar has no prefix: equal sets are found by their keys.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, level = WordHashes(), shared.value
-        for ids, texts in slices(batches):
-            words, sizes, doc, line = [], [], [], []
-            for d, t in zip(ids, texts, strict=True):
-                for k, x in enumerate(t.encode().split(b"\n") if t else ()):
-                    own = x.split()
-                    if len(own) >= min_words:
-                        words += own
-                        sizes.append(len(own))
-                        doc.append(d)
-                        line.append(k)
-            if not words:
+        level, least = shared.value, rule.least
+        for ids, texts in sized(batches, most=4 << 20):
+            words = batch_words(texts)
+            if not len(words.hashes):
                 continue
-            h = hashes.of(words)
-            at = np.repeat(np.arange(len(sizes)), sizes)
-            rare = level[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-            order = np.lexsort((h, rare, at))
-            h, at, rare = h[order], at[order], rare[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])])
-            h, at, rare = h[new], at[new], rare[new]
-            n = np.bincount(at, minlength=len(sizes))
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            with np.errstate(over="ignore"):
-                k1, k2 = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ np.uint64(0x94D049BB133111EB)), first)
-            place = np.arange(len(h)) - first[at]
-            both = np.ceil(least * n - 1e-9).astype(int)  # words that a similar set has at least
-            prefix = np.where(n >= least * (n + 1) - 1e-9, n - both + np.minimum(SHARED, np.maximum(both, 1)), 0)
-            take = (place < prefix[at]) & (rare > 0) & (n[at] >= min_words)  # a word that occurs once joins nothing
-            ends = np.concatenate([[0], np.cumsum(np.bincount(at[take], minlength=len(sizes)))]).astype(np.int32)
+            lines, n, h, token = ordered_tokens(words.hashes, words.line, level[slots(words.hashes)])
+            first = np.cumsum(n) - n
+            k1, k2 = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ np.uint64(0x94D049BB133111EB)), first)
+            text = np.searchsorted(words.first_line, lines, "right") - 1
+            take = n >= min_words
+            prefix = np.where((n >= least * (n + 1) - 1e-9) & take, rule.prefix(n), 0)
+            kept = token[np.arange(len(h)) - np.repeat(first, n) < np.repeat(prefix, n)]
+            ends = np.concatenate([[0], np.cumsum(prefix)])
             columns = [
-                pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(h[take].view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[take].astype(np.int32))),
+                ids.take(pa.array(text)), pa.array(lines - words.first_line[text]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)),
+                pa.array(parity(h, first).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept.view(np.int64))),
             ]
-            batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "k1", "k2", "n", "tokens", "places"])
-            yield batch.filter(pa.array(n >= min_words))
-
-    return docs.mapInArrow(run, LINES)
-
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "k1", "k2", "n", "parity", "tokens"]).filter(pa.array(take))
 
-def _can_reach(least: float, n: Column, m: Column, i: Column, j: Column) -> Column:
-    """Whether sets of n and m words that share a word at places i and j of their orders can be similar enough."""
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (most >= least / (1 + least) * (n + m) - 1e-9)
-
-
-def _shared(least: float, n: Column, m: Column) -> Column:
-    """Prefix words that similar sets of n and m words share at least."""
-    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(least * F.least(n, m) - 1e-9)))
+    return docs.select("doc", "text").mapInArrow(run, LINES)
 
 
 def _jaccard_pairs(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a later set, an earlier one) those whose lines are similar; docs has doc_id and text."""
-    need = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    by_doc = need.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    found = docs.join(by_doc.hint("shuffle_hash").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    own = F.transform("lines", lambda k: F.struct(k.alias("line"), F.try_element_at(F.split("text", "\n"), k + 1).alias("words")))
-    texts = stage_table(found.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.*").where("words is not null").dropDuplicates(["doc_id", "line"]), "lines")
+    """Of the pairs (x, y, bx, by) of lines those whose sets of words are similar; docs has doc and text."""
+    pairs = stage_table(pairs, "pairs")
+    need = pairs.select(F.col("x").alias("doc"), F.col("y").alias("line")).union(pairs.select("bx", "by")).distinct()
+    by_doc = stage_table(need.groupBy("doc").agg(F.collect_set("line").alias("lines")), "needed")
+    found = docs.where(needed(by_doc.select("doc"))(F.col("doc"))).join(by_doc.hint("shuffle_hash"), "doc")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, lines in slices(batches, 64):
+            rows = []
+            for d, text, own in zip(ids, texts, lines, strict=True):
+                parts = text.split("\n") if text else []
+                rows += [(d, k, parts[k]) for k in own if k < len(parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "line", "words"])
+
+    texts = stage_table(found.select("doc", "text", "lines").mapInArrow(cut, "doc long, line long, words string").distinct(), "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for at in range(0, batch.num_rows, 256):
-                for x, y in zip(batch.column("x").slice(at, 256).to_pylist(), batch.column("y").slice(at, 256).to_pylist(), strict=True):
-                    p, q = set(x.encode().split()), set(y.encode().split())
+                for a, b in zip(batch.column("words").slice(at, 256).to_pylist(), batch.column("bwords").slice(at, 256).to_pylist(), strict=True):
+                    p, q = set(a.encode().split()), set(b.encode().split())
                     both = len(p & q)
                     keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y", "bx", "by"])
 
-    for side, name in (("a", "x"), ("b", "y")):
-        own = texts.select(F.col("doc_id").alias("_id"), F.col("line").alias("_line"), F.col("words").alias(name))
-        pairs = pairs.join(own, F.col(f"{side}.doc_id").eqNullSafe(F.col("_id")) & (F.col(f"{side}.line") == F.col("_line"))).drop("_id", "_line")
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>")
+    own = pairs.join(texts.toDF("x", "y", "words"), ["x", "y"]).join(texts.toDF("bx", "by", "bwords"), ["bx", "by"])
+    return own.select("x", "y", "bx", "by", "words", "bwords").mapInArrow(run, "x long, y long, bx long, by long")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, min_words: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, min_words: int = 1) -> DataFrame:
     """One row per line that an earlier line makes needless: doc_id, line, match_doc_id, match_line (an earlier match).
 
-    Lines are cut at line feeds and counted from 0; they stand in the order of (doc_id, line), a null id first. A line
-    repeats an earlier one if the Jaccard similarity of their sets of words (runs without ASCII white space) is `least`
-    or more, whether or not that one is itself repeated. Lines of fewer than min_words different words are left alone
-    and match nothing; with 1, these are only the lines without words. A null text has no lines. Rows with equal ids count as one document. An empty table gives an
-    empty result. Other columns are not read.
+    Lines are cut at line feeds and counted from 0; they stand in the order of (doc_id, line), a null id first (and equal
+    to the smallest long). A line repeats an earlier one if the Jaccard similarity of their sets of words (runs without
+    ASCII white space) is `least` or more, whether or not that one is itself repeated. Lines of fewer than min_words
+    different words are left alone and match nothing; with 1, these are only the lines without words. A null text has no
+    lines. Rows with equal ids count as one document. An empty table gives an empty result. Other columns are not read.
 
-    Lines with one set of words are compared once, at the first of them. A set's words are ordered by rarity; similar
-    sets share several words of their prefixes, small ones all of the smaller set's. Every set is first compared with the earliest sets that have two of its
-    words, which settles most members of a large group; only sets that are still unmatched are compared with every other
-    earlier set that shares enough words, so nothing is missed. Words that occur once are never shuffled.
+    Lines with one set of words are compared once, at the first of them. A set's words are ordered by rarity and those of
+    its prefix are joined. At a word of few sets all are compared; at a frequent one first each with the earliest set,
+    which settles most members of a large group, then those still unmatched with every earlier set, so nothing is missed.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = stage_table(_lines(own, rarity_levels(own), least, min_words), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first(F.arrays_zip("tokens", "places")).alias("prefix"))
-    sets = stage_table(sets, "sets")
-    postings = sets.select("at", "n", F.explode("prefix").alias("p")).select("at", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
-    heads = postings.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("at", "n", "place")).alias("head")).where("sets > 1").drop("sets")
-    postings = stage_table(postings.join(heads, "token"), "postings")
-    first = postings.where((F.col("head.at") < F.col("at")) & _can_reach(least, F.col("n"), F.col("head.n"), F.col("place"), F.col("head.place")))
-    first = first.groupBy(F.col("at").alias("a"), F.col("head.at").alias("b")).agg(F.count("*").alias("words"), F.first(_shared(least, F.col("n"), F.col("head.n"))).alias("shared"))
-    first = stage_table(first.where(F.col("words") >= F.least(F.lit(2), F.col("shared"))).drop("words", "shared"), "pairs")
-    found = stage_table(_jaccard_pairs(first, own, least), "similar")
-    # sets that the earliest ones don't match: every other earlier set that shares a prefix word
-    x = postings.drop("head").join(found.select(F.col("a").alias("at")).distinct(), "at", "left_anti").alias("x")
-    y = postings.drop("head").alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at")) & _can_reach(least, F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")))
-    rest = rest.groupBy(F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count("*").alias("words"), F.first(_shared(least, F.col("x.n"), F.col("y.n"))).alias("shared"))
-    rest = rest.where(F.col("words") >= F.col("shared")).drop("words", "shared").join(first, ["a", "b"], "left_anti")
-    found = found.union(stage_table(_jaccard_pairs(stage_table(rest, "pairs"), own, least), "similar"))
-
-    earliest = found.groupBy("a").agg(F.min("b").alias("b"))
-    known = sets.select("k1", "k2", "at").join(earliest, F.col("at") == F.col("a"), "left").select("k1", "k2", F.coalesce("b", "at").alias("match"))
-    out = lines.select("doc_id", "line", "k1", "k2").distinct().join(known, ["k1", "k2"]).where(F.col("match") < F.struct("doc_id", "line"))
-    return out.select("doc_id", "line", F.col("match.doc_id").alias("match_doc_id"), F.col("match.line").alias("match_line"))
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, min_words: int = 5) -> DataFrame:
+    rule = Overlap(least, True)
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    lines = stage_table(_lines(own, rarity_levels(own), rule, min_words), "lines")
+    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "parity", "tokens")).alias("s"))
+    postings = sets.select(F.col("s.doc").alias("x"), F.col("s.line").alias("y"), F.lit(ALL).cast("long").alias("part"), F.col("s.n").cast("long").alias("n"), "s.parity", F.posexplode("s.tokens").alias("place", "token"))
+    postings = postings.withColumn("place", F.col("place").cast("long"))
+    pairs, crowd = candidates(postings, rule, heads=True)
+    found = stage_table(_jaccard_pairs(pairs, own, least), "similar")
+    if not crowd.isEmpty():
+        asked = crowd.select("x", "y").distinct().join(found.select("x", "y").distinct(), ["x", "y"], "left_anti")
+        found = found.union(stage_table(_jaccard_pairs(crowded(crowd, rule, asked), own, least), "similar"))
+
+    earliest = found.groupBy("x", "y").agg(F.min(F.struct(F.col("bx").alias("doc"), F.col("by").alias("line"))).alias("b"))
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("lines"))
+    known = firsts.join(earliest, (F.col("at.doc") == F.col("x")) & (F.col("at.line") == F.col("y")), "left").where("lines > 1 or b is not null")
+    known = known.select("k1", "k2", F.coalesce("b", "at").alias("match"))
+    out = lines.select("doc", "line", "k1", "k2").join(known.hint("shuffle_hash"), ["k1", "k2"]).where(F.col("match") < F.struct("doc", "line"))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(real("doc").alias("doc_id"), F.col("line").cast("int").alias("line"), real("match.doc").alias("match_doc_id"), F.col("match.line").cast("int").alias("match_line")).distinct()
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, min_words: int = 1) -> DataFrame:
     """The documents, all columns, with the repeated lines taken out of the text; a document left without a word goes.
 
-    Documents that lose nothing are unchanged, also empty ones.
+    Documents that lose nothing are unchanged, also empty and null ones, and aren't shuffled as far as the table of
+    needed ids tells. Columns may have any names. Repeated rows lose the same lines; an empty table gives an empty result.
     """
-    gone = repeated_lines(docs, id_col, text_col, least, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone_lines")).withColumnRenamed("doc_id", "_gone_id")
-    out = docs.join(stage_table(gone, "gone").hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")), "left")
-    numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("_gone_lines", s["k"])), lambda s: s["x"]), "\n")
-    out = out.withColumn(text_col, F.when(F.col("_gone_lines").isNull(), F.col(text_col)).otherwise(kept))
-    return out.where(F.col("_gone_lines").isNull() | F.col(text_col).rlike(r"[^ \t-\r]")).select(*docs.columns)
-
+    gone = repeated_lines(docs, id_col, text_col, least, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    gone = stage_table(gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "lines"), "gone")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    some = needed(gone.select("doc"))(key)
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        rows = []
+        for text, own in zip(texts.to_pylist(), lines.to_pylist(), strict=True):
+            if own and text is not None:
+                drop = set(own)
+                text = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in drop])
+                text = text if text.encode().split() else None
+            rows.append(text)
+        return pa.array(rows, pa.string())
+
+    whole = F.struct(*docs.columns)
+    rest = docs.where(some).select(key.alias("doc"), whole.alias("row")).join(gone.hint("shuffle_hash"), "doc", "left")
+    text = F.when(F.col("lines").isNotNull(), without(F.col("row")[text_col], F.col("lines"))).otherwise(F.col("row")[text_col])
+    rest = rest.select("row", "lines", text.alias("text")).where(F.col("lines").isNull() | F.col("text").isNotNull())
+    rest = rest.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return docs.where(~some).unionByName(rest)

@@ -213,9 +213,9 @@ def test_repeated_lines_equal_brute_force(spark):
                 if match:
                     want[i, k] = match
                 seen.append(((i, k), w))
-    got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in line_dup.repeated_lines(df).collect()}
+    got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in line_dup.repeated_lines(df, min_words=5).collect()}
     assert got.keys() == want.keys() and all(m < at for at, m in got.items())
-    kept = {r.doc_id: r.text for r in line_dup.drop_repeated_lines(df).collect()}
+    kept = {r.doc_id: r.text for r in line_dup.drop_repeated_lines(df, min_words=5).collect()}
     assert kept[7] is None and kept[8] == "" and kept[9] == BASE
     assert line_dup.repeated_lines(df.limit(0)).count() == 0
 
@@ -242,6 +242,30 @@ def test_short_repeated_lines_equal_brute_force(spark, monkeypatch):
     assert 8 not in {r.doc_id for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
 
 
+def test_crowded_lines_equal_brute_force(spark):
+    """Words that more lines share than are compared at once: variants of one line, and lines alike in a few words only."""
+    rng = np.random.default_rng(6)
+    base = [f"b{k}" for k in range(20)]
+    lines = []
+    for k in range(160):
+        own = list(base)
+        for at in rng.integers(0, 20, rng.integers(0, 5)):
+            own[at] = f"x{rng.integers(200)}"
+        lines.append(" ".join(own))
+    lines += [" ".join(["shared", "pair", *(f"r{x}" for x in rng.integers(0, 40, 4))]) for _ in range(160)]
+    rng.shuffle(lines)
+    texts = {i - 1: "\n".join(lines[i::9]) for i in range(9)}
+    df = spark.createDataFrame([(i if i >= 0 else None, t) for i, t in texts.items()], "doc_id long, text string")
+    seen, want = [], set()
+    for i in sorted(texts):
+        for k, x in enumerate(texts[i].split("\n")):
+            w = set(x.split())
+            if any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for v in seen):
+                want.add((i if i >= 0 else None, k))
+            seen.append(w)
+    assert {(r.doc_id, r.line) for r in line_dup.repeated_lines(df).collect()} == want
+
+
 def test_pii(spark):
     text = "Mail a.b@mail.example.com or call +1 (243) 555-5526. Card 4111 1111 1111 1111, not 4111111111111112x; ip 10.0.0.1 and 10.0.0.999"
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", "a.b@mail.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (243) 555-5526")]
