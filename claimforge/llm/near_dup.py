@@ -1,73 +1,62 @@
-"""Near-duplicate texts by order MinHash, verified by banded alignment of word shingles."""
+"""Near-duplicate texts by order MinHash over five-word shingles, verified by banded alignment of words."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage_table
+from .common import sized, slices, stage_table
 from .graph import components
+from .rarity import needed, rarity_levels, slots
+from .setjoin import Overlap, candidates, crowded, ordered_tokens, parity
+from .words import Words, batch_words, labelled, mix, shingles
 
 K = 5
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+TOP = np.uint64(2**64 - 1)
+#: Stands for a null id in joins.
+NO_ID = -(2**63)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, alike on every machine; the cache is bounded."""
+def order_sketches(words: Words, n_sketches: int, size: int, k: int = K) -> np.ndarray:
+    """For each text and each of n_sketches orders a hash of its `size` smallest labelled shingles, in the order of the text.
 
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
+    Texts without words have rows of zeros. An order multiplies labels by an odd number of its own.
+    """
+    n_texts = len(words.first_line) - 1
+    out = np.zeros((n_texts, n_sketches), np.uint64)
+    runs, text = shingles(words, k)
+    if not len(runs):
         return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: str, hashes: WordHashes, k: int = K) -> np.ndarray:
-    """64-bit hashes of the runs of k words, in text order; a text of fewer words is one shingle, one of none has none."""
-    words = hashes.of(text.encode().split())
-    if not len(words):
-        return words
-    n = max(1, len(words) - k + 1)
-    with np.errstate(over="ignore"):
-        return mix(sum((words[i : i + n] * _ODD[i % 5] for i in range(1, min(k, len(words)))), words[:n] * _ODD[0]))
-
-
-def order_sketches(own: np.ndarray, n_sketches: int, size: int) -> list[int]:
-    """For each of n_sketches orders, a hash of the `size` smallest occurrence-labelled shingles in the order of the text."""
-    if not len(own):
-        return []
-    label = labelled_shingles(own)
+    label = labelled(runs, text)
+    held, first, n = np.unique(text, return_index=True, return_counts=True)
+    local = np.repeat(np.arange(len(held)), n)
+    odd = np.random.default_rng(5).integers(1, 2**63, n_sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     with np.errstate(over="ignore"):
-        out, take = [], min(size, len(own))
         for s in range(n_sketches):
-            seed = np.uint64((s + 1) * 0xA0761D6478BD642F & (2**64 - 1))
-            h = mix(label ^ seed)
-            at = np.sort(np.argpartition(h, take - 1)[:take] if take < len(h) else np.arange(len(h)))
-            acc = seed
-            for x in label[at]:
-                acc = (acc ^ x) * np.uint64(0x165667B19E3779F9)
-                acc ^= acc >> np.uint64(31)
-            out.append(int(acc.view(np.int64)))
+            h = label * odd[s]
+            places = []
+            for _ in range(size):
+                low = np.minimum.reduceat(h, first)
+                at = np.flatnonzero(h == low[local])
+                if len(at) != len(held):  # equal hashes
+                    at = at[np.unique(local[at], return_index=True)[1]]
+                places.append(at)
+                h[at] = TOP
+            at = np.sort(np.stack(places), axis=0)
+            acc = np.full(len(held), s + 1, np.uint64)
+            for k_th, place in enumerate(at):
+                acc = np.where(k_th < n, mix(acc * np.uint64(0x9E3779B97F4A7C15) + label[np.minimum(place, len(label) - 1)]), acc)
+            short = n < size  # all the shingles of a text of few, in order
+            for i in np.flatnonzero(short).tolist():
+                acc[i] = mix(np.bitwise_xor.reduce(mix(label[first[i] : first[i] + n[i]] + np.arange(n[i], dtype=np.uint64)), keepdims=True) + np.uint64(s))[0]
+            out[held, s] = acc
     return out
 
 
@@ -90,28 +79,26 @@ def banded_common(a: list[int], b: list[int], band: int) -> int:
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Aligned shingles by all shingles of both, each pair of aligned ones counted once; 0 where it is under `least`.
+    """Words of a and b that align in order, by the words of the longer text; 0 where that is under `least`.
 
-    With M aligned ones it is M / (len(a) + len(b) - M). Where it is `least` or more, places differ by no more than
-    the unaligned ones, which bounds the band. More than the common shingles can't be aligned, so a count comes first.
+    One minus it is the share of words that were put in, taken out or replaced. If `need` words align, places of aligned
+    words differ by no more than the longer text has others, which bounds the band; a count of common words comes first.
     """
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
+    most = max(n, m)
+    need = math.ceil(least * most - 1e-9)
+    if not n or not m or min(n, m) < need:
         return 0.0
-    need = least / (1 + least) * (n + m)
-    x, y = a.tolist(), b.tolist()
-    if (Counter(x) & Counter(y)).total() < need - 1e-9:
+    differ = np.flatnonzero(a[: min(n, m)] != b[: min(n, m)])
+    head = int(differ[0]) if len(differ) else min(n, m)
+    x, y = a[head:], b[head:]
+    differ = np.flatnonzero(x[::-1][: min(len(x), len(y))] != y[::-1][: min(len(x), len(y))])
+    tail = int(differ[0]) if len(differ) else min(len(x), len(y))
+    x, y = x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist()
+    if head + tail + min(len(x), len(y)) < need or x and y and head + tail + (Counter(x) & Counter(y)).total() < need:
         return 0.0
-    same = np.flatnonzero(a[: min(n, m)] != b[: min(n, m)])
-    head = int(same[0]) if len(same) else min(n, m)
-    x, y = x[head:], y[head:]
-    tail = 0
-    while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    common = head + tail + (banded_common(x, y, int(n + m - 2 * need) + 1) if x and y else 0)
-    similarity = common / (n + m - common)
-    return similarity if similarity >= least - 1e-12 else 0.0
+    common = head + tail + (banded_common(x, y, most - need) if x and y else 0)
+    return common / most if common >= need else 0.0
 
 
 def text_key(text: Column) -> Column:
@@ -121,144 +108,150 @@ def text_key(text: Column) -> Column:
 
 def _sketch(docs: DataFrame, n_sketches: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for ids, texts in slices(batches):
-            rows = []
-            for d, text in zip(ids, texts, strict=True):
-                own = shingles(text or "", hashes)
-                rows.append((d, hashlib.md5((text or "").encode(), usedforsecurity=False).digest(), len(own), order_sketches(own, n_sketches, size)))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "key", "n", "sketches"])
+        for ids, texts in sized(batches, most=4 << 20):
+            words = batch_words(texts)
+            sketches = order_sketches(words, n_sketches, size).view(np.int64)
+            keys = [hashlib.md5((t or "").encode(), usedforsecurity=False).digest() for t in texts.to_pylist()]
+            n = np.bincount(words.text, minlength=len(texts)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sketches.size + 1, n_sketches, dtype=np.int32)), pa.array(sketches.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(n), lists], names=["doc_id", "key", "n", "sketches"])
 
     return docs.mapInArrow(run, "doc_id long, key binary, n int, sketches array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts align."""
+    """The pairs (a, b) of keys whose texts align; pairs has a key and the number of another text, bkid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        last: tuple[bytes | None, np.ndarray | None] = (None, None)
-        for a, b, text_a, text_b in slices(batches, 64):
-            keep = []
-            for i in range(len(a)):
-                if last[0] != b[i]:
-                    last = (b[i], shingles(text_b[i], hashes))
-                keep.append(alignment_similarity(shingles(text_a[i], hashes), last[1], least) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c, keep, strict=True) if k], pa.binary()) for c in (a, b)], names=["a", "b"])
-
-    own = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            at = 0
+            for _, _, text_a, text_b in sized([batch], 2, 256, 2 << 20):
+                sides = []
+                for side in (text_a, text_b):
+                    words = batch_words(side)
+                    sides.append((words.hashes, np.searchsorted(words.text, np.arange(len(side) + 1)).tolist()))
+                (x, p), (y, q) = sides
+                for i in range(len(text_a)):
+                    keep[at + i] = alignment_similarity(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], least) > 0
+                at += len(text_a)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    own = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    own = own.join(texts.select(F.col("kid").alias("bkid"), F.col("key").alias("b"), F.col("text").alias("text_b")), "bkid")
     return own.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("component", F.col("key"))
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def labelled_shingles(own: np.ndarray) -> np.ndarray:
-    """Shingles with their occurrence numbers worked in: a multiset becomes a set."""
-    order = np.argsort(own, kind="stable")
-    ranked = own[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(own) else np.zeros(0, bool)
-    nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-    label = np.empty_like(own)
-    with np.errstate(over="ignore"):
-        label[order] = mix(ranked + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return label
-
-
 def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of keys of different components that can be similar, by exact prefix, length and positional filters.
+    """Pairs (a, bkid) of texts of different components that can be similar: an exact prefix join of their labelled words.
 
-    Texts whose labelled shingles overlap enough share one of their rarest; a text with many shingles of its own, such
-    as an edited copy that is too far from the others, has no common one in its prefix and meets none.
+    Texts that align enough share most of their words, and so one of the rarest of each; a text with many words of its
+    own, such as one that shares only a passage with others, has none of the common ones in its prefix and meets none.
     """
+    rule = Overlap(least, False)
+    own = stage_table(texts.join(left, "key").select("kid", "component", "text"), "open-texts")
+    shared = left.sparkSession.sparkContext.broadcast(rarity_levels(own))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for keys, own in slices(batches, 64):
-            labels = [labelled_shingles(shingles(t, hashes)).view(np.int64) for t in own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tolist() for x in labels], pa.list_(pa.int64()))], names=["key", "shingles"])
-
-    own = texts.join(left.select("key"), "key", "left_semi").select("key", "text").mapInArrow(run, "key binary, shingles array<long>")
-    rows = stage_table(own.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
-    rare = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
-    ranked = rows.join(rare, "shingle").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("order"))
-    prefix = F.slice("order", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    entries = ranked.select("key", "n", F.posexplode(prefix).alias("place", "x")).where("x.texts > 1").select("key", "n", "place", F.col("x.shingle").alias("shingle"))
-    entries = stage_table(entries.join(left, "key"), "prefixes")
-    x, y = entries.alias("x"), entries.alias("y")
-    overlap = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    fits = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (overlap >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits)
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, n_sketches: int = 24, sketch_size: int = 3) -> DataFrame:
+        level = shared.value
+        for kids, parts, found in sized(batches, 2, most=4 << 20):
+            words = batch_words(found)
+            if not len(words.hashes):
+                continue
+            rare = level[slots(words.hashes)]
+            groups, n, h, token = ordered_tokens(labelled(words.hashes, words.text), words.text, rare)
+            first, prefix = np.cumsum(n) - n, rule.prefix(n)
+            place = np.arange(len(h)) - np.repeat(first, n)
+            take = place < np.repeat(prefix, n)
+            of = np.repeat(np.arange(len(n)), n)[take]
+            texts_at = pa.array(groups[of])
+            whole = pa.RecordBatch.from_arrays(
+                [pa.array(token[take].view(np.int64)), kids.take(texts_at), parts.take(texts_at), pa.array(n[of]), pa.array(place[take]), pa.array(parity(h, first)[of].view(np.int64))],
+                names=["token", "x", "part", "n", "place", "parity"],
+            )
+            for k in range(0, whole.num_rows, 10_000):
+                yield whole.slice(k, 10_000)
+
+    rows = own.select("kid", F.xxhash64("component").alias("part"), "text").mapInArrow(run, "token long, x long, part long, n long, place long, parity long")
+    pairs, crowd = candidates(rows.withColumn("y", F.lit(0).cast("long")), rule, heads=False)
+    found = stage_table(pairs.union(crowded(crowd, rule)).distinct(), "open-pairs")
+    return found.join(texts.select(F.col("kid").alias("x"), F.col("key").alias("a")), "x").select("a", F.col("bx").alias("bkid")).distinct()
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, n_sketches: int = 32, sketch_size: int = 2) -> DataFrame:
     """One row per document: doc_id, key (of its text), class_id (the smallest doc_id of its class), n_class (documents in it).
 
-    Texts are linked if their shingles of five words align with a similarity of `least` or more; classes are connected
-    texts. Copies of a text share its key and are compared once. Candidates share one of n_sketches order-MinHash
-    sketches: at a similarity of 0.8 a pair misses all 24 once in 30 million times.
+    Texts are linked if `least` or more of the longer one's words align in order with the other's (an edit similarity);
+    classes are connected texts. Copies of a text share its key and are compared once. Candidates share one of n_sketches
+    order-MinHash sketches, each of the sketch_size smallest five-word shingles in text order.
 
-    In a bucket of texts with one sketch, texts are first compared with one of them, then, where the bucket still
-    holds several classes, with two others. What then are different classes of a bucket is joined exactly: on the rarest
-    shingles of each text, with length and positional filters. So a large group of copies costs few comparisons, and
-    every two texts in a bucket end up in one class or are known to differ. Buckets are only aggregated and joined, never gathered.
+    In a bucket of texts with one sketch, texts are first compared with one of them. What then are different classes of
+    a bucket is joined exactly, on the rarest words of each text. So a large group of copies costs few comparisons, and
+    every two texts in a bucket end up in one class or are known to differ. Buckets are only aggregated and joined.
 
-    A null text counts as empty; empty texts are copies of each other. Null ids come last in the choice of class_id.
-    Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
+    A null text counts as empty; texts without words are linked to equal ones only. Null ids come last in the choice of
+    class_id. Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = stage_table(_sketch(rows, n_sketches, sketch_size), "sketches")
-    distinct = sketched.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    members = distinct.select("key", F.explode(F.array_distinct("sketches")).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("key").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = stage_table(members.join(shared.drop("size"), "bucket"), "buckets")
-    found = members.select("key").distinct()
-    texts = rows.select(text_key(F.col("text")).alias("key"), "text").join(found, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = stage_table(texts, "texts")
-
-    pairs = stage_table(members.where("key <> center").select(F.col("key").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
-    done = pairs
-    links = stage_table(_verified(pairs, texts, least), "verified")
-    labels = components(links)
-    # other texts of a bucket
-    chance = F.xxhash64("key", "bucket")
-    again = _labelled(members.drop("center"), labels)
-    by_bucket = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("key", "component"), chance).alias("x"), F.max_by(F.struct("key", "component"), chance).alias("y"))
-    by_bucket = by_bucket.where("low <> high").select("bucket", F.explode(F.array("x", "y")).alias("other"))
-    pairs = again.join(by_bucket, "bucket").where("component <> other.component").select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
-    both = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stage_table(pairs.join(both, ["a", "b"], "left_anti"), "pairs")
-    done = both.union(pairs)
-    links = links.union(stage_table(_verified(pairs, texts, least), "verified"))
+    kid = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")  # names a text well enough to look it up
+    distinct = sketched.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
+    distinct = stage_table(distinct.withColumn("kid", kid), "texts-sketched")
+    members = distinct.select("key", "kid", "n", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("kid").alias("center"), F.max("kid").alias("other")).where("center <> other").drop("other")
+    members = stage_table(members.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
+
+    found = stage_table(distinct.select("key", "kid", "doc").join(members.select("kid").distinct(), "kid", "left_semi"), "found")
+    doc = F.coalesce("doc_id", F.lit(NO_ID))
+    texts = rows.where(needed(found.select("doc"))(doc)).select(doc.alias("doc"), text_key(F.col("text")).alias("key"), "text")
+    texts = stage_table(texts.join(found, ["key", "doc"]).select("key", "kid", "text").dropDuplicates(["key"]), "texts")
+
+    centers = members.select(F.col("center").alias("bkid"), "bucket", F.when(F.col("kid") == F.col("center"), F.col("n")).alias("bn")).where("bn is not null")
+    pairs = members.where("kid <> center").join(centers.drop("bkid"), "bucket").where(F.least("n", "bn") >= least * F.greatest("n", "bn") - 1e-6)
+    done = stage_table(pairs.select(F.col("key").alias("a"), F.col("center").alias("bkid")).distinct(), "pairs")
+    links = stage_table(_verified(done, texts, least), "verified")
     labels = components(links)
     # whatever two classes of a bucket are left
-    again = _labelled(members.drop("center"), labels)
+    again = _labelled(members.select("key", "bucket"), labels)
     open_buckets = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     left = again.join(open_buckets, "bucket", "left_semi").select("key", "component").distinct()
-    pairs = stage_table(_prefix_pairs(left, texts, least).join(done, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(stage_table(_verified(pairs, texts, least), "verified"))
-    labels = components(links)
+    pairs = stage_table(_prefix_pairs(left, texts, least).join(done, ["a", "bkid"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        links = links.union(stage_table(_verified(pairs, texts, least), "verified"))
+        labels = components(links)
 
-    classes = _labelled(sketched.select("doc_id", "key"), labels)
-    named = classes.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
-    return classes.join(named, "component").select("doc_id", "key", "class_id", "n_class")
+    # per text first, so that a large group of copies is a few numbers
+    per_text = sketched.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    linked = per_text.join(labels.withColumnRenamed("node", "key"), "key", "left")
+    named = linked.where("component is not null").groupBy("component").agg(F.min("low").alias("class_id"), F.sum("copies").alias("n_class"))
+    per_text = linked.join(named, "component", "left").select("key", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", "copies").alias("n_class"))
+    return sketched.select("doc_id", "key").join(stage_table(per_text, "classes"), "key").select("doc_id", "key", "class_id", "n_class")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """The documents, all columns, less all but one of each class: the one of smallest id, or one of its repeated rows."""
+    """The documents, all columns, less all but one of each class: the one of smallest id, or one of its repeated rows.
+
+    A document alone in its class stays as it is and isn't shuffled as far as the table of needed ids tells. Columns may
+    have any names. Nulls, empty texts and empty tables as in near_duplicate_classes.
+    """
     classes = stage_table(near_duplicate_classes(docs, id_col, text_col, least).where("n_class > 1"), "classes")
     first = classes.groupBy("class_id", "doc_id", "key").agg(F.count("*").alias("alike"))
-    kept = first.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("key"))
-    kept = kept.select(F.col("class_id").alias("doc_id"), "key", F.lit(True).alias("kept"))
-    same = [F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("f.key") == F.col("k.key")]
-    fate = first.alias("f").join(kept.alias("k"), same, "left").select(F.col("f.doc_id").alias("_near_id"), F.col("f.key").alias("_near_key"), F.coalesce("kept", F.lit(False)).alias("_near_kept"), (F.col("alike") > 1).alias("_near_alike"))
-    own = docs.withColumn("_near_text_key", text_key(F.col(text_col)))
-    out = own.join(fate.hint("shuffle_hash"), (own["_near_text_key"] == F.col("_near_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left").where(F.coalesce("_near_kept", F.lit(True)))
-    once = out.where(F.coalesce("_near_alike", F.lit(False))).dropDuplicates(["_near_text_key", "_near_id"])  # repeated rows, seldom any
-    out = out.where(~F.coalesce("_near_alike", F.lit(False))).unionByName(once) if not fate.where("_near_kept and _near_alike").isEmpty() else out
-    return out.select(*docs.columns)
+    lowest = first.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("kept_key"))
+    same = [F.col("f.class_id").eqNullSafe(F.col("k.class_id"))]
+    fate = first.alias("f").join(lowest.alias("k"), same).select(
+        F.coalesce("f.doc_id", F.lit(NO_ID)).alias("doc"), "f.key", (F.col("f.doc_id").eqNullSafe(F.col("f.class_id")) & (F.col("f.key") == F.col("kept_key"))).alias("kept"), F.col("alike")
+    )
+    fate = stage_table(fate, "fates")
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    some = needed(fate.select("doc"))(doc)
+    own = docs.where(some).select(doc.alias("doc"), text_key(F.col(text_col).cast("string")).alias("key"), F.struct(*docs.columns).alias("row"))
+    own = own.join(fate.hint("shuffle_hash"), ["doc", "key"], "left").where(F.coalesce("kept", F.lit(True)))
+    repeated = F.coalesce("alike", F.lit(1)) > 1
+    out = own.where(~repeated).select("row")
+    if not fate.where("kept and alike > 1").isEmpty():  # repeated rows, seldom any
+        out = out.union(own.where(repeated).dropDuplicates(["doc", "key"]).select("row"))
+    return docs.where(~some).unionByName(out.select(*(F.col("row")[c].alias(c) for c in docs.columns)))

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from claimforge.llm import bpe, html_text, line_dup, media, near_dup, packing, pictures, pii, quality, sharding, token_files, tokens
+from claimforge.llm import bpe, html_text, line_dup, media, near_dup, packing, pictures, pii, quality, sharding, token_files, tokens, words
 from claimforge.llm import queries as llm_queries
 from claimforge.llm.common import new_path
 
@@ -156,13 +156,13 @@ def test_main_text(spark):
     assert got[2].text == "" and got[3].n_chars == 0 and got[1].n_chars == len(got[1].text)
 
 
-def copies():
+def copies(most=5, groups=12):
     rng = np.random.default_rng(5)
-    words = [f"w{k}" for k in range(4000)]
+    pool = [f"w{k}" for k in range(4000)]
     out = {}
-    for g in range(12):
-        base = rng.choice(words, 80).tolist()
-        for k in range(5):
+    for g in range(groups):
+        base = rng.choice(pool, 80).tolist()
+        for k in range(most):
             own = list(base)
             for at in rng.integers(0, 80, k):
                 own[at] = f"x{rng.integers(1e9)}"
@@ -170,11 +170,22 @@ def copies():
     return out
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    texts = copies() | {500: "", 501: None, 502: "short", 503: "short", 504: BASE, 505: BASE + " today"}
-    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(504, BASE, 1)], "doc_id long, text string, key int")
-    hashes = near_dup.WordHashes()
-    own = {i: near_dup.shingles(t or "", hashes) for i, t in texts.items()}
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def linked(a, b, least=0.8):
+    """Whether two texts are copies, said in the plainest way."""
+    x, y = a.encode().split(), b.encode().split()
+    return a == b or bool(x and y) and min(len(x), len(y)) >= least * max(len(x), len(y)) and plain_lcs(x, y) >= least * max(len(x), len(y)) - 1e-9
+
+
+def brute_classes(texts):
     parent = {i: i for i in texts}
 
     def top(i):
@@ -183,21 +194,74 @@ def test_near_duplicates_equal_brute_force(spark):
         return i
 
     for a, b in itertools.combinations(sorted(texts), 2):
-        if (texts[a] or "") == (texts[b] or "") or near_dup.alignment_similarity(own[a], own[b], 0.8) > 0:
+        if top(a) != top(b) and linked(texts[a] or "", texts[b] or ""):
             x, y = sorted((top(a), top(b)))
             parent[y] = x
+    return {i: top(i) for i in texts}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rng = np.random.default_rng(9)
+    texts = copies(9) | {500: "", 501: None, 502: "short", 503: "short", 504: BASE, 505: BASE + " today", 506: " \n"}
+    # documents that share a passage and little else, some of them copies of each other
+    for k in range(30):
+        own = " ".join(f"q{x}" for x in rng.integers(0, 10**6, 50))
+        texts |= {600 + 2 * k: f"{own} {passage}", 601 + 2 * k: f"{own} {passage} and more" if k % 3 == 0 else f"{passage} {own[::-1]}"}
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()] + [(504, BASE, 1, 2), (None, BASE, 3, 4)], "doc_id long, text string, key int, doc int")
+    want = brute_classes(texts)
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(df).collect()}
-    assert got == {i: top(i) for i in texts}
+    assert got == want | {None: want[504]}
     kept = near_dup.drop_near_duplicates(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == df.columns
-    assert near_dup.near_duplicate_classes(df.limit(0)).count() == 0
+    assert near_dup.near_duplicate_classes(df.limit(0)).count() == 0 and near_dup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
-def test_alignment_needs_order():
+def test_alignment_equals_plain_lcs():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.alignment_similarity(a, a, 0.8) == 1
     assert near_dup.alignment_similarity(a, np.concatenate([a[50:], a[:50]]), 0.8) == 0
     assert near_dup.alignment_similarity(a, np.concatenate([a[:45], a[55:]]), 0.8) == pytest.approx(0.9)
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        x = rng.integers(0, rng.integers(2, 40), rng.integers(1, 60)).astype(np.uint64)
+        y = x.copy()
+        for _ in range(rng.integers(0, 12)):
+            at = rng.integers(0, max(1, len(y)))
+            y = [np.delete(y, at), np.insert(y, at, rng.integers(0, 40)), np.concatenate([y[at:], y[:at]])][rng.integers(0, 3)] if len(y) > 1 else y
+        share = plain_lcs(x.tolist(), y.tolist()) / max(len(x), len(y))
+        got = near_dup.alignment_similarity(x, y, 0.8)
+        assert got == (pytest.approx(share) if share >= 0.8 - 1e-9 else 0)
+
+
+def test_order_sketches_find_edited_copies():
+    """Random one-word edits: of pairs at 0.9 at least 0.97 share a sketch; texts of few words have one as well."""
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(200):
+        a = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        b = list(a)
+        for at in rng.choice(200, 20, replace=False):
+            b[at] = f"y{rng.integers(10**6)}"
+        s = near_dup.order_sketches(words.batch_words(pa.array([" ".join(a), " ".join(b)])), 32, 2)
+        met += (s[0] == s[1]).any()
+    assert met >= 194
+    few = near_dup.order_sketches(words.batch_words(pa.array(["one", "one", "one two three", None])), 4, 2)
+    assert (few[0] == few[1]).all() and (few[0] != few[2]).all() and not few[3].any()
+
+
+def test_words_equal_split():
+    rng, parts = np.random.default_rng(1), ["a", "b", " ", "\n", "\t", "é", "x" * 300, "日", "\r", "\x0b", ""]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(500)] + [None, "", "z" * 700_000 + " z " + "ab " * 200_000]
+    got, known, k, lines = words.batch_words(pa.array(texts)), {}, 0, 0
+    for i, t in enumerate(texts):
+        assert got.first_line[i] == lines
+        for line in (t or "").encode().split(b"\n"):
+            for w in line.split():
+                assert (got.text[k], got.line[k]) == (i, lines) and known.setdefault(w, got.hashes[k]) == got.hashes[k]
+                k += 1
+            lines += 1
+    assert k == len(got.hashes) and len(set(known.values())) == len(known)
 
 
 def test_repeated_lines_equal_brute_force(spark):
