@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,138 +22,183 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVE = frozenset("aside button canvas dialog fieldset footer form head input menu nav object option select svg".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in a class or id that mark what isn't the article.
+#: Words that begin or end the class or id of what isn't the article.
 AWAY = frozenset(
-    "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs combx comment comments consent cookie cookies "
-    "disqus footer footnotes gdpr masthead menu menus modal nav navbar navigation newsletter notice notices outbrain overlay "
-    "pager pagination popup promo promotion related remark replies respond rss share sharing shoutbox sidebar social sponsor "
-    "sponsored subscribe subscription taboola toolbar tooltip topbar widget widgets".split()
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer "
+    "gdpr menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion "
+    "related replies reply share sharing sidebar social sponsor sponsored subscribe subscription toolbar tooltip topbar widget widgets".split()
 )
+#: Of these, words of readers' comments, which can be longer than the article.
+READERS = frozenset("comment comments replies reply".split())
+#: Beginnings of class names that say what an element has or lacks, not what it is.
+STATES = ("has-", "no-", "not-", "with-", "without-", "is-", "has_", "no_", "with_")
 ALIKE = frozenset("article body content entry main page post story text".split())
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 CLOSES_ITSELF = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 SCOPE = frozenset("html table ul ol dl select".split())
-START = {"div": 5, "article": 30, "main": 20, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
+#: Points of an element before any text counts.
+START = {"article": 30, "main": 20, "div": 5, "section": 3, "td": 3, "pre": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
+#: Ancestors that a paragraph's points reach; farther ones would get next to nothing.
+LEVELS = 12
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "names", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "hard", "soft", "names", "points", "chars", "linked", "holds", "out", "branch")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, names: frozenset[str]):
-        self.tag, self.parent, self.out, self.names = tag, parent, out, names
+    def __init__(self, tag: str, parent: _Node | None, hard: bool, soft: frozenset[str], names: frozenset[str]):
+        self.tag, self.parent, self.hard, self.soft, self.names = tag, parent, hard, soft, names
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.holds, self.out = tag in ("article", "main", "h1"), False
+        self.branch: _Node | None = None
 
 
-def _is_out(tag: str, attributes: dict[str, str], names: frozenset[str], inside: bool) -> bool:
-    """Whether an element isn't part of any article; inside: it stands in an article."""
+def _is_hard(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element can't be part of an article by its tag, role or style; inside: it stands in an article."""
     if tag in LEAVE or tag == "header" and not inside:
         return True
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    return tag not in ("body", "html", "article", "main") and (bool(names & AWAY) or "header" in names and not names & ALIKE and tag not in HEADINGS)
-
-
-def _blocks(page: str) -> list[tuple[_Node, str]]:
-    """(innermost block element, text) in page order, and the tree behind them."""
-    root = _Node("#root", None, False, frozenset())
-    stack, found, held, links = [root], [], [], 0
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            if text := " ".join(html.unescape("".join(held)).split()):
-                node = next(x for x in reversed(stack) if x.tag in BLOCK or x.parent is None)
-                found.append((node, text))
-                share = min(linked, len(text))
-                up: _Node | None = node
-                while up is not None:
-                    up.chars += len(text)
-                    up.linked += share
-                    up = up.parent
-            held.clear()
-        linked = 0
-
-    def close(k: int) -> None:
-        nonlocal links
-        flush_needed = any(x.tag in BLOCK or x.out for x in stack[k:])
-        if flush_needed:
-            flush()
-        links -= sum(x.tag == "a" for x in stack[k:])
-        del stack[k:]
-
-    at = 0
-    while at < len(page):
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            held.append(text)
-            if links:
-                linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            if tag in BLOCK or tag in ("td", "th"):
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k:
-                    close(k)
-                elif tag == "p":
-                    flush()
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
-            if tag in ("td", "th"):
-                held.append(" ")
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag == "br":
-            held.append(" ")
-            continue
+    return bool(re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+
+def _named(attributes: dict[str, str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of an element's classes and id, and those of AWAY that begin or end one of them."""
+    names, away = set(), set()
+    for one in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = [x.lower() for x in WORDS.findall(one)]
+        if parts and not one.lower().startswith(STATES):
+            names.update(parts)
+            away.update(AWAY.intersection((parts[0], parts[-1])))
+            if "header" in (parts[0], parts[-1]) and not ALIKE.intersection(parts):
+                away.add("header")
+    return frozenset(names), frozenset(away)
+
+
+class _Page:
+    """A page's tree, built in one pass. Places of open elements are kept by tag, so nothing is looked for in the stack."""
+
+    def __init__(self, page: str):
+        self.root = _Node("#root", None, False, frozenset(), frozenset())
+        self.nodes, self.stack = [self.root], [self.root]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+        self.blocks, self.walls = [0], []  # of block elements, and of those that stop or are a paragraph
+        self.found: list[tuple[_Node, str]] = []  # (innermost block element, text) in page order
+        self.held: list[str] = []
+        self.linked = 0
+        self._read(page)
+
+    def _flush(self) -> None:
+        if self.held:
+            if text := " ".join(html.unescape("".join(self.held)).split()):
+                node = self.stack[self.blocks[-1]]
+                self.found.append((node, text))
+                node.chars += len(text)
+                node.linked += min(self.linked, len(text))
+            self.held.clear()
+        self.linked = 0
+
+    def _close(self, k: int) -> None:
+        if any(x.tag in BLOCK or x.hard or x.soft for x in self.stack[k:]):
+            self._flush()
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            self.open[node.tag].pop()
+            for places in (self.blocks, self.walls):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+
+    def _end(self, tag: str) -> None:
+        k = self._last((tag,))
+        if tag in BLOCK or tag in ("td", "th"):
+            if k:
+                self._close(k)
+            elif tag == "p":
+                self._flush()
+        elif k > self.blocks[-1]:
+            self._close(k)
+        if tag in ("td", "th"):
+            self.held.append(" ")
+
+    def _begin(self, tag: str, raw: str) -> None:
         if tag in BLOCK:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in ("table", "td", "th", "button")), 0)
-            if k and stack[k].tag == "p":
-                close(k)
-            flush()
+            if self.walls and self.stack[self.walls[-1]].tag == "p":
+                self._close(self.walls[-1])
+            self._flush()
         if tag in CLOSES_ITSELF:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES_ITSELF[tag]:
-                    close(k)
-                    if tag != "tr" or stack[-1].tag != "tr":
-                        break
-                elif stack[k].tag in SCOPE:
+            while (k := self._last(CLOSES_ITSELF[tag])) > self._last(SCOPE):
+                self._close(k)
+                if tag != "tr":
                     break
         if tag in VOID:
-            continue
-        raw = m[3] or m[6] or ""
-        attributes = {}
+            return
+        attributes: dict[str, str] = {}
         if raw.strip(" /"):
             for name, value in ATTRIBUTE.findall(raw):
                 attributes.setdefault(name.lower(), html.unescape(value.strip("\"'")))
-        names = frozenset(x.lower() for key in ("class", "id") for x in WORDS.findall(attributes.get(key, "")))
-        parent = stack[-1]
-        inside = any(x.tag == "article" for x in stack)
-        out = parent.out or _is_out(tag, attributes, names, inside)
-        if out and not parent.out:
-            flush()
+        names, away = _named(attributes)
+        soft = away if tag not in ("body", "html", "article", "main") and not (tag in HEADINGS and away == {"header"}) else frozenset()
+        hard = _is_hard(tag, attributes, bool(self.open["article"]))
+        if hard or soft:
+            self._flush()
         if raw.rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        links += tag == "a"
-        stack.append(_Node(tag, parent, out, names))
-    flush()
-    return found
+            return
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        if tag in ("p", "table", "td", "th", "button"):
+            self.walls.append(len(self.stack))
+        self.open[tag].append(len(self.stack))
+        self.stack.append(_Node(tag, self.stack[-1], hard, soft, names))
+        self.nodes.append(self.stack[-1])
+
+    def _read(self, page: str) -> None:
+        at, last = 0, page.rfind(">")
+        while at < len(page):
+            start = page.find("<", at)
+            m = TAG.search(page, start, last + 1) if 0 <= start <= last else None
+            if m is None and 0 <= start and (comment := page.find("<!--", max(start, last))) >= 0:
+                page = page[:comment]  # an open comment goes to the end
+            text = page[at : m.start() if m else len(page)]
+            if text:
+                self.held.append(text)
+                if self.open["a"]:
+                    self.linked += len(text)
+            if not m:
+                break
+            at = m.end()
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                continue
+            if m[1] or m[4]:
+                self._end(tag)
+            elif tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last + 1)
+                at = end.end() if end else len(page)
+            elif tag == "br":
+                self.held.append(" ")
+            else:
+                self._begin(tag, m[3] or m[6] or "")
+        self._flush()
+
+    def settle(self) -> None:
+        """Sums of the tree, and which elements are out: those that no article holds, and all in them.
+
+        An element whose class only looks like a menu or notice stays if it holds an article, a main element or a first
+        heading, or most of the page's plain text and isn't the readers'.
+        """
+        for node in reversed(self.nodes[1:]):
+            if not node.hard:
+                node.parent.chars += node.chars
+                node.parent.linked += node.linked
+                node.parent.holds |= node.holds
+        most = (self.root.chars - self.root.linked) / 2
+        for node in self.nodes[1:]:
+            stays = node.holds or not node.soft & READERS and node.chars - node.linked > most
+            node.out = node.parent.out or node.hard or bool(node.soft) and not stays
 
 
 def main_text(page: str | None) -> str:
@@ -161,54 +207,52 @@ def main_text(page: str | None) -> str:
     Every block gives points for length and commas to its ancestors, the nearest most. Points are discounted by the share
     of linked text. The container with most points is kept, widened to the article or main element around it, with the
     siblings that read like text. Elements that no article holds (menus, forms, adverts, comments, hidden parts and so
-    on) are left out everywhere.
+    on) are left out everywhere. A null or empty page, one without tags and a broken one are read like any other; time
+    and memory grow with the length of the page, however deep or broken it is.
     """
-    found = [(node, text) for node, text in _blocks(page or "") if not node.out]
+    tree = _Page(page or "")
+    tree.settle()
+    found = [(node, text) for node, text in tree.found if not node.out]
     if not found:
         return ""
-    nodes: dict[int, _Node] = {}
+    scored: dict[int, _Node] = {}
     for node, text in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         # a paragraph's points go to the elements around it; text that stands in a container directly counts there
         up = node.parent if node.tag in ("p", "pre", "blockquote", "li", "tr", *HEADINGS) and node.parent is not None else node
         level = 0
-        while up is not None:
-            if id(up) not in nodes:
-                nodes[id(up)] = up
+        while up is not None and level < LEVELS:
+            if id(up) not in scored:
+                scored[id(up)] = up
                 up.points = START.get(up.tag, 0) + (15 if up.names & ALIKE else 0)
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
     density = lambda n: n.linked / n.chars if n.chars else 0
     worth = lambda n: n.points * (1 - density(n))
-    best = max(nodes.values(), key=worth)
-    up, wider = best, None
-    while up is not None and wider is None:
-        wider = up if up.tag == "article" else None
-        up = up.parent
-    up = best
-    while up is not None and wider is None:
-        wider = up if up.tag == "main" else None
+    best = max(scored.values(), key=worth)
+    above = []
+    up: _Node | None = best
+    while up is not None:
+        above.append(up)
         up = up.parent
+    wider = next((x for tag in ("article", "main") for x in above if x.tag == tag), None)
     kept = {id(wider or best)}
     if wider is None:
+        for node in tree.nodes[1:]:
+            node.branch = node if node.parent is best.parent else node.parent.branch
         least = max(10, 0.2 * worth(best))
         for node, text in found:
-            own = node
-            while own is not None and own.parent is not best.parent:
-                own = own.parent
+            own = node.branch
             if own is None or own is best or id(own) in kept:
                 continue
             reads = own.tag in ("p", *HEADINGS) and (density(own) < 0.25 and len(text) > 80 or density(own) == 0 and (own.tag in HEADINGS or re.search(r"[.!?]\s*$", text)))
-            if worth(own) >= least and id(own) in nodes or reads:
+            if worth(own) >= least and id(own) in scored or reads:
                 kept.add(id(own))
-    out = []
-    for node, text in found:
-        up = node
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n\n".join(out)
+    inside: set[int] = set()
+    for node in tree.nodes:
+        if id(node) in kept or node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+    return "\n\n".join([text for node, text in found if id(node) in inside])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
