@@ -91,8 +91,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines. Rows with equal ids count as one document. An empty table gives an empty result. Other columns are not read.
 
     Lines with one set of words are compared once, at the first of them. A set's words are ordered by rarity and those of
-    its prefix are joined. At a word of few sets all are compared; at a frequent one first each with the earliest set,
-    which settles most members of a large group, then those still unmatched with every earlier set, so nothing is missed.
+    its prefix are joined. Each set is first compared with the earliest that may match at each of its words, which settles
+    most members of a large group, then, if still unmatched, with all others that may, so nothing is missed.
     """
     rule = Overlap(least, True)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -100,7 +100,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "parity", "tokens")).alias("s"))
     postings = sets.select(F.col("s.doc").alias("x"), F.col("s.line").alias("y"), F.lit(ALL).cast("long").alias("part"), F.col("s.n").cast("long").alias("n"), "s.parity", F.posexplode("s.tokens").alias("place", "token"))
     postings = postings.withColumn("place", F.col("place").cast("long"))
-    pairs, crowd = candidates(postings, rule, heads=True)
+    pairs, crowd = candidates(postings, rule, first_only=True)
     found = stage_table(_jaccard_pairs(pairs, own, least), "similar")
     if not crowd.isEmpty():
         asked = crowd.select("x", "y").distinct().join(found.select("x", "y").distinct(), ["x", "y"], "left_anti")

@@ -177,7 +177,7 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 yield whole.slice(k, 10_000)
 
     rows = own.select("kid", F.xxhash64("component").alias("part"), "text").mapInArrow(run, "token long, x long, part long, n long, place long, parity long")
-    pairs, crowd = candidates(rows.withColumn("y", F.lit(0).cast("long")), rule, heads=False)
+    pairs, crowd = candidates(rows.withColumn("y", F.lit(0).cast("long")), rule, first_only=False)
     found = stage_table(pairs.union(crowded(crowd, rule)).distinct(), "open-pairs")
     return found.join(texts.select(F.col("kid").alias("x"), F.col("key").alias("a")), "x").select("a", F.col("bx").alias("bkid")).distinct()
 

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import partitions, stage_table
 
 POSTING = ("token", "x", "y", "part", "n", "place", "parity")
-#: Sets at one token that are compared with each other at once; more go through a join in Spark.
-CROWD = 64
+#: Sets at one token that a task compares with each other; a token of more goes through a join in Spark.
+CROWD = 4096
+#: Postings that a task looks at together.
+ROWS = 150_000
 _EPS = 1e-6
 #: The part of sets that may be compared with all others.
 ALL = -1
@@ -40,8 +42,10 @@ class Overlap:
         return n - np.ceil(self.least * n - _EPS).astype(np.int64) + 1
 
     def fits(self, n, m, i, j, differ, least, greatest):
+        """Whether sets that share their first common token at places i and j can be similar."""
         need = self.need(n, m, greatest)
-        return (least(n, m) >= need - _EPS) & (least(i, j) + 1 + least(n - i, m - j) - 1 >= need - _EPS) & (differ <= n + m - 2 * need + _EPS)
+        spare = n + m - 2 * need + _EPS
+        return (least(n, m) >= need - _EPS) & (i + j <= spare) & (differ <= spare)
 
 
 def parity(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -50,81 +54,97 @@ def parity(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, rule: Overlap) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of rows a and b those that can be similar."""
+    """Of the pairs of rows a and b those that can be similar, the later set first."""
+    n, m = rows["n"][a], rows["n"][b]
+    near = rows["place"][a] + rows["place"][b] <= n + m - 2 * rule.need(n, m, np.maximum) + _EPS
+    a, b = a[near], b[near]
     differ = np.bitwise_count(rows["parity"][a] ^ rows["parity"][b]).astype(np.int64)
-    n, place = rows["n"], rows["place"]
-    keep = rule.fits(n[a], n[b], place[a], place[b], differ, np.minimum, np.maximum)
-    keep &= ((rows["part"][a] != rows["part"][b]) | (rows["part"][a] == ALL)) & ((rows["x"][a] != rows["x"][b]) | (rows["y"][a] != rows["y"][b]))
-    return a[keep], b[keep]
+    keep = rule.fits(rows["n"][a], rows["n"][b], rows["place"][a], rows["place"][b], differ, np.minimum, np.maximum)
+    x, y, part = rows["x"], rows["y"], rows["part"]
+    keep &= ((part[a] != part[b]) | (part[a] == ALL)) & ((x[a] != x[b]) | (y[a] != y[b]))
+    a, b = a[keep], b[keep]
+    later = (x[a] > x[b]) | ((x[a] == x[b]) & (y[a] > y[b]))
+    return np.where(later, a, b), np.where(later, b, a)
 
 
-def _pairs(rows: dict[str, np.ndarray], size: np.ndarray, rule: Overlap, heads: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(later, earlier) of all pairs at the tokens of a few sets, and with heads of each set with the first one at the others."""
-    crowd = size > CROWD
-    group = np.repeat(np.arange(len(size)), size)
+def _pairs(rows: dict[str, np.ndarray], size: np.ndarray, rule: Overlap) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs at each token; a token's sets stand together, small ones first, so that a set is compared with fitting ones only."""
     start = np.repeat(np.cumsum(size) - size, size)
-    if heads:
-        yield _near(rows, at := np.flatnonzero(crowd[group]), start[at], rule)
-    at = np.flatnonzero(~crowd[group] & (size[group] > 1))
-    d = 1
+    n, at, d, found = rows["n"], np.flatnonzero(np.repeat(size > 1, size)), 1, []
     while len(at):
         at = at[at - d >= start[at]]
-        yield _near(rows, at, at - d, rule)
+        at = at[n[at - d] >= rule.least * n[at] - _EPS]
+        found.append(_near(rows, at, at - d, rule))
         d += 1
+    a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return a, b
 
 
-def candidates(postings: DataFrame, rule: Overlap, heads: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y, bx, by) of sets that may be similar, the later set first, and the postings of crowded tokens.
+def candidates(postings: DataFrame, rule: Overlap, first_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y, bx, by) of sets that may be similar, the later set first, and postings that are left to crowded().
 
     postings has the columns of POSTING: a set is named by (x, y), which also order the sets; sets of one part are not
-    compared, unless it is ALL. At a token with more than CROWD sets each set is compared with the first one only (heads) or with none; all
-    others at it are left to crowded(). A token's postings are read in order as a stream, so a frequent token takes no
-    more memory than a rare one. Pairs that share several tokens may come repeatedly.
+    compared, unless it is ALL. With first_only a set is paired with the earliest fitting set of each token only, and the
+    postings of tokens where it has others are left over; without it with all. At a token of more than CROWD sets these
+    are compared with the first one (first_only) or none, and all are left over. A token's postings are read as a
+    stream, so a frequent token takes no more memory than CROWD sets. Pairs that share several tokens may come repeatedly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None  # the last token's rows so far, or only its first if `over`
+        held: dict[str, np.ndarray] | None = None  # rows of the last tokens so far, or only the token's first if `over`
         over = False
 
-        def emit(rows: dict[str, np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], crowd: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            out = {c: np.concatenate([rows[c][a], rows[c][crowd]]) for c in ("x", "y", "part", "n", "place", "parity", "token")}
-            bx, by = (np.concatenate([rows[c][b], np.zeros(len(crowd), np.int64)]) for c in ("x", "y"))
-            pair = np.arange(len(a) + len(crowd)) < len(a)
-            columns = [pa.array(pair), pa.array(bx), pa.array(by), *(pa.array(out[c].view(np.int64)) for c in POSTING)]
+        def emit(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+            out = {c: np.concatenate([rows[c][a], rows[c][left]]) for c in POSTING}
+            bx, by = (np.concatenate([rows[c][b], np.zeros(len(left), np.int64)]) for c in ("x", "y"))
+            columns = [pa.array(np.arange(len(bx)) < len(a)), pa.array(bx), pa.array(by), *(pa.array(out[c].view(np.int64)) for c in POSTING)]
             whole = pa.RecordBatch.from_arrays(columns, names=["pair", "bx", "by", *POSTING])
             for k in range(0, whole.num_rows, 10_000):
                 yield whole.slice(k, 10_000)
 
         def done(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Rows of whole tokens."""
-            if len(rows["token"]):
-                edge = np.flatnonzero(np.diff(rows["token"], prepend=rows["token"][0] - 1))
-                size = np.diff(np.append(edge, len(rows["token"])))
-                crowd = np.flatnonzero(np.repeat(size > CROWD, size))
-                yield from emit(rows, list(_pairs(rows, size, rule, heads)), crowd)
+            """Rows of whole tokens of up to CROWD sets."""
+            order = np.lexsort((rows["n"], rows["token"]))
+            rows = {c: v[order] for c, v in rows.items()}
+            edge = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])) if len(order) else np.zeros(0, np.int64)
+            a, b = _pairs(rows, np.diff(np.append(edge, len(order))), rule)
+            left = np.zeros(0, np.int64)
+            if first_only and len(a):
+                rank = np.lexsort((rows["y"][b], rows["x"][b], a))
+                first = np.append(True, np.diff(a[rank]) != 0)
+                crowd = np.unique(rows["token"][a[rank[~first]]])  # tokens where a set has several partners
+                both = np.unique(np.concatenate([a, b]))
+                left = both[np.isin(rows["token"][both], crowd)]
+                a, b = a[rank[first]], b[rank[first]]
+            yield from emit(rows, a, b, left)
 
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in POSTING}
-            rows["parity"] = rows["parity"].view(np.uint64)
             if not batch.num_rows:
                 continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in POSTING}
+            rows["parity"] = rows["parity"].view(np.uint64)
             if over:  # the rest of a crowded token
                 same = int(np.searchsorted(rows["token"] != held["token"][0], True))
                 own = {c: np.concatenate([held[c], v[:same]]) for c, v in rows.items()}
                 at = np.arange(1, same + 1)
-                yield from emit(own, [_near(own, at, np.zeros(same, np.int64), rule)] if heads else [], at)
+                yield from emit(own, *(_near(own, at, np.zeros(same, np.int64), rule) if first_only else (at[:0], at[:0])), at)
                 if same == batch.num_rows:
                     continue
                 rows, held, over = {c: v[same:] for c, v in rows.items()}, None, False
             if held is not None:
                 rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
             last = int(np.searchsorted(rows["token"], rows["token"][-1]))
-            yield from done({c: v[:last] for c, v in rows.items()})
-            held = {c: v[last:] for c, v in rows.items()}
-            if len(held["token"]) > CROWD:
-                yield from done(held)
-                held, over = {c: v[:1] for c, v in held.items()}, True
+            if len(rows["token"]) - last > CROWD:
+                yield from done({c: v[:last] for c, v in rows.items()})
+                own = {c: v[last:] for c, v in rows.items()}
+                at = np.arange(len(own["token"]))
+                yield from emit(own, *(_near(own, at[1:], np.zeros(len(at) - 1, np.int64), rule) if first_only else (at[:0], at[:0])), at)
+                held, over = {c: v[:1] for c, v in own.items()}, True
+            elif last >= ROWS:
+                yield from done({c: v[:last] for c, v in rows.items()})
+                held = {c: v[last:] for c, v in rows.items()}
+            else:
+                held = rows
         if held is not None and not over:
             yield from done(held)
 
