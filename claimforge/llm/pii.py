@@ -17,6 +17,8 @@ from .common import SLICE, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
+#: Documents that are looked at for each one of the sample, since not every one with a cue has a token.
+OVER = 8
 Span = tuple[int, int, int]  # place in KINDS, start, end
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -25,8 +27,9 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What can be a node of the field besides a found entity: a token with an at sign, or a run of digits with separators.
-UNIT = re.compile(r"[^\s@]*@\S*|\+?\(?[0-9](?:[ ().\-]{0,2}[0-9])*")
+#: What can be a node of the field besides a found entity: a token with an at sign, or elsewhere a run of digits with separators.
+TOKEN = re.compile(r"\S+")
+DIGITS = re.compile(r"\+?\(?[0-9](?:[ ().\-]{0,2}[0-9])*")
 CUE = re.compile(r"[0-9@]")
 
 
@@ -94,12 +97,22 @@ def _digits(own: str) -> str:
     return "".join(c for c in own if c in "0123456789")
 
 
+def _unit_places(text: str) -> Iterator[tuple[int, int]]:
+    """Places of tokens with an at sign and of runs of digits between them, in one pass whatever the text."""
+    at = 0
+    for m in TOKEN.finditer(text) if "@" in text else ():
+        if "@" in m[0]:
+            yield from (d.span() for d in DIGITS.finditer(text, at, m.start()))
+            yield m.span()
+            at = m.end()
+    yield from (d.span() for d in DIGITS.finditer(text, at))
+
+
 def find_units(text: str, base: list[Span]) -> Units:
     taken = sorted((s, e, k) for k, s, e in base)
     spans, at = [(s, e, k + 1) for s, e, k in taken], 0
-    for m in UNIT.finditer(text):
-        start, end = m.span()
-        end -= len(m[0]) - len(m[0].rstrip(".,;:!?()\"'-"))
+    for start, end in _unit_places(text):
+        end = start + len(text[start:end].rstrip(".,;:!?()\"'-"))
         while at < len(taken) and taken[at][1] <= start:
             at += 1
         if end > start and not any(s < end and start < e for s, e, _ in taken[at : at + 4]):
@@ -241,7 +254,9 @@ def find_spans(text: str | None, field: Field, sure: float = 0.5) -> tuple[list[
 def train_field(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, sample_units: int = 200) -> Field:
     """Fits the field on at most sample_docs documents with cues, those of lowest text hash, and their first sample_units tokens.
 
-    The bounds hold whatever the corpus; only token shapes and links go to the driver, no texts.
+    The bounds hold whatever the corpus: documents with cues are counted, a share of their hashes is taken that gives
+    some OVER times the sample, and of these the lowest go to the driver, as token shapes and links, not texts. Null and
+    empty texts have no cues; an empty table gives the priors.
     """
     kinds = "struct<labels:array<int>,features:array<int>,same:array<int>,near:array<int>>"
 
@@ -257,7 +272,9 @@ def train_field(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000
             yield pa.array(rows, pa.struct([(n, pa.list_(pa.int32())) for n in ("labels", "features", "same", "near")]))
 
     text = F.col(text_col)
-    rows = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), shapes(text).alias("u")).where(F.size("u.labels") > 0)
+    cued = docs.where(text.rlike("[0-9@]")).select(text.alias("text"), F.xxhash64(text).bitwiseAND(2**62 - 1).alias("h"))
+    share = min(1.0, OVER * sample_docs / max(1, cued.count()))
+    rows = cued.where(F.col("h") < int(share * 2**62)).select("h", shapes(F.col("text")).alias("u")).where(F.size("u.labels") > 0)
     found = rows.orderBy("h", F.to_json("u")).limit(sample_docs).collect()
     pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
     return fit_field([Units([(0, 0)] * len(r["u"]["labels"]), r["u"]["labels"], r["u"]["features"], pairs(r["u"]["same"]), pairs(r["u"]["near"])) for r in found])
@@ -313,6 +330,9 @@ def redacted(text: Column, field: Field) -> Column:
 
 
 def redact_pii(docs: DataFrame, field: Field | None = None, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with personal data in the text replaced."""
+    """The documents, all columns, with personal data in the text replaced; null, empty and repeated rows stay as they are.
+
+    Columns may have any names. Nothing is shuffled; an empty table gives an empty result.
+    """
     field = field or train_field(docs, text_col)
     return docs.withColumn(text_col, redacted(F.col(text_col), field))

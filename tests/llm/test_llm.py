@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -342,6 +344,55 @@ def test_pii(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_pii_base_equals_the_patterns():
+    patterns = [
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+    ]
+    digits = lambda x: "".join(c for c in x if c in "0123456789")
+    good = [
+        lambda x: True, lambda x: all(int(p) <= 255 for p in x.split(".")), lambda x: 13 <= len(digits(x)) <= 19 and pii.luhn(digits(x)), lambda x: 9 <= len(digits(x)) <= 15,
+    ]
+    rng, parts = np.random.default_rng(12), ["a", "b.c", "@", "x.org", ".", "-", " ", "+", "1", "42", "255", "4111 1111 1111 1111", "10.0.0.1", "(", ")", "é", "\n", "+1 243 555 5526"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(0, 14)))
+        want = sorted((k, m.start(), m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, text) if good[k](m[0]))
+        assert sorted(pii.base_spans(text)) == want, text
+
+
+def test_field_marginals_equal_enumeration():
+    """On chains and trees of skip links message passing is exact; entities found by the patterns are observed."""
+    rng, n = np.random.default_rng(13), len(pii.LABELS)
+    for same, labels in (([], [-1, -1, -1]), ([(0, 1)], [2, -1]), ([], [-1, 3, -1, -1])):
+        count = len(labels)
+        field = pii.Field(rng.normal(0, 1, (pii.N_FEATURES, n)), rng.normal(0, 1, (n, n)), np.array([2.0, 1.0]))
+        u = pii.Units([(k, k + 1) for k in range(count)], labels, rng.integers(1, 2**pii.N_FEATURES, count).tolist(), same, [])
+        own = pii._bits(u.features) @ field.unary
+        total = np.zeros((count, n))
+        for x in itertools.product(range(n), repeat=count):
+            if all(k < 0 or k == y for k, y in zip(labels, x)):
+                score = sum(own[i, y] if labels[i] < 0 else 0 for i, y in enumerate(x)) + sum(field.chain[x[i], x[i + 1]] for i in range(count - 1)) + sum(field.skip[0] * (x[a] == x[b]) for a, b in same)
+                for i, y in enumerate(x):
+                    total[i, y] += np.exp(score)
+        want = total / total.sum(1, keepdims=True)
+        assert np.abs(pii.marginals(u, field, rounds=60) - want).max() < (1e-4 if not same else 0.2)
+
+
+def test_long_and_broken_texts_take_seconds():
+    field, began = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), np.array([3.0, 2.0])), time.process_time()
+    for text in ("A1" * 500_000, "a@" * 300_000, "1 " * 300_000, "+1(" * 200_000, "1." * 300_000, "a@b.cd 10.0.0.1 " + "x9" * 400_000):
+        pii.find_spans(text, field)
+    for page in ("<a " * 100_000, "<div>" * 100_000 + "x, y", "<b>" * 50_000 + "</i>" * 50_000, '<a "' * 100_000, "<p>a, b" * 50_000, "<!--" * 100_000, "<table><td>" + "<div>" * 50_000):
+        html_text.main_text(page)
+    assert time.process_time() - began < 90
+
+
+def test_articles_stay_inside_named_containers():
+    body = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i}, with commas, and enough words to be read as text.</p>" for i in range(5))
+    for own in ('<div id="page" class="site has-sidebar">%s</div>', '<div class="entry no-comments">%s</div>', '<div class="share-of-mind story">%s</div>'):
+        text = html_text.main_text(f"<body><div class='main-menu'><a href=/>home</a></div>{own % body}<div class='comments'>{'<p>Readers say, long and often.</p>' * 50}</div></body>")
+        assert text.startswith("Title\n\nParagraph 0,") and text.count("Paragraph") == 5 and "Readers" not in text and "home" not in text
+
+
 def test_media(spark):
     rng = np.random.default_rng(3)
     vectors = spark.createDataFrame([(i, rng.normal(0, 1, 8).tolist()) for i in range(30)] + [(31, None)], "vec_id long, embedding array<double>")
