@@ -14,7 +14,7 @@ from .rarity import needed, rarity_levels, slots
 from .setjoin import ALL, Overlap, candidates, crowded, ordered_tokens, parity
 from .words import batch_words, mix
 
-LINES = "doc long, line long, k1 long, k2 long, n int, parity long, tokens array<long>"
+LINES = "doc long, line long, k1 long, k2 long, n int, odd long, even long, tokens array<long>"
 #: Stands for a null id, which so comes first.
 NO_ID = -(2**63)
 
@@ -42,9 +42,9 @@ def _lines(docs: DataFrame, levels: np.ndarray, rule: Overlap, min_words: int) -
             ends = np.concatenate([[0], np.cumsum(prefix)])
             columns = [
                 ids.take(pa.array(text)), pa.array(lines - words.first_line[text]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)),
-                pa.array(parity(h, first).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept.view(np.int64))),
+                *map(pa.array, parity(h, first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept.view(np.int64))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "k1", "k2", "n", "parity", "tokens"]).filter(pa.array(take))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "k1", "k2", "n", "odd", "even", "tokens"]).filter(pa.array(take))
 
     return docs.select("doc", "text").mapInArrow(run, LINES)
 
@@ -97,8 +97,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rule = Overlap(least, True)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     lines = stage_table(_lines(own, rarity_levels(own), rule, min_words), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "parity", "tokens")).alias("s"))
-    postings = sets.select(F.col("s.doc").alias("x"), F.col("s.line").alias("y"), F.lit(ALL).cast("long").alias("part"), F.col("s.n").cast("long").alias("n"), "s.parity", F.posexplode("s.tokens").alias("place", "token"))
+    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "odd", "even", "tokens")).alias("s"))
+    postings = sets.select(F.col("s.doc").alias("x"), F.col("s.line").alias("y"), F.lit(ALL).cast("long").alias("part"), F.col("s.n").cast("long").alias("n"), "s.odd", "s.even", F.posexplode("s.tokens").alias("place", "token"))
     postings = postings.withColumn("place", F.col("place").cast("long"))
     pairs, crowd = candidates(postings, rule, first_only=True)
     found = stage_table(_jaccard_pairs(pairs, own, least), "similar")

@@ -170,13 +170,13 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             of = np.repeat(np.arange(len(n)), n)[take]
             texts_at = pa.array(groups[of])
             whole = pa.RecordBatch.from_arrays(
-                [pa.array(token[take].view(np.int64)), kids.take(texts_at), parts.take(texts_at), pa.array(n[of]), pa.array(place[take]), pa.array(parity(h, first)[of].view(np.int64))],
-                names=["token", "x", "part", "n", "place", "parity"],
+                [pa.array(token[take].view(np.int64)), kids.take(texts_at), parts.take(texts_at), pa.array(n[of]), pa.array(place[take]), *(pa.array(x[of]) for x in parity(h, first))],
+                names=["token", "x", "part", "n", "place", "odd", "even"],
             )
             for k in range(0, whole.num_rows, 10_000):
                 yield whole.slice(k, 10_000)
 
-    rows = own.select("kid", F.xxhash64("component").alias("part"), "text").mapInArrow(run, "token long, x long, part long, n long, place long, parity long")
+    rows = own.select("kid", F.xxhash64("component").alias("part"), "text").mapInArrow(run, "token long, x long, part long, n long, place long, odd long, even long")
     pairs, crowd = candidates(rows.withColumn("y", F.lit(0).cast("long")), rule, first_only=False)
     found = stage_table(pairs.union(crowded(crowd, rule)).distinct(), "open-pairs")
     return found.join(texts.select(F.col("kid").alias("x"), F.col("key").alias("a")), "x").select("a", F.col("bx").alias("bkid")).distinct()

@@ -1,8 +1,9 @@
 """Candidates of an exact set-similarity join: a prefix join on rare tokens with length, positional and parity filters.
 
 A set's tokens are ordered from rare to frequent, alike for all sets. Sets that overlap enough share a token of their
-prefixes; what is left to check is whether two sets at one token can still overlap enough. The parity of a set is a
-64-bit word with the bit of each token flipped once, so two sets differ in at least as many tokens as their parities in bits.
+prefixes; what is left to check is whether two sets at one token can still overlap enough. The parity of a set is 128
+bits, in two words, with the bit of each token flipped once, so two sets differ in at least as many tokens as their
+parities in bits. For sets of some 200 tokens and fewer that tells unlike sets from similar ones nearly always.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stage_table
 
-POSTING = ("token", "x", "y", "part", "n", "place", "parity")
+POSTING = ("token", "x", "y", "part", "n", "place", "odd", "even")
 #: Sets at one token that a task compares with each other; a token of more goes through a join in Spark.
 CROWD = 4096
 #: Postings that a task looks at together.
@@ -48,9 +49,10 @@ class Overlap:
         return (least(n, m) >= need - _EPS) & (i + j <= spare) & (differ <= spare)
 
 
-def parity(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The parity of each set; first holds the place of each set's first token, and no set is empty."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first)
+def parity(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words of each set's parity; first holds the place of each set's first token, and no set is empty."""
+    bit, side = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6)) & np.uint64(1)
+    return tuple(np.bitwise_xor.reduceat(np.where(side == k, bit, np.uint64(0)), first).view(np.int64) for k in (1, 0))
 
 
 def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, rule: Overlap) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +60,7 @@ def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, rule: Overl
     n, m = rows["n"][a], rows["n"][b]
     near = rows["place"][a] + rows["place"][b] <= n + m - 2 * rule.need(n, m, np.maximum) + _EPS
     a, b = a[near], b[near]
-    differ = np.bitwise_count(rows["parity"][a] ^ rows["parity"][b]).astype(np.int64)
+    differ = sum(np.bitwise_count((rows[c][a] ^ rows[c][b]).view(np.uint64)).astype(np.int64) for c in ("odd", "even"))
     keep = rule.fits(rows["n"][a], rows["n"][b], rows["place"][a], rows["place"][b], differ, np.minimum, np.maximum)
     x, y, part = rows["x"], rows["y"], rows["part"]
     keep &= ((part[a] != part[b]) | (part[a] == ALL)) & ((x[a] != x[b]) | (y[a] != y[b]))
@@ -97,7 +99,7 @@ def candidates(postings: DataFrame, rule: Overlap, first_only: bool) -> tuple[Da
         def emit(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
             out = {c: np.concatenate([rows[c][a], rows[c][left]]) for c in POSTING}
             bx, by = (np.concatenate([rows[c][b], np.zeros(len(left), np.int64)]) for c in ("x", "y"))
-            columns = [pa.array(np.arange(len(bx)) < len(a)), pa.array(bx), pa.array(by), *(pa.array(out[c].view(np.int64)) for c in POSTING)]
+            columns = [pa.array(np.arange(len(bx)) < len(a)), pa.array(bx), pa.array(by), *(pa.array(out[c]) for c in POSTING)]
             whole = pa.RecordBatch.from_arrays(columns, names=["pair", "bx", "by", *POSTING])
             for k in range(0, whole.num_rows, 10_000):
                 yield whole.slice(k, 10_000)
@@ -122,7 +124,6 @@ def candidates(postings: DataFrame, rule: Overlap, first_only: bool) -> tuple[Da
             if not batch.num_rows:
                 continue
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in POSTING}
-            rows["parity"] = rows["parity"].view(np.uint64)
             if over:  # the rest of a crowded token
                 same = int(np.searchsorted(rows["token"] != held["token"][0], True))
                 own = {c: np.concatenate([held[c], v[:same]]) for c, v in rows.items()}
@@ -162,7 +163,7 @@ def crowded(crowd: DataFrame, rule: Overlap, asked: DataFrame | None = None) ->
     b = crowd.select(*(F.col(c).alias(f"b{c}") for c in POSTING))
     a = crowd if asked is None else crowd.join(asked, ["x", "y"], "left_semi")
     before = (F.col("bx") < F.col("x")) | ((F.col("bx") == F.col("x")) & (F.col("by") < F.col("y")))
-    differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("bparity")))
+    differ = F.bit_count(F.col("odd").bitwiseXOR(F.col("bodd"))) + F.bit_count(F.col("even").bitwiseXOR(F.col("beven")))
     fits: Column = rule.fits(F.col("n"), F.col("bn"), F.col("place"), F.col("bplace"), differ, F.least, F.greatest)
     pairs = a.join(b, (F.col("token") == F.col("btoken")) & before & ((F.col("part") != F.col("bpart")) | (F.col("part") == ALL)) & fits)
     return pairs.select("x", "y", "bx", "by").distinct()
