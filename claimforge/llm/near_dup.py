@@ -22,6 +22,8 @@ K = 5
 TOP = np.uint64(2**64 - 1)
 #: Stands for a null id in joins.
 NO_ID = -(2**63)
+#: Bits of a text's mark: the bit of each word, labelled by its occurrences, is flipped once.
+MARK_BITS = 2048
 
 
 def order_sketches(words: Words, n_sketches: int, size: int, k: int = K) -> np.ndarray:
@@ -106,21 +108,33 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def word_marks(words: Words) -> np.ndarray:
+    """Marks of all texts, MARK_BITS / 64 words each. Texts differ in at least as many words as their marks in bits."""
+    n_texts = len(words.first_line) - 1
+    h = mix(labelled(words.hashes, words.text))
+    flipped = np.bincount(words.text * MARK_BITS + (h % np.uint64(MARK_BITS)).astype(np.int64), minlength=n_texts * MARK_BITS).astype(np.uint8) & 1
+    return np.packbits(flipped, bitorder="little").view(np.int64).reshape(n_texts, MARK_BITS // 64)
+
+
 def _sketch(docs: DataFrame, n_sketches: int, size: int) -> DataFrame:
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in sized(batches, most=4 << 20):
+        for ids, texts in sized(batches, rows=2048, most=4 << 20):
             words = batch_words(texts)
-            sketches = order_sketches(words, n_sketches, size).view(np.int64)
             keys = [hashlib.md5((t or "").encode(), usedforsecurity=False).digest() for t in texts.to_pylist()]
             n = np.bincount(words.text, minlength=len(texts)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sketches.size + 1, n_sketches, dtype=np.int32)), pa.array(sketches.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(n), lists], names=["doc_id", "key", "n", "sketches"])
+            sketches = order_sketches(words, n_sketches, size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(n), lists(sketches), lists(word_marks(words))], names=["doc_id", "key", "n", "sketches", "mark"])
+
+    return docs.mapInArrow(run, "doc_id long, key binary, n int, sketches array<long>, mark array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n int, sketches array<long>")
 
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, least: float, share: bool = False) -> DataFrame:
+    """The pairs (akid, bkid) of numbers of texts that align, as pairs (a, b) of keys.
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts align; pairs has a key and the number of another text, bkid."""
+    Lengths and marks tell most others before texts are fetched; share: only texts that share a sketch are candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +151,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 at += len(text_a)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    own = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    own = own.join(texts.select(F.col("kid").alias("bkid"), F.col("key").alias("b"), F.col("text").alias("text_b")), "bkid")
-    return own.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    side = lambda s: known.select(*(F.col(c).alias(f"{s}{c}") for c in ("kid", "n", "mark", *(["sketches"] if share else []))))
+    own = pairs.join(side("a"), "akid").join(side("b"), "bkid")
+    differ = F.aggregate(F.zip_with("amark", "bmark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    need = least * F.greatest("an", "bn") - 1e-6
+    own = own.where((F.least("an", "bn") >= need) & (differ <= F.col("an") + F.col("bn") - 2 * need))
+    own = own.where(F.arrays_overlap("asketches", "bsketches")) if share else own
+    own = stage_table(own.select("akid", "bkid"), "plausible")
+    text = lambda s: texts.select(F.col("kid").alias(f"{s}kid"), F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
+    own = own.join(text("a"), "akid").join(text("b"), "bkid").select("a", "b", "text_a", "text_b")
+    return stage_table(own.mapInArrow(run, "a binary, b binary"), "verified")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,7 +168,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, bkid) of texts of different components that can be similar: an exact prefix join of their labelled words.
+    """Pairs (akid, bkid) of texts of different components that can be similar: an exact prefix join of their labelled words.
 
     Texts that align enough share most of their words, and so one of the rarest of each; a text with many words of its
     own, such as one that shares only a passage with others, has none of the common ones in its prefix and meets none.
@@ -178,8 +199,7 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     rows = own.select("kid", F.xxhash64("component").alias("part"), "text").mapInArrow(run, "token long, x long, part long, n long, place long, odd long, even long")
     pairs, crowd = candidates(rows.withColumn("y", F.lit(0).cast("long")), rule, first_only=False)
-    found = stage_table(pairs.union(crowded(crowd, rule)).distinct(), "open-pairs")
-    return found.join(texts.select(F.col("kid").alias("x"), F.col("key").alias("a")), "x").select("a", F.col("bx").alias("bkid")).distinct()
+    return pairs.union(crowded(crowd, rule)).select(F.col("x").alias("akid"), F.col("bx").alias("bkid")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, n_sketches: int = 32, sketch_size: int = 2) -> DataFrame:
@@ -189,9 +209,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes are connected texts. Copies of a text share its key and are compared once. Candidates share one of n_sketches
     order-MinHash sketches, each of the sketch_size smallest five-word shingles in text order.
 
-    In a bucket of texts with one sketch, texts are first compared with one of them. What then are different classes of
-    a bucket is joined exactly, on the rarest words of each text. So a large group of copies costs few comparisons, and
-    every two texts in a bucket end up in one class or are known to differ. Buckets are only aggregated and joined.
+    In a bucket of texts with one sketch, texts are first compared with one of them, drawn anew for every bucket; where a
+    bucket then still holds several classes, with two others. What are different classes after that is joined exactly,
+    on the rarest words of each text. So a large group of copies costs few comparisons, and every two texts in a bucket
+    end up in one class or are known to differ. Buckets are only aggregated and joined.
 
     A null text counts as empty; texts without words are linked to equal ones only. Null ids come last in the choice of
     class_id. Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
@@ -199,30 +220,41 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = stage_table(_sketch(rows, n_sketches, sketch_size), "sketches")
     kid = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")  # names a text well enough to look it up
-    distinct = sketched.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
-    distinct = stage_table(distinct.withColumn("kid", kid), "texts-sketched")
-    members = distinct.select("key", "kid", "n", F.explode(F.array_distinct("sketches")).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("kid").alias("center"), F.max("kid").alias("other")).where("center <> other").drop("other")
+    distinct = sketched.where("n > 0").groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "n", "sketches", "mark")).alias("s"))
+    distinct = stage_table(distinct.select("key", kid.alias("kid"), "s.*"), "texts-sketched")
+    members = distinct.select("key", "kid", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    drawn = F.col("kid").bitwiseXOR(F.xxhash64("bucket"))  # an order of a bucket's own
+    back = lambda c: F.col(c).bitwiseXOR(F.xxhash64("bucket"))
+    shared = members.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high").select("bucket", back("low").alias("center"))
     members = stage_table(members.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
 
     found = stage_table(distinct.select("key", "kid", "doc").join(members.select("kid").distinct(), "kid", "left_semi"), "found")
     doc = F.coalesce("doc_id", F.lit(NO_ID))
     texts = rows.where(needed(found.select("doc"))(doc)).select(doc.alias("doc"), text_key(F.col("text")).alias("key"), "text")
     texts = stage_table(texts.join(found, ["key", "doc"]).select("key", "kid", "text").dropDuplicates(["key"]), "texts")
+    known = stage_table(distinct.join(found.select("kid"), "kid", "left_semi").select("kid", "n", "mark", "sketches"), "known")
 
-    centers = members.select(F.col("center").alias("bkid"), "bucket", F.when(F.col("kid") == F.col("center"), F.col("n")).alias("bn")).where("bn is not null")
-    pairs = members.where("kid <> center").join(centers.drop("bkid"), "bucket").where(F.least("n", "bn") >= least * F.greatest("n", "bn") - 1e-6)
-    done = stage_table(pairs.select(F.col("key").alias("a"), F.col("center").alias("bkid")).distinct(), "pairs")
-    links = stage_table(_verified(done, texts, least), "verified")
+    ordered = [F.least("kid", "other").alias("akid"), F.greatest("kid", "other").alias("bkid")]
+    done = stage_table(members.withColumnRenamed("center", "other").where("kid <> other").select(*ordered).distinct(), "pairs")
+    links = _verified(done, known, texts, least)
+    labels = components(links)
+    # two others of each bucket that isn't one class
+    again = stage_table(_labelled(members.select("key", "kid", "bucket"), labels), "labelled")
+    drawn = F.xxhash64("kid", "bucket")
+    others = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("kid", "component"), drawn).alias("x"), F.max_by(F.struct("kid", "component"), drawn).alias("y"))
+    others = others.where("low <> high").select("bucket", F.explode(F.array("x", "y")).alias("o")).select("bucket", F.col("o.kid").alias("other"), F.col("o.component").alias("theirs"))
+    pairs = again.join(others, "bucket").where("component <> theirs").select(*ordered).distinct()
+    pairs = stage_table(pairs.join(done, ["akid", "bkid"], "left_anti"), "pairs")
+    done = done.union(pairs)
+    links = links.union(_verified(pairs, known, texts, least))
     labels = components(links)
     # whatever two classes of a bucket are left
-    again = _labelled(members.select("key", "bucket"), labels)
+    again = stage_table(_labelled(members.select("key", "bucket"), labels), "labelled")
     open_buckets = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     left = again.join(open_buckets, "bucket", "left_semi").select("key", "component").distinct()
-    pairs = stage_table(_prefix_pairs(left, texts, least).join(done, ["a", "bkid"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(stage_table(_verified(pairs, texts, least), "verified"))
-        labels = components(links)
+    pairs = _prefix_pairs(left, texts, least).select(F.least("akid", "bkid").alias("akid"), F.greatest("akid", "bkid").alias("bkid"))
+    links = links.union(_verified(pairs.join(done, ["akid", "bkid"], "left_anti"), known, texts, least, share=True))
+    labels = components(links)
 
     # per text first, so that a large group of copies is a few numbers
     per_text = sketched.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
