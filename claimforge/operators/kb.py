@@ -111,10 +111,22 @@ def trust_now(records: DataFrame, score: Column, days: Column, half: Column, flo
 
 
 def trust_fold(events: DataFrame, key: str, order: list[str], delta: str, start: float = 0.5) -> DataFrame:
-    """Score of each key after its events in order, each added and clipped to [0, 1]; an ordered built-in fold."""
-    own = F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("double").alias("_d"))))
-    fold = F.aggregate(own, F.lit(start), lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s + x["_d"])))
-    return events.groupBy(key).agg(F.round(fold, 6).alias("score"), F.count("*").alias("n_events"))
+    """Score of each key after its events in order, each added and clipped to [0, 1].
+
+    Additions with clips compose to one addition with clips, so each day of a key is folded first and then the days: no
+    row holds a key's whole history. order begins with a timestamp. Null changes count as 0.
+    """
+    step = lambda s, d: F.struct((s["a"] + d).alias("a"), _clip(s["low"] + d).alias("low"), _clip(s["high"] + d).alias("high"))
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+    daily = events.groupBy(key, F.date_trunc("day", order[0]).alias("_day")).agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(delta).cast("double"), F.lit(0.0)).alias("_d")))).alias("_own"), F.count("*").alias("_n"))
+    daily = daily.select(key, "_day", "_n", F.aggregate("_own", none, lambda s, x: step(s, x["_d"])).alias("_f"))
+    days = F.array_sort(F.collect_list(F.struct("_day", "_f")))
+    fold = F.aggregate(days, F.lit(start), lambda s, x: F.least(x["_f"]["high"], F.greatest(x["_f"]["low"], s + x["_f"]["a"])))
+    return daily.groupBy(key).agg(F.round(fold, 6).alias("score"), F.sum("_n").alias("n_events"))
+
+
+def _clip(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
 def flow_path(flows: DataFrame, key: str, order: list[str], zone: str) -> DataFrame:
@@ -139,19 +151,22 @@ def generate_facts(entities: DataFrame, name: str, relation: str, value: str, va
 
 
 def perturb_numbers(facts: DataFrame, key: str, text: str, offsets: tuple[int, ...] = (-10, -1, 1, 10)) -> DataFrame:
-    """False facts: the first number of a fact moved by each offset."""
-    number = F.regexp_extract(F.col(text), r"([0-9]{1,9})", 1)
-    own = facts.where(number != "").select(key, text, number.alias("_n"), F.explode(F.array(*map(F.lit, offsets))).alias("offset"))
-    return own.select(key, "offset", F.regexp_replace(F.col(text), F.lit(r"[0-9]{1,9}"), (F.col("_n").cast("long") + F.col("offset")).cast("string")).alias("fact"))
-
-
-def number_facts(numbers: DataFrame, n: str, most: int) -> DataFrame:
-    """Parity, squares and primality of numbers up to `most`; primes are those without a divisor up to the root."""
-    small = numbers.sparkSession.range(2, int(most**0.5) + 1).select(F.col("id").alias("_d"))
-    composite = numbers.select(n).distinct().join(F.broadcast(small), (F.col(n) % F.col("_d") == 0) & (F.col(n) > F.col("_d"))).select(n).distinct()  # roots only: bounded by `most`
-    own = numbers.select(n).distinct().join(composite.withColumn("_c", F.lit(True)), n, "left")
-    root = F.round(F.sqrt(n)).cast("long")
-    return own.select(n, (F.col(n) % 2 == 0).alias("even"), (root * root == F.col(n)).alias("square"), ((F.col(n) > 1) & F.col("_c").isNull()).alias("prime"))
+    """False facts: the first number of a fact moved by each offset; the rest of the text stays. Texts without one give none."""
+    part = lambda k: F.regexp_extract(F.col(text), r"(?s)^([^0-9]*)([0-9]{1,9})(.*)$", k)
+    own = facts.where(part(2) != "").select(key, part(1).alias("_a"), part(2).cast("long").alias("_n"), part(3).alias("_b"), F.explode(F.array(*map(F.lit, offsets))).alias("offset"))
+    return own.select(key, "offset", F.concat("_a", (F.col("_n") + F.col("offset")).cast("string"), "_b").alias("fact"))
+
+
+def number_facts(numbers: DataFrame, n: str) -> DataFrame:
+    """Parity, squareness and primality of each different number, each tested by its own divisors up to its root.
+
+    Nulls are left out; numbers under 2 aren't prime. Each number's divisors are looked at inside its row, so nothing is joined.
+    """
+    own = numbers.select(F.col(n).cast("long").alias(n)).where(F.col(n).isNotNull()).distinct()
+    root = F.floor(F.sqrt(F.greatest(F.col(n), F.lit(0)))).cast("long")
+    odd = F.sequence(F.lit(3).cast("long"), F.greatest(root, F.lit(3)), F.lit(2).cast("long"))
+    prime = F.when(F.col(n) < 2, False).when(F.col(n) < 4, True).when(F.col(n) % 2 == 0, False).otherwise(~F.exists(odd, lambda d: (F.col(n) % d == 0) & (d < F.col(n))))
+    return own.select(n, (F.col(n) % 2 == 0).alias("even"), (root * root == F.col(n)).alias("square"), prime.alias("prime"))
 
 
 def sample_balanced(samples: DataFrame, label: str, key: str, n: int, seed: int = 7) -> DataFrame:

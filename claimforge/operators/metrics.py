@@ -2,20 +2,73 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def snapshot(metrics: DataFrame, value: str, status: str, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, exact percentiles and error share in one aggregation."""
-    p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)
-    return metrics.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("avg"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.avg(F.when(F.col(status) == "error", 1.0).otherwise(0.0)), 6).alias("error_rate"))
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Interpolated quantiles of each group, exact, without one task that holds a group's values.
+
+    Rows are counted by bins of equal width between a group's least and greatest value; the bins that hold a wanted rank
+    are found from the running counts (at most `bins` + 1 numbers a group), and only their rows are ranked. Null values
+    don't count; a group without values has null quantiles. An empty table gives no rows.
+    """
+    span = df.groupBy(*by).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"), F.count(value).alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    keyed = span.select(*(F.col(c).alias(f"_by_{c}") for c in by), "_low", "_high", "_n")
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    own = own.join(keyed, same) if by else own.crossJoin(F.broadcast(keyed))  # one row
+    own = own.withColumn("_bin", F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)).otherwise(F.lit(0)).cast("int"))
+    counts = own.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_before", upto - F.col("_c"))
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), side.alias("rank")) for name, q in shares.items() for side in (F.floor(F.lit(q) * (F.col("_n") - 1)), F.ceil(F.lit(q) * (F.col("_n") - 1)))))
+    wanted = counts.withColumn("_r", F.array_distinct(F.filter(ranks, lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_c"))))).where(F.size("_r") > 0)
+    wanted = wanted.select(*(F.col(c).alias(f"_w_{c}") for c in by), F.col("_bin").alias("_w"), "_before", "_r")
+    hit = F.col("_bin") == F.col("_w")
+    for c in by:
+        hit = hit & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    found = own.join(wanted, hit)
+    found = found.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_v")) - 1)
+    found = found.select(*by, "_n", "_v", "_rank", F.explode("_r").alias("x")).where("_rank = x.rank")
+    at = lambda name, q: F.lit(q) * (F.col("_n") - 1)
+    picks = []
+    for name, q in shares.items():
+        mine, place = F.col("x.name") == name, at(name, q)
+        low, high = F.max(F.when(mine & (F.col("_rank") == F.floor(place)), F.col("_v"))), F.max(F.when(mine & (F.col("_rank") == F.ceil(place)), F.col("_v")))
+        part = F.max(F.when(mine, place - F.floor(place)))
+        picks.append((low + part * (high - low)).alias(name))
+    out = found.groupBy(*by).agg(*picks)
+    if not by:
+        return out
+    renamed = out.select(*(F.col(c).alias(f"_q_{c}") for c in by), *shares)
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return span.select(*by).join(renamed, match, "left").select(*by, *shares)
+
+
+def snapshot(metrics: DataFrame, value: str, status: str, by: list[str]) -> DataFrame:
+    """Count, mean, exact percentiles and error share of each group."""
+    rest = metrics.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("avg"), F.round(F.avg(F.when(F.col(status) == "error", 1.0).otherwise(0.0)), 6).alias("error_rate"))
+    p = exact_quantiles(metrics, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*(F.col(c).alias(f"_{c}") for c in by), *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rest.join(p, same).select(*by, "n", "avg", "p50", "p95", "p99", "error_rate")
 
 
 def percentiles(df: DataFrame, value: str) -> DataFrame:
     """Interpolated percentiles, mean and sample deviation."""
-    return df.agg(*(F.round(F.percentile(value, F.lit(q)), 6).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"))
+    names = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    rest = df.agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"))
+    return exact_quantiles(df, [], value, names).select(*(F.round(c, 6).alias(c) for c in names)).crossJoin(rest)  # one row each
 
 
 def hourly_trend(metrics: DataFrame, ts: str, status: str, value: str) -> DataFrame:
@@ -69,56 +122,90 @@ def cost_projection(daily: DataFrame, day: str, tokens: str, price: float, hosti
     return own.select(day, F.round("cost", 6).alias("cost"), F.round("total", 6).alias("total"), (F.col("total") >= limit).alias("reached"))
 
 
-def _folded(df: DataFrame, key: str, step, schema: str) -> DataFrame:
-    return df.groupBy(key).applyInPandas(step, schema)
+def _folded(df: DataFrame, key: str, order: list[str], begin, step, schema: str) -> DataFrame:
+    """Rows of df with what step(state, ts) says of each, in the order of `order` inside a key; begin() is a key's first state.
+
+    Keys are sorted inside partitions and read as a stream, so a key with very many rows takes time but no memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, started = None, None, False
+        for batch in batches:
+            out = []
+            for k, t in zip(batch[key], batch[order[0]], strict=True):
+                if not started or k != last:
+                    last, state, started = k, begin(), True
+                out.append(step(state, t))
+            yield batch.assign(accepted=pd.Series(out, batch.index, dtype=bool))
+
+    own = df.select(key, *order).repartition(key).sortWithinPartitions(key, *order)
+    return own.mapInPandas(run, schema)
+
+
+def _folded_schema(df: DataFrame, *columns: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"{c} {kinds[c]}" for c in columns), "accepted boolean"])
 
 
 def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float) -> DataFrame:
-    """Alerts that fire: the first of a rule, then each at least `cooldown` seconds after the last that fired."""
+    """Alerts that fire: the first of a rule, then each at least `cooldown` seconds after the last that fired. No nulls."""
 
-    def fire(own: pd.DataFrame) -> pd.DataFrame:
-        own, last, keep = own.sort_values([ts]), None, []
-        for t in own[ts]:
-            keep.append(last is None or t - last >= cooldown)
-            last = t if keep[-1] else last
-        return own[keep]
+    def step(state: list, t: float) -> bool:
+        fires = not state or t - state[0] >= cooldown
+        if fires:
+            state[:] = [t]
+        return fires
 
-    return _folded(alerts.select(rule, ts), rule, fire, f"{rule} {dict(alerts.dtypes)[rule]}, {ts} {dict(alerts.dtypes)[ts]}")
+    return _folded(alerts, rule, [ts], list, step, _folded_schema(alerts, rule, ts)).where("accepted").drop("accepted")
 
 
 def token_bucket(events: DataFrame, key: str, ts: str, order: str, rate: float, burst: float, cost: float = 1.0) -> DataFrame:
-    """Whether each request is accepted: tokens refill at `rate` a second up to `burst`. Order is (ts, order)."""
-    kinds = dict(events.dtypes)
+    """Whether each request is accepted: tokens refill at `rate` a second up to `burst`. Order is (ts, order). No nulls."""
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own, tokens, last, ok = own.sort_values([ts, order]), burst, None, []
-        for t in own[ts]:
-            tokens = min(burst, tokens + (0 if last is None else (t - last) * rate))
-            last = t
-            ok.append(tokens >= cost)
-            tokens -= cost if ok[-1] else 0
-        return own.assign(accepted=ok)
+    def step(state: list, t: float) -> bool:
+        tokens, last = state or (burst, t)
+        tokens = min(burst, tokens + (t - last) * rate)
+        ok = tokens >= cost
+        state[:] = [tokens - cost if ok else tokens, t]
+        return ok
 
-    return _folded(events.select(key, ts, order), key, fold, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {order} {kinds[order]}, accepted boolean")
+    return _folded(events, key, [ts, order], list, step, _folded_schema(events, key, ts, order))
 
 
 def sliding_rate_limit(events: DataFrame, key: str, ts: str, order: str, most: int, seconds: int = 60) -> DataFrame:
-    """Whether each request is accepted: under `most` accepted ones in the last `seconds`; rejected ones don't count."""
-    kinds = dict(events.dtypes)
-
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        own, held, ok = own.sort_values([ts, order]), deque(), []
-        for t in own[ts]:
-            while held and held[0] <= t - seconds:
-                held.popleft()
-            ok.append(len(held) < most)
-            if ok[-1]:
-                held.append(t)
-        return own.assign(accepted=ok)
-
-    return _folded(events.select(key, ts, order), key, fold, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {order} {kinds[order]}, accepted boolean")
+    """Whether each request is accepted: under `most` accepted ones in the last `seconds`; rejected ones don't count. No nulls.
+
+    A key's state is the at most `most` times of its accepted requests.
+    """
+
+    def step(state: deque, t: float) -> bool:
+        while state and state[0] <= t - seconds:
+            state.popleft()
+        ok = len(state) < most
+        if ok:
+            state.append(t)
+        return ok
+
+    return _folded(events, key, [ts, order], deque, step, _folded_schema(events, key, ts, order))
+
+
+def exponential_ban(failures: DataFrame, key: str, ts: str, order: str, most: int = 3, window: int = 300, first: int = 300, longest: int = 86400) -> DataFrame:
+    """Failures (key, ts, order) that start a ban: `most` within `window` seconds while not banned; each ban is six times
+    as long as the one before, `longest` at most. Failures during a ban don't count. No nulls."""
+
+    def step(state: dict, t: float) -> bool:
+        if t < state.get("until", t):
+            return False
+        held = [x for x in state.get("held", []) if x > t - window] + [t]
+        bans = len(held) >= most
+        if bans:
+            size = min(longest, first * 6 ** state.get("n", 0))
+            state.update(until=t + size, n=state.get("n", 0) + 1, held=[])
+        else:
+            state["held"] = held
+        return bans
+
+    return _folded(failures, key, [ts, order], dict, step, _folded_schema(failures, key, ts, order)).where("accepted").drop("accepted")
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:

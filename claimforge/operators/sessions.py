@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.functions.text import word_array
+from claimforge.functions.text import char_ngrams, word_array
 
 
 def _order(session: str, turn: str):
@@ -53,24 +53,30 @@ def pleasing_drift(turns: DataFrame, session: str, turn: str, up: Column, limit:
 
 
 def history_repeat(turns: DataFrame, session: str, turn: str, text: str, back: int = 5) -> DataFrame:
-    """Share of a turn's words that the `back` turns before it have."""
-    words = F.array_distinct(word_array(F.col(text)))
-    own = turns.select(session, turn, words.alias("_w"))
-    before = F.flatten(F.collect_list("_w").over(_order(session, turn).rowsBetween(-back, -1)))
-    return own.select(session, turn, F.round(F.when(F.size("_w") == 0, 0.0).otherwise(F.size(F.array_intersect("_w", before)) / F.size("_w")), 6).alias("repeat"))
+    """Share of a turn's different runs of three characters that the `back` turns before it have; 0 for shorter texts."""
+    grams = F.coalesce(char_ngrams(F.lower(F.col(text)), 3), F.array().cast("array<string>"))
+    own = turns.select(session, turn, grams.alias("_g"))
+    before = F.flatten(F.collect_list("_g").over(_order(session, turn).rowsBetween(-back, -1)))
+    return own.select(session, turn, F.round(F.when(F.size("_g") == 0, 0.0).otherwise(F.size(F.array_intersect("_g", before)) / F.size("_g")), 6).alias("repeat"))
 
 
-def detect_self_contradiction(turns: DataFrame, session: str, turn: str, text: str, negation: str = r"\b(not|no|never|ne|nicht|kein)\b", least: float = 0.5) -> DataFrame:
-    """Pairs of an earlier and a later turn of a session that share over `least` of their words and differ in negation.
+def detect_self_contradiction(turns: DataFrame, session: str, turn: str, text: str, negation: tuple[str, ...] = ("not", "no", "never", "ne", "nicht", "kein"), least: float = 0.5) -> DataFrame:
+    """Pairs of an earlier and a later turn of a session that share over `least` of the smaller word set and differ in negation.
 
-    The join is inside a session; identical texts of a session are joined once.
+    Turns meet on a word they share, so a long session isn't paired with itself; turns of one word set and negation are
+    joined once and then listed again, so no pair is lost. Turns without words match none.
     """
-    own = turns.select(session, turn, F.array_distinct(word_array(F.col(text))).alias("w"), F.lower(F.col(text)).rlike(negation).alias("neg"))
-    own = own.groupBy(session, "w", "neg").agg(F.min(turn).alias("first"), F.max(turn).alias("last"))
-    a, b = own.alias("a"), own.alias("b")
-    overlap = F.size(F.array_intersect("a.w", "b.w")) / F.greatest(F.lit(1), F.least(F.size("a.w"), F.size("b.w")))
-    pairs = a.join(b, (F.col(f"a.{session}") == F.col(f"b.{session}")) & (F.col("a.first") < F.col("b.last")) & (F.col("a.neg") != F.col("b.neg")))
-    return pairs.where(overlap > least).select(F.col(f"a.{session}").alias(session), F.col("a.first").alias("earlier"), F.col("b.last").alias("later"), F.round(overlap, 6).alias("overlap"))
+    words = F.array_distinct(word_array(F.col(text)))
+    own = turns.select(session, turn, words.alias("w")).where(F.size("w") > 0).withColumn("neg", F.arrays_overlap("w", F.array(*map(F.lit, negation))))
+    own = own.withColumn("key", F.md5(F.concat_ws(" ", F.array_sort("w"))))
+    sets = own.groupBy(session, "key", "neg").agg(F.first("w").alias("w"), F.collect_list(turn).alias("turns"))
+    rows = sets.select(session, "key", "neg", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = rows.where("neg").alias("a"), rows.where("not neg").alias("b")
+    both = a.join(b, (F.col(f"a.{session}") == F.col(f"b.{session}")) & (F.col("a.word") == F.col("b.word")))
+    both = both.groupBy(F.col(f"a.{session}").alias(session), F.col("a.key").alias("p"), F.col("b.key").alias("q")).agg((F.count("*") / F.least(F.first("a.n"), F.first("b.n"))).alias("overlap")).where(F.col("overlap") > least)
+    listed = lambda neg, key, name: sets.where("neg" if neg else "not neg").select(session, F.col("key").alias(key), F.explode("turns").alias(name))
+    out = both.join(listed(True, "p", "x"), [session, "p"]).join(listed(False, "q", "y"), [session, "q"]).where("x <> y")
+    return out.select(session, F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later"), F.round("overlap", 6).alias("overlap"))
 
 
 def conversation_report(turns: DataFrame, session: str, pressure: Column, flagged: Column) -> DataFrame:

@@ -8,30 +8,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.functions.text import char_ngrams, squeeze, word_array
+from claimforge.functions.text import char_ngrams, char_overlap, squeeze, word_array
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, least: float, name: str) -> DataFrame:
-    """(gram, id, n, shared) for the rarest grams of each set, of which any similar set must share at least `shared`."""
-    rows = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(ranks, "gram")
-    order = Window.partitionBy("id").orderBy("df", "gram")
-    overlap = F.ceil(F.lit(least) * F.col("n") - 1e-9)
-    ranked = rows.withColumn("_r", F.row_number().over(order)).withColumn("_s", F.greatest(F.lit(1), F.least(F.lit(4), overlap)))
-    return ranked.where(F.col("_r") <= F.col("n") - overlap + F.col("_s")).select("gram", F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("_s").alias(f"{name}_s"))
+    """(gram, id, n, place) for the rarest grams of each set, one of which any similar set must share."""
+    rows = sets.select("id", F.explode("grams").alias("gram")).join(ranks, "gram")
+    order = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    n = F.size("order")
+    prefix = F.slice("order", 1, n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)
+    own = order.select("id", n.alias("n"), F.posexplode(prefix).alias("place", "x")).where("x.df > 1")
+    return own.select(F.col("x.gram").alias("gram"), F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("place").alias(f"{name}_at"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """All pairs (left_id, right_id, similarity) of sets (id, grams) whose Jaccard similarity is `least` or more.
 
-    Sets share several of their rarest grams or can't be similar enough, and their sizes are close; only such pairs are
-    compared. Common grams stand last in every set and are hardly ever joined.
+    Sets share one of their rarest grams or can't be similar enough; the first that they share stands early in both, and
+    their sizes are close. Only such pairs are compared. Common grams stand last in every set and are hardly ever joined.
+    With right None these are the pairs inside left, the smaller id first. Ids name a set; empty sets match nothing.
     """
-    ranks = left.select(F.explode("grams").alias("gram")).unionAll(right.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("df"))
-    a, b = _prefixes(left, ranks, least, "left_id"), _prefixes(right, ranks, least, "right_id")
-    near = F.least("left_id_n", "right_id_n") >= least * F.greatest("left_id_n", "right_id_n")
-    counted = a.join(b, "gram").where(near).groupBy("left_id", "right_id", F.least("left_id_s", "right_id_s").alias("_s")).agg(F.count("*").alias("_c"))
-    pairs = counted.where(F.col("_c") >= F.col("_s")).select("left_id", "right_id")
-    pairs = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("_x")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("grams").alias("_y")), "right_id")
+    every = left if right is None else left.unionAll(right.select(*left.columns))
+    ranks = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    a, b = _prefixes(left, ranks, least, "left_id"), _prefixes(left if right is None else right, ranks, least, "right_id")
+    n, m = F.col("left_id_n"), F.col("right_id_n")
+    fits = (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.col("left_id_at") + F.col("right_id_at") <= (n + m) * (1 - least) / (1 + least) + 1e-9)
+    pairs = a.join(b, "gram").where(fits if right is not None else fits & (F.col("left_id") < F.col("right_id"))).select("left_id", "right_id").distinct()
+    other = left if right is None else right
+    pairs = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("_x")), "left_id").join(other.select(F.col("id").alias("right_id"), F.col("grams").alias("_y")), "right_id")
     both = F.size(F.array_intersect("_x", "_y"))
     return pairs.withColumn("similarity", both / (F.size("_x") + F.size("_y") - both)).where(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
 
@@ -49,10 +53,20 @@ def search_trigram(queries: DataFrame, facts: DataFrame, query_key: str, query_t
 
 
 def near_duplicates(facts: DataFrame, key: str, text: str, least: float = 0.85, band: float = 0.95) -> DataFrame:
-    """Pairs of facts with trigram Jaccard of `least` or more, the smaller key first, and their band."""
-    sets = gram_sets(facts, key, text)
-    pairs = similar_pairs(sets, sets, least).where("left_id < right_id")
-    return pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= band, "same").otherwise("close").alias("band"))
+    """Near-duplicate facts by trigram Jaccard: one row per fact and similar other text, with the two texts' smallest keys.
+
+    Columns: key, rep (the smallest key of the facts with the same text but for white space), n_alike (how many these
+    are), other (rep of a similar, different text; null if there is none), similarity and band of the two texts. Equal
+    texts are compared once, so copies aren't expanded into pairs. Null texts and those of fewer than three characters
+    are like no other. An empty table gives an empty result.
+    """
+    own = facts.select(F.col(key).alias("key"), squeeze(F.col(text)).alias("_t"))
+    reps = own.where("_t is not null").groupBy("_t").agg(F.min("key").alias("rep"), F.count("*").alias("n_alike"))
+    sets = reps.select(F.col("rep").alias("id"), char_ngrams(F.col("_t"), 3).alias("grams")).where(F.size("grams") > 0)
+    pairs = similar_pairs(sets, None, least)
+    links = pairs.select(F.col("left_id").alias("rep"), F.col("right_id").alias("other"), "similarity").union(pairs.select("right_id", "left_id", "similarity"))
+    rows = own.join(reps, "_t", "left").withColumn("rep", F.coalesce("rep", "key")).withColumn("n_alike", F.coalesce("n_alike", F.lit(1)))
+    return rows.join(links, "rep", "left").select("key", "rep", "n_alike", "other", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= band, "same").when(F.col("similarity").isNotNull(), "close").alias("band"))
 
 
 def term_rows(docs: DataFrame, key: str, grams: Column) -> DataFrame:
@@ -64,14 +78,34 @@ def build_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
     return terms.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
 
 
-def search_tfidf(queries: DataFrame, docs: DataFrame, k: int = 5, least: float = 0.15, most_df: float = 0.2) -> DataFrame:
-    """Cosine of TF-IDF vectors over words; queries and docs have id and text. Sparse joins only, no dense vectors.
+def gram_array(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
+    """All runs of so many characters of a lower-case text without white space, repeated ones too."""
+    t = squeeze(F.lower(text))
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, n))
+        return F.filter(found, lambda g: F.length(g) == n)  # a shorter text has none
+
+    return F.concat(*map(runs, sizes))
+
 
-    Words in more than most_df of the documents get no weight on either side, so no posting list holds most of them.
+def word_runs(text: Column) -> Column:
+    """Words and pairs of words that follow each other, repeated ones too."""
+    words = word_array(text)
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, pairs)
+
+
+def search_tfidf(queries: DataFrame, docs: DataFrame, k: int = 5, least: float = 0.15, grams=gram_array) -> DataFrame:
+    """Cosine of TF-IDF vectors over runs of two and three characters; queries and docs have id and text.
+
+    Sparse joins only, no dense vectors. A document's norm needs all its grams, a score only those of a query: these are
+    added up per query and document before they are shuffled. A frequent gram's list is joined by parts where it is
+    large (adaptive skew join). Empty and null texts have no vector and match nothing. Ties go to the smaller doc_id.
     """
-    own, asked = term_rows(docs, "id", word_array(F.col("text"))), term_rows(queries, "id", word_array(F.col("text")))
+    own, asked = term_rows(docs, "id", grams(F.col("text"))), term_rows(queries, "id", grams(F.col("text")))
     n = docs.agg(F.count("*").alias("n_docs"))
-    idf = own.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(1.0), most_df * F.col("n_docs")))  # one row
+    idf = own.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
     idf = idf.select("gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     d, q = (x.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf")) for x in (own, asked))
     norm = lambda x, name: x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
@@ -81,20 +115,63 @@ def search_tfidf(queries: DataFrame, docs: DataFrame, k: int = 5, least: float =
     return top_k(score, "query_id", k, F.desc("score"), F.col("doc_id"))
 
 
-def search_bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, most_df: float = 0.2) -> DataFrame:
-    """BM25 over words; queries and docs have id and text. As in search_tfidf, words of most documents have no weight."""
-    own = term_rows(docs, "id", word_array(F.col("text")))
-    asked = term_rows(queries, "id", word_array(F.col("text"))).select(F.col("id").alias("query_id"), "gram")
-    size = own.groupBy("id").agg(F.sum("tf").alias("len"))
-    stats = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    idf = own.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).where(F.col("df") <= F.greatest(F.lit(1.0), most_df * F.col("n_docs")))  # one row
+def bm25_tokens(text: Column) -> Column:
+    """Words of letters and digits in lower case, and for runs of Han characters their pairs."""
+    han = r"\p{IsHan}"
+    words = F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}]+|(?<={han})(?!{han})|(?<!{han})(?={han})"), lambda w: w != "")
+    pairs = lambda w: F.when(w.rlike(han) & (F.length(w) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, 2))).otherwise(F.array(w))
+    return F.flatten(F.transform(words, pairs))
+
+
+def search_bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, tokens=bm25_tokens) -> DataFrame:
+    """BM25 over words and pairs of Han characters; queries and docs have id and text.
+
+    Only words of some query are counted and shuffled; a document's length needs no shuffle. Empty and null texts match
+    nothing but count as documents. Ties go to the smaller doc_id.
+    """
+    split = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("gram"))
+    stats = split.agg(F.count("*").alias("n_docs"), F.avg(F.when(F.size("t") > 0, F.size("t"))).alias("avg_len"))
+    own = split.select("id", F.size("t").alias("len"), F.explode("t").alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    own = own.groupBy("id", "len", "gram").agg(F.count("*").alias("tf"))
+    idf = own.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = idf.select("gram", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    rows = own.join(asked.join(idf, "gram"), "gram").join(size, "id")
+    rows = own.join(asked.join(idf, "gram"), "gram")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     score = rows.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(score, "query_id", k, F.desc("score"), F.col("doc_id"))
 
 
+def best_match(claims: DataFrame, facts: DataFrame, least: float = 0.3) -> DataFrame:
+    """The best fact for each claim: 0.65 bigram Jaccard + 0.35 character overlap, 0.05 more where a fact holds the claim.
+
+    claims and facts have id and text. Candidates are all pairs whose bigram Jaccard is `least` or more. A short claim
+    (under 10 characters) must score 0.6, others 0.4. Ties go to the smaller fact id. Null and one-letter texts match nothing.
+    """
+    grams = lambda x: x.select("id", char_ngrams(squeeze(F.lower(F.col("text"))), 2).alias("grams")).where(F.size("grams") > 0)
+    pairs = similar_pairs(grams(claims), grams(facts), least)
+    own = pairs.join(claims.toDF("left_id", "claim"), "left_id").join(facts.toDF("right_id", "fact"), "right_id")
+    score = F.least(F.lit(1.0), 0.65 * F.col("similarity") + 0.35 * char_overlap(F.lower("claim"), F.lower("fact")) + F.when(F.contains(F.lower("fact"), F.lower("claim")), 0.05).otherwise(0.0))
+    own = own.withColumn("score", F.round(score, 6)).where(F.col("score") >= F.when(F.length("claim") < 10, 0.6).otherwise(0.4))
+    best = own.groupBy("left_id").agg(F.max_by(F.struct("right_id", "score"), F.struct("score", (-F.col("right_id")).alias("r"))).alias("b"))
+    return best.select(F.col("left_id").alias("claim_id"), F.col("b.right_id").alias("fact_id"), F.col("b.score").alias("score"))
+
+
+def fuzzy_entity(names: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:
+    """For each name the candidate of most similar bigram counts (cosine), if `least` or more; both have id and text.
+
+    A join on bigrams; ties go to the smaller candidate id. Names of one character or none match nothing.
+    """
+    rows = lambda x: term_rows(x, "id", gram_array(F.col("text"), (2,)))
+    a, b = rows(names), rows(candidates)
+    norm = lambda x: x.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l"))
+    dots = a.toDF("name_id", "gram", "x").join(b.toDF("entity_id", "gram", "y"), "gram").groupBy("name_id", "entity_id").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    own = dots.join(norm(a).toDF("name_id", "p"), "name_id").join(norm(b).toDF("entity_id", "q"), "entity_id")
+    own = own.withColumn("similarity", F.round(F.col("s") / (F.col("p") * F.col("q")), 6)).where(F.col("similarity") >= least)
+    best = own.groupBy("name_id").agg(F.max_by(F.struct("entity_id", "similarity"), F.struct("similarity", (-F.col("entity_id")).alias("r"))).alias("b"))
+    return best.select("name_id", "b.entity_id", "b.similarity")
+
+
 def search_hybrid(tfidf: DataFrame, bm25: DataFrame, k: int = 5, weight: float = 0.4, least: float = 0.1) -> DataFrame:
     """Two rankings scaled by their best score for the query and added with a weight; a fact's best score counts."""
     by = Window.partitionBy("query_id")

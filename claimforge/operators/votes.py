@@ -16,8 +16,8 @@ def decide_weighted(votes: DataFrame, keys: list[str]) -> DataFrame:
     A contradiction of little weight and confidence is uncertain. Ties go to the checker of the smaller name.
     """
     w, c = F.col("weight"), F.col("confidence")
-    rank = F.struct((w >= 0.85).cast("int"), (w * c).alias("wc"), (-F.hash("checker")).alias("h"), F.col("checker"))
-    best = F.max_by(F.struct("verdict", "confidence", "weight"), rank).alias("best")
+    rank = F.struct((w < 0.85).alias("light"), (-w * c).alias("wc"), "checker", "verdict")
+    best = F.min_by(F.struct("verdict", "confidence", "weight"), rank).alias("best")
     out = votes.groupBy(*keys).agg((_of("contradicted", w * c) + 0.5 * _of("uncertain", w * c)).alias("s"), F.sum(w).alias("w"), best)
     weak = (F.col("best.verdict") == "contradicted") & (F.col("best.weight") < 0.85) & (F.col("best.confidence") < 0.65)
     return out.select(*keys, F.round(F.when(F.col("w") == 0, 0.0).otherwise(F.col("s") / F.col("w")), 6).alias("hallucination"), F.when(weak, "uncertain").otherwise(F.col("best.verdict")).alias("verdict"), F.when(weak, 0.5).otherwise(F.col("best.confidence")).alias("confidence"))
@@ -33,6 +33,30 @@ def vote_majority(votes: DataFrame, keys: list[str], least: int = 2) -> DataFram
     return own.select(*keys, verdict.alias("verdict"), F.round(top / F.col("all"), 6).alias("share"))
 
 
+def vote_weighted(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """The verdict of most weight times confidence, and its share of all; an unclear contradiction is made uncertain.
+
+    Of the votes on the winning verdict the mean confidence, weighted by weight times confidence, is its strength. A
+    contradiction under a strength of 0.4 is uncertain. Ties go to the smaller verdict name; no weight at all is unverifiable.
+    """
+    wc = F.col("weight") * F.col("confidence")
+    by = votes.groupBy(*keys, "verdict").agg(F.sum(wc).alias("s"), F.sum(wc * F.col("confidence")).alias("c"))
+    own = by.groupBy(*keys).agg(F.sum("s").alias("all"), F.min_by(F.struct("verdict", "s", "c"), F.struct((-F.col("s")).alias("o"), "verdict")).alias("top"))
+    strength = F.col("top.c") / F.col("top.s")
+    verdict = F.when(F.col("all") <= 0, "unverifiable").when((F.col("top.verdict") == "contradicted") & (strength <= 0.4), "uncertain").otherwise(F.col("top.verdict"))
+    return own.select(*keys, verdict.alias("verdict"), F.round(F.when(F.col("all") > 0, F.col("top.s") / F.col("all")).otherwise(0.0), 6).alias("share"))
+
+
+def compare_vote_modes(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """The verdicts of the three ways to vote side by side, and whether they agree."""
+    modes = (("majority", vote_majority), ("weighted", vote_weighted), ("borda", vote_borda))
+    out = None
+    for name, mode in modes:
+        own = mode(votes, keys).select(*keys, F.col("verdict").alias(name))
+        out = own if out is None else out.join(own, keys)
+    return out.withColumn("agree", (F.col("majority") == F.col("weighted")) & (F.col("weighted") == F.col("borda")))
+
+
 def vote_borda(votes: DataFrame, keys: list[str]) -> DataFrame:
     """Points n - rank by weight times confidence, summed by verdict; the verdict of most points, ties by name."""
     order = Window.partitionBy(*keys).orderBy(F.desc(F.col("weight") * F.col("confidence")), "checker", "verdict")
@@ -67,10 +91,8 @@ def truth_score(checks: DataFrame, key: str, retrieval: str = "retrieval") -> Da
 
 def confusion_matrix(rows: DataFrame, by: list[str]) -> DataFrame:
     """TP, FP, FN, TN of boolean `predicted` against `actual`, in all and by each column of `by`, in one pass."""
-    sets = ", ".join(["()", *(f"({b})" for b in by)])
-    rows.createOrReplaceTempView("_confusion_rows")
-    n = lambda p, a: f"sum(CASE WHEN predicted = {p} AND actual = {a} THEN 1 ELSE 0 END)"
-    out = rows.sparkSession.sql(f"SELECT {', '.join(by)}, {n('true', 'true')} tp, {n('true', 'false')} fp, {n('false', 'true')} fn, {n('false', 'false')} tn FROM _confusion_rows GROUP BY GROUPING SETS ({sets})")
+    n = lambda p, a: F.sum(F.when((F.col("predicted") == p) & (F.col("actual") == a), 1).otherwise(0))
+    out = rows.groupingSets([[], *([F.col(b)] for b in by)], *map(F.col, by)).agg(n(True, True).alias("tp"), n(True, False).alias("fp"), n(False, True).alias("fn"), n(False, False).alias("tn"))
     ratio = lambda x, y: F.round(F.when(y == 0, 0.0).otherwise(x / y), 6)
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     return out.select(*by, "tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
