@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import sized, slices, stage_table
 from .rarity import needed, rarity_levels, slots
-from .setjoin import ALL, Overlap, candidates, crowded, ordered_tokens, parity
+from .setjoin import Overlap, candidates, crowded, ordered_tokens, parity
 from .words import batch_words, mix
 
 LINES = "doc long, line long, k1 long, k2 long, n int, odd long, even long, tokens array<long>"
@@ -98,8 +98,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     lines = stage_table(_lines(own, rarity_levels(own), rule, min_words), "lines")
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "odd", "even", "tokens")).alias("s"))
-    postings = sets.select(F.col("s.doc").alias("x"), F.col("s.line").alias("y"), F.lit(ALL).cast("long").alias("part"), F.col("s.n").cast("long").alias("n"), "s.odd", "s.even", F.posexplode("s.tokens").alias("place", "token"))
-    postings = postings.withColumn("place", F.col("place").cast("long"))
+    postings = sets.select(F.col("s.doc").alias("x"), F.col("s.line").alias("y"), F.col("s.n").alias("n"), "s.odd", "s.even", F.posexplode("s.tokens").alias("place", "token"))
     pairs, crowd = candidates(postings, rule, first_only=True)
     found = stage_table(_jaccard_pairs(pairs, own, least), "similar")
     if not crowd.isEmpty():

@@ -86,7 +86,7 @@ def candidates(postings: DataFrame, rule: Overlap, first_only: bool) -> tuple[Da
     """Pairs (x, y, bx, by) of sets that may be similar, the later set first, and postings that are left to crowded().
 
     postings has the columns of POSTING: a set is named by (x, y), which also order the sets; sets of one part are not
-    compared, unless it is ALL. With first_only a set is paired with the earliest fitting set of each token only, and the
+    compared, unless it is ALL or the column isn't there. With first_only a set is paired with the earliest fitting set of each token only, and the
     postings of tokens where it has others are left over; without it with all. At a token of more than CROWD sets these
     are compared with the first one (first_only) or none, and all are left over. A token's postings are read as a
     stream, so a frequent token takes no more memory than CROWD sets. Pairs that share several tokens may come repeatedly.
@@ -123,7 +123,10 @@ def candidates(postings: DataFrame, rule: Overlap, first_only: bool) -> tuple[Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in POSTING}
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.schema.names}
+            size = rows.pop("size")
+            rows |= {"n": size >> 32, "place": size & 0xFFFFFFFF}
+            rows.setdefault("part", np.full(batch.num_rows, ALL, np.int64))
             if over:  # the rest of a crowded token
                 same = int(np.searchsorted(rows["token"] != held["token"][0], True))
                 own = {c: np.concatenate([held[c], v[:same]]) for c, v in rows.items()}
@@ -149,7 +152,10 @@ def candidates(postings: DataFrame, rule: Overlap, first_only: bool) -> tuple[Da
         if held is not None and not over:
             yield from done(held)
 
-    dealt = postings.select(*POSTING).repartition(partitions(postings.sparkSession), "token").sortWithinPartitions("token", "x", "y")
+    # a row that is shuffled holds the size and the place in one number
+    both = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("size")
+    kept = [c for c in ("token", "x", "y", "part", "odd", "even") if c in postings.columns]
+    dealt = postings.select(*kept, both).repartition(partitions(postings.sparkSession), "token").sortWithinPartitions("token", "x", "y")
     kinds = ", ".join(["pair boolean", "bx long", "by long", *(f"{c} long" for c in POSTING)])
     found = stage_table(dealt.mapInArrow(run, kinds), "candidates")
     return found.where("pair").select("x", "y", "bx", "by").distinct(), found.where("not pair").select(*POSTING)
