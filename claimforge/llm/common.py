@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python worker turns into Python objects at once; long texts stay few in memory.
 SLICE = 256
+_FOLDER = "claimforge"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/claimforge/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -41,10 +43,20 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_stage_tables(spark: SparkSession) -> None:
-    """Deletes all intermediates of this library in the shared folder; call it when results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/claimforge")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates made inside go to a folder of their own in the shared one, which is deleted at the end.
+
+    Write results that read them before the end.
+    """
+    global _FOLDER
+    before, _FOLDER = _FOLDER, f"claimforge/run-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_FOLDER}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _FOLDER = before
 
 
 def partitions(spark: SparkSession) -> int:

@@ -187,9 +187,13 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score_quality keeps, with all their columns; texts are read twice rather than shuffled."""
-    own = docs.withColumn("_quality_stats", stats_column(F.col(text_col)))
+    """The documents that score_quality keeps, with all their columns; texts are read twice rather than shuffled.
+
+    Null and empty texts fail the base and go; repeated rows stay repeated; columns may have any names; an empty table
+    gives an empty result.
+    """
     found = _fit(docs.select(stats_column(F.col(text_col)).alias("stats")).where(F.col("stats.n_words") >= 10).select(pattern(F.col("stats")).alias("pattern")))
     good = [p for p, q in found.items() if q >= threshold]  # at most 3 ** rules numbers
-    stats = F.col("_quality_stats")
-    return own.where(~base_failed(stats) & pattern(stats).isin(good)).drop("_quality_stats")
+    own = docs.select(F.struct(*docs.columns).alias("row"), stats_column(F.col(text_col)).alias("stats"))
+    own = own.where(~base_failed(F.col("stats")) & pattern(F.col("stats")).isin(good))
+    return own.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -55,16 +55,18 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Writes the documents as Parquet under path/shard=N, each shard in the order of assign_shards, and returns the assignment.
 
-    Documents find their shard by id, checksum and size; alike rows are numbered on both sides, so each finds its own.
+    Documents find their shard by id, checksum and size; alike rows are numbered on both sides, so each finds its own. A
+    shard is written by as many tasks as its share of the rows needs, whose files follow each other in order. Columns may
+    have any names, but one named shard is replaced. An empty table writes no shard.
     """
     text = F.col(text_col)
-    alike = Window.partitionBy("_id", "_crc", "_size")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_crc": F.coalesce(F.crc32(text), F.lit(0)).cast("long"), "_size": byte_size(text, overhead)})
-    keyed = keyed.withColumn("_copy", F.row_number().over(alike.orderBy("_id")))
+    alike = Window.partitionBy("doc_id", "text_crc32", "size")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), byte_size(text, overhead).alias("size"), F.struct(*docs.columns).alias("row"))
+    keyed = keyed.withColumn("copy", F.row_number().over(alike.orderBy("doc_id")))
     given = assign_shards(docs, n_shards, id_col, text_col, overhead)
-    to = given.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    to = to.withColumn("_copy", F.row_number().over(alike.orderBy("_shard", "_slot")))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_id", "_crc", "_size", "_copy")]
-    out = keyed.alias("a").join(to.alias("b"), same).select("a.*", "b._shard", "b._slot").drop("_id", "_crc", "_size", "_copy")
-    out.repartition("_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+    to = given.withColumn("copy", F.row_number().over(alike.orderBy("shard", "slot")))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_crc32", "size", "copy")]
+    out = keyed.alias("a").join(to.alias("b"), same).select("a.row", "b.shard", "b.slot")
+    dealt = out.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "shard"), "shard").write.partitionBy("shard").parquet(path)
     return given

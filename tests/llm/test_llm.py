@@ -417,3 +417,92 @@ def test_media_equals_brute_force_with_stronger_edits(spark):
     got = {(-1 - r.query_id, r.media_id): r.n_agree for r in media.find_copies(table, asked).collect()}
     assert {k: n for k, n in got.items() if k[0] != k[1]} == want
     assert all((i, i) in got and got[i, i] == media.agreement(*described[1][i], *described[0][i], 40) for i in edits)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """All stages in order on a small table with nulls, empty, long, tied and repeated rows and columns of clashing names."""
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    shared = prose(14)
+    texts = {i: f"{prose(30)}\n{prose(25)}" for i in range(40)}
+    texts |= {40: texts[3], 41: texts[4].replace("w", "w", 1) + " tail", 42: None, 43: "", 44: "too short", 45: "same " * 400}
+    texts |= {46: f"{prose(20)}\n{shared}", 47: f"{shared} x\n{prose(20)}", 48: shared, 49: f"{prose(12)} mail a.b@mail.example.org or call +1 243 555 5526 {prose(12)}"}
+    texts |= {50: " ".join(texts[5].split()[:52] + ["other"] * 3), 51: prose(9000), None: prose(40)}
+    rows = [(i, t, "x", i or 0, 1, "r") for i, t in texts.items()] + [(7, texts[7], "x", 7, 1, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, key int, row string")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_quality(spark, docs, "").collect())
+    assert not any(d in (42, 43, 44, 45) for d, _ in kept) and sum(kept.values()) == len(rows) - 4  # base rules; clean texts stay
+
+    def stage(frame, name):
+        frame.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    own = stage(corpus_pipeline.keep_quality(spark, docs, ""), "1")
+    seen, want = [], Counter()
+    order = sorted(kept, key=lambda x: (x[0] is not None, x[0] or 0))
+    for d, text in order:
+        lines = []
+        for x in text.split("\n"):
+            w = set(x.split())
+            if not any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for v in seen):
+                lines.append(x)
+            seen.append(w)
+        if lines:
+            want["\n".join(lines), d] += kept[d, text]
+    own = stage(corpus_pipeline.dedup_lines(spark, own, ""), "2")
+    assert Counter((r.text, r.doc_id) for r in own.collect()) == want and own.columns == docs.columns
+
+    left = {d: t for t, d in want}
+    numbered = {(10**9 if d is None else d): t for d, t in left.items()}
+    classes = brute_classes(numbered)
+    own = stage(corpus_pipeline.drop_near_duplicates(spark, own, ""), "3")
+    assert sorted(10**9 if r.doc_id is None else r.doc_id for r in own.collect()) == sorted(set(classes.values())) and own.columns == docs.columns
+
+    own = stage(corpus_pipeline.redact(spark, own, ""), "4")
+    after = {r.doc_id: r.text for r in own.collect()}
+    assert own.columns == docs.columns and after[49] == left[49].replace("a.b@mail.example.org", "[EMAIL]").replace("+1 243 555 5526", "[PHONE]")
+    assert all(after[d] == left[d] for d in after if d != 49)
+
+    library, bins, total = Tokenizer.from_file(JSON), defaultdict(list), 0
+    for r in corpus_pipeline.pack(spark, own, "").collect():
+        ids = np.array([*library.encode(after[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        bins[r.sequence_id].append((r.offset, r.length))
+        total += r.length
+    assert total == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for t in after.values())
+    for pieces in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)]).tolist()]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+    empty = docs.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, "").count() == 0
+
+
+def test_shards_are_cut_by_bytes(spark):
+    """Cuts stand where running sizes pass equal targets, so sizes are equal but for a document."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, "x" * int(n)) for i, n in enumerate(rng.integers(0, 900, 700))], "doc_id long, text string")
+    got = sorted(sharding.assign_shards(df, 7).collect(), key=lambda r: r.doc_id)
+    total, before, sizes = sum(r.size for r in got), 0, Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+        assert r.shard in ((before * 7) // total, ((before + r.size - 1) * 7) // total)
+        before += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got) and len(sizes) == 7
+
+
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    given = sharding.write_shards(docs, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    text = lambda x: (x or "")
+    assert Counter((r.doc_id, zlib.crc32(text(r.text).encode()), r.shard) for r in back.collect()) == Counter((r.doc_id, r.text_crc32, r.shard) for r in given.collect())
+
+
+def test_quality_em_separates_planted_kinds():
+    """Junk with one bad sign or several is found, whatever the rules that see it; clean patterns stay."""
+    n = len(quality.RULES)
+    all_good = sum(quality.GOOD * 3**k for k in range(n))
+    one_bad = [all_good + (quality.BAD - quality.GOOD) * 3**k for k in range(5)]
+    several = all_good + sum((quality.BAD - quality.GOOD) * 3**k for k in range(3))
+    q = quality.fit_posteriors({all_good: 10_000, several: 200} | dict.fromkeys(one_bad, 500))
+    assert q[all_good] > 0.9 and q[several] < 0.1 and all(q[c] < 0.5 for c in one_bad)
