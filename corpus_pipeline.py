@@ -9,11 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from claimforge.llm import line_dup, near_dup, packing, pii, quality
-from claimforge.llm.common import new_path
+from claimforge.llm.common import new_path, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; those with null or empty texts fail the base rules."""
     return quality.filter_quality(docs)
 
 
@@ -23,17 +23,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays."""
+    """One document of each group of copies stays: the one of smallest id, and one of repeated rows."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind."""
+    """Personal data in texts is replaced by its kind; other texts stay as they are."""
     return pii.redact_pii(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in training sequences."""
+    """Places of all documents' pieces in training sequences; a document without a token but its end is one piece."""
     return packing.pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -44,15 +44,19 @@ STAGES = [
     ("personal data", redact),
     ("best-fit packing", pack),
 ]
-#: Expectation-maximisation, message passing and tokens can't be said in SQL; tests compare the stages with brute force.
+#: Expectation-maximisation, message passing and tokens can't be said in SQL; tests compare the stages with brute force on small tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each stage's result is written and read again as the next one's documents."""
+    """Applies the stages to the documents; each stage's result is written and read again as the next one's documents.
+
+    A stage's intermediates are deleted once its result is written. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
