@@ -24,6 +24,8 @@ CROWD = 4096
 #: Postings that a task looks at together.
 ROWS = 150_000
 _EPS = 1e-6
+#: Sets of so many tokens or fewer have their parity in one word, and others are folded to one against them.
+SMALL = 48
 #: The part of sets that may be compared with all others.
 ALL = -1
 
@@ -52,7 +54,9 @@ class Overlap:
 def parity(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two words of each set's parity; first holds the place of each set's first token, and no set is empty."""
     bit, side = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6)) & np.uint64(1)
-    return tuple(np.bitwise_xor.reduceat(np.where(side == k, bit, np.uint64(0)), first).view(np.int64) for k in (1, 0))
+    odd, even = (np.bitwise_xor.reduceat(np.where(side == k, bit, np.uint64(0)), first).view(np.int64) for k in (1, 0))
+    small = np.diff(np.append(first, len(tokens))) <= SMALL  # one word does, which spares a number in every posting
+    return np.where(small, odd ^ even, odd), np.where(small, 0, even)
 
 
 def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, rule: Overlap) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +64,9 @@ def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, rule: Overl
     n, m = rows["n"][a], rows["n"][b]
     near = rows["place"][a] + rows["place"][b] <= n + m - 2 * rule.need(n, m, np.maximum) + _EPS
     a, b = a[near], b[near]
-    differ = sum(np.bitwise_count((rows[c][a] ^ rows[c][b]).view(np.uint64)).astype(np.int64) for c in ("odd", "even"))
+    odd, even = (rows[c][a] ^ rows[c][b] for c in ("odd", "even"))
+    fold = np.minimum(rows["n"][a], rows["n"][b]) <= SMALL
+    differ = sum(np.bitwise_count(x.view(np.uint64)).astype(np.int64) for x in (np.where(fold, odd ^ even, odd), np.where(fold, 0, even)))
     keep = rule.fits(rows["n"][a], rows["n"][b], rows["place"][a], rows["place"][b], differ, np.minimum, np.maximum)
     x, y, part = rows["x"], rows["y"], rows["part"]
     keep &= ((part[a] != part[b]) | (part[a] == ALL)) & ((x[a] != x[b]) | (y[a] != y[b]))
@@ -169,7 +175,8 @@ def crowded(crowd: DataFrame, rule: Overlap, asked: DataFrame | None = None) ->
     b = crowd.select(*(F.col(c).alias(f"b{c}") for c in POSTING))
     a = crowd if asked is None else crowd.join(asked, ["x", "y"], "left_semi")
     before = (F.col("bx") < F.col("x")) | ((F.col("bx") == F.col("x")) & (F.col("by") < F.col("y")))
-    differ = F.bit_count(F.col("odd").bitwiseXOR(F.col("bodd"))) + F.bit_count(F.col("even").bitwiseXOR(F.col("beven")))
+    odd, even = F.col("odd").bitwiseXOR(F.col("bodd")), F.col("even").bitwiseXOR(F.col("beven"))
+    differ = F.when(F.least("n", "bn") <= SMALL, F.bit_count(odd.bitwiseXOR(even))).otherwise(F.bit_count(odd) + F.bit_count(even))
     fits: Column = rule.fits(F.col("n"), F.col("bn"), F.col("place"), F.col("bplace"), differ, F.least, F.greatest)
     pairs = a.join(b, (F.col("token") == F.col("btoken")) & before & ((F.col("part") != F.col("bpart")) | (F.col("part") == ALL)) & fits)
     return pairs.select("x", "y", "bx", "by").distinct()

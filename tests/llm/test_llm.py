@@ -402,21 +402,34 @@ def test_media(spark):
     assert {(-1 - r.query_id, r.media_id) for r in found} == {(0, 0), (10, 10), (20, 20)}
 
 
+def test_hamming_tables_are_complete():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(2**31), 2**31, (300, media.WORDS)).astype("<i4")
+    w = v[rng.integers(0, 300, 500)].copy()
+    for k in range(500):
+        for bit in rng.integers(0, media.BITS, rng.integers(0, 30)):
+            w[k, bit // 32] ^= np.int32(np.uint32(1 << (bit % 32)).view(np.int32))
+    differ = np.bitwise_count((v[:, None, :] ^ w[None]).view(np.uint32)).sum(2)
+    for far in (3, 15, 20):
+        got = {(i, j) for a, b in media.hamming_pairs(v, w, far) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(differ <= far)), strict=True))
+
+
 def test_media_equals_brute_force_with_stronger_edits(spark):
     rng = np.random.default_rng(11)
     drawn = [pictures.draw(rng.normal(0, 1, 8).tolist()) for _ in range(33)]
     mosaic = np.vstack([np.hstack(drawn[24 + 3 * k : 27 + 3 * k]) for k in range(3)])  # nine times the area of the others
     images = {i: g for i, g in enumerate(drawn[:24])} | {50: mosaic}
-    edits = {i: g + rng.normal(0, 24, g.shape) for i, g in enumerate(drawn[:20])} | {20 + k: np.rot90(drawn[20 + k], k + 1) for k in range(3)} | {50: mosaic[100:200, 100:200]}
+    edits = {i: g + rng.normal(0, 9, g.shape) for i, g in enumerate(drawn[:20])} | {20 + k: np.rot90(drawn[20 + k], k + 1) for k in range(3)} | {50: mosaic[100:200, 100:200]}
     media_rows, query_rows = ([(i, media.encode_pgm(g)) for i, g in x.items()] for x in (images, edits))
     described = [{i: media.describe(media.decode_netpbm(b)) for i, b in rows} for rows in (media_rows, query_rows)]
-    want = {(i, j): media.agreement(p, v, q, w, 40) for i, (p, v) in described[1].items() for j, (q, w) in described[0].items() if i != j}
-    want = {k: n for k, n in want.items() if n >= 8}
+    want = {(i, j): media.agreement(p, v, q, w, 15) for i, (p, v) in described[1].items() for j, (q, w) in described[0].items() if i != j}
+    want = {k: n for k, n in want.items() if n >= 5}
     schema = "media_id long, image binary"
     table, asked = spark.createDataFrame(media_rows, schema), spark.createDataFrame([(-1 - i, b) for i, b in query_rows], schema)
     got = {(-1 - r.query_id, r.media_id): r.n_agree for r in media.find_copies(table, asked).collect()}
     assert {k: n for k, n in got.items() if k[0] != k[1]} == want
-    assert all((i, i) in got and got[i, i] == media.agreement(*described[1][i], *described[0][i], 40) for i in edits)
+    assert all((i, i) in got and got[i, i] == media.agreement(*described[1][i], *described[0][i], 15) for i in edits)
 
 
 def test_pipeline_stages_equal_brute_force(spark, tmp_path):
