@@ -114,11 +114,14 @@ def trust_fold(events: DataFrame, key: str, order: list[str], delta: str, start:
     """Score of each key after its events in order, each added and clipped to [0, 1].
 
     Additions with clips compose to one addition with clips, so each day of a key is folded first and then the days: no
-    row holds a key's whole history. order begins with a timestamp. Null changes count as 0.
+    row holds a key's whole history. order begins with a timestamp, or a number, of which a thousand make a day. Null
+    changes count as 0.
     """
     step = lambda s, d: F.struct((s["a"] + d).alias("a"), _clip(s["low"] + d).alias("low"), _clip(s["high"] + d).alias("high"))
     none = F.struct(F.lit(0.0).alias("a"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
-    daily = events.groupBy(key, F.date_trunc("day", order[0]).alias("_day")).agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(delta).cast("double"), F.lit(0.0)).alias("_d")))).alias("_own"), F.count("*").alias("_n"))
+    timed = dict(events.dtypes)[order[0]].startswith(("timestamp", "date"))
+    day = F.date_trunc("day", order[0]) if timed else F.floor(F.col(order[0]) / 1000)
+    daily = events.groupBy(key, day.alias("_day")).agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(delta).cast("double"), F.lit(0.0)).alias("_d")))).alias("_own"), F.count("*").alias("_n"))
     daily = daily.select(key, "_day", "_n", F.aggregate("_own", none, lambda s, x: step(s, x["_d"])).alias("_f"))
     days = F.array_sort(F.collect_list(F.struct("_day", "_f")))
     fold = F.aggregate(days, F.lit(start), lambda s, x: F.least(x["_f"]["high"], F.greatest(x["_f"]["low"], s + x["_f"]["a"])))

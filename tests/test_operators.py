@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimforge.functions import text as T
-from claimforge.operators import checkers, claims, kb, metrics, scan, sessions, similarity, votes
+from claimforge.operators import checkers, claims, graph, kb, metrics, scan, sessions, similarity, votes
 from claimforge.sources import io
 from claimforge.streaming import stream
 
@@ -42,7 +42,11 @@ def test_similar_pairs_equal_brute_force(spark):
     df = spark.createDataFrame(data, "k long, t string")
     sets = {k: {t.replace(" ", "")[i : i + 3] for i in range(len(t.replace(" ", "")) - 2)} for k, t in data if t}
     want = sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]))
-    assert rows(similarity.near_duplicates(df, "k", "t", 0.7), "a", "b") == want
+    got = similarity.near_duplicates(df, "k", "t", 0.7)
+    same = {k: min(j for j, u in data if (u or f"null {j}").replace(" ", "") == (t or f"null {k}").replace(" ", "")) for k, t in data}
+    assert {(r.key, r.rep) for r in got.collect()} == set(same.items())
+    links = {(r.rep, r.other) for r in got.where("other is not null").collect()}
+    assert links == {(same[x], same[y]) for a, b in want for x, y in ((a, b), (b, a)) if same[x] != same[y]}
 
 
 def test_entities_longest_first_without_overlap(spark):
@@ -157,3 +161,76 @@ def test_hot_key_and_empty_tables(spark):
     none = hot.limit(0)
     assert kb.dedupe_exact(none).count() == 0 and similarity.near_duplicates(none, "k", "fact").count() == 0
     assert kb.insert_new(hot, hot).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = [(k, float(v)) for k in ("a", "b", None) for v in [*rng.exponential(10, 301), 5.0, 5.0]] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: (r.p, r.q) for r in metrics.exact_quantiles(df, ["g"], "v", {"p": 0.5, "q": 0.99}, bins=16).collect()}
+    for g in ("a", "b", None, "c"):
+        own = [v for k, v in data if k == g]
+        assert got[g] == (pytest.approx(np.quantile(own, 0.5)), pytest.approx(np.quantile(own, 0.99)))
+    assert got["d"] == (None, None)
+    assert metrics.exact_quantiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+
+
+def test_perturb_moves_the_first_number_only(spark):
+    df = spark.createDataFrame([(1, "from 10 to 25"), (2, "none"), (3, None), (4, "7")], "k long, t string")
+    assert rows(kb.perturb_numbers(df, "k", "t", (1,)), "fact") == [("8",), ("from 11 to 25",)]
+
+
+def test_weighted_ties_go_to_the_smaller_name(spark):
+    v = spark.createDataFrame([(1, "z", "contradicted", 0.9, 0.9), (1, "a", "verified", 0.9, 0.9)], "k long, checker string, verdict string, confidence double, weight double")
+    assert votes.decide_weighted(v, ["k"]).first().verdict == "verified"
+    modes = votes.compare_vote_modes(v, ["k"]).first()
+    assert (modes.majority, modes.weighted, modes.borda, modes.agree) == ("contradicted", "contradicted", "verified", False)
+
+
+def test_checkers_with_units_lists_and_makers(spark):
+    df = spark.createDataFrame(
+        [(1, "The road is 5 km long here", "The road is 5000 m long here"), (2, "The road is 5 km long here", "The road is 9 km long here"), (3, "The engine was invented by smith", "The engine was invented by jones")],
+        "k long, claim string, fact string",
+    )
+    got = {(r.k, r.checker) for r in checkers.run_checkers(df, ["k"]).where("verdict = 'contradicted'").collect()}
+    assert (1, "numeric") not in got and (2, "numeric") in got and (3, "attribution") in got
+    more = (
+        checkers.Checker("places", 0.85, checkers.lookup_conflict({"Tower": ("Paris",)}, ("Paris", "Rome"))),
+        checkers.Checker("eras", 0.8, checkers.temporal_order({"Tang": (618, 907), "Song": (960, 1279)}, {"Li Bai": "Tang"})),
+    )
+    df = spark.createDataFrame([(1, "The Tower in Rome", "x"), (2, "The Tower in Paris", "x"), (3, "Li Bai of the Song", "x"), (4, "Li Bai in 1850", "x"), (5, "Li Bai of the Tang", "x")], "k long, claim string, fact string")
+    assert {(r.k, r.checker) for r in checkers.run_checkers(df, ["k"], checkers=more).collect()} == {(1, "places"), (3, "eras"), (4, "eras")}
+    numbers = spark.createDataFrame([("it cost 1,250 thousand",), ("5 km away",), ("none",), (None,)], "t string").select(checkers.parse_number(F.col("t")).alias("n"))
+    assert [r.n and tuple(r.n) for r in numbers.collect()] == [(1250000.0, None), (5.0, "km"), None, None]
+
+
+def test_kg_rules(spark):
+    text = spark.createDataFrame([(1, "Ada Byron was born in 1815. Ada Byron invented the program. The Louvre is located in Paris. The Louvre is not in Rome."), (2, None), (3, "")], "k long, t string")
+    triples = graph.extract_kg_triples(text, "k", "t")
+    assert {(r.subj, r.rel, r.obj) for r in triples.collect()} == {("Ada Byron", "BORN_IN", "1815"), ("Ada Byron", "INVENTED", "program"), ("The Louvre", "LOCATED_AT", "Paris"), ("The Louvre", "NOT", "Rome")}
+    claimed = spark.createDataFrame([(1, "Ada Byron", "ENDED_IN", "1800"), (2, "Bob", "INVENTED", "program"), (3, "Bob", "INVENTED", "programs"), (4, "The Louvre", "IN", "Rome"), (5, "The Louvre", "LOCATED_AT", "Nice"), (6, "The Louvre", "LOCATED_AT", "Paris")], "claim_id long, subj string, rel string, obj string")
+    got = {r.claim_id: (r.rule, r.confidence) for r in graph.kg_contradictions(claimed, triples).collect()}
+    assert got == {1: ("born_later", 0.85), 2: ("other_maker", 0.8), 3: ("other_maker", 0.75), 4: ("negated", 0.9), 5: ("other_place", 0.8)}
+
+
+def test_self_contradiction_lists_every_pair(spark):
+    data = [(1, 1, "the door is open"), (1, 2, "the door is not open"), (1, 3, "open is the door"), (1, 4, "door not open the is"), (2, 1, "the door is not open"), (1, 5, None), (1, 6, "")]
+    got = sessions.detect_self_contradiction(spark.createDataFrame(data, "s long, t long, x string"), "s", "t", "x")
+    assert {(r.s, r.earlier, r.later) for r in got.collect()} == {(1, 1, 2), (1, 2, 3), (1, 1, 4), (1, 3, 4)}
+
+
+def test_streams_of_state_do_not_depend_on_partitions(spark):
+    data = [(k, float(t * 100), t) for k in range(3) for t in range(20)]
+    df = spark.createDataFrame(data, "u long, at double, id long").repartition(5)
+    banned = {(r.u, r.id) for r in metrics.exponential_ban(df, "u", "at", "id", 3, 300, 300, 1800).select("u", "id").collect()}
+    until, n, held, want = {}, {}, {}, set()
+    for u, t, i in data:
+        if t < until.get(u, 0):
+            continue
+        held[u] = [x for x in held.get(u, []) if x > t - 300] + [t]
+        if len(held[u]) >= 3:
+            want.add((u, i))
+            until[u], n[u], held[u] = t + min(1800, 300 * 6 ** n.get(u, 0)), n.get(u, 0) + 1, []
+    assert banned == want
