@@ -28,11 +28,21 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside a lambda an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_ngrams(text: Column, n: int, keep_short: bool = False) -> Column:
     """Distinct runs of n characters; a shorter text has none, or is one itself with keep_short."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
-    short = F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>")) if keep_short else F.array().cast("array<string>")
-    return F.when(F.length(text) >= n, grams).when(text.isNotNull(), short)
+    none = F.array().cast("array<string>")
+
+    def grams(t: Column) -> Column:
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n)))
+        short = F.when(F.length(t) > 0, F.array(t)).otherwise(none) if keep_short else none
+        return F.when(F.length(t) >= n, runs).when(t.isNotNull(), short)
+
+    return let(text, grams)
 
 
 def word_array(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.functions.text import char_ngrams, char_overlap, squeeze, word_array
+from claimforge.functions.text import char_ngrams, char_overlap, let, squeeze, word_array
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, least: float, name: str) -> DataFrame:
@@ -79,21 +79,23 @@ def build_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def gram_array(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
-    """All runs of so many characters of a lower-case text without white space, repeated ones too."""
-    t = squeeze(F.lower(text))
+    """All runs of so many characters of a lower-case text without white space, repeated ones too; a shorter text has none."""
 
-    def runs(n: int) -> Column:
+    def runs(t: Column, n: int) -> Column:
         found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, n))
-        return F.filter(found, lambda g: F.length(g) == n)  # a shorter text has none
+        return F.filter(found, lambda g: F.length(g) == n)
 
-    return F.concat(*map(runs, sizes))
+    return let(squeeze(F.lower(text)), lambda t: F.concat(*(runs(t, n) for n in sizes)))
 
 
 def word_runs(text: Column) -> Column:
     """Words and pairs of words that follow each other, repeated ones too."""
-    words = word_array(text)
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+
+    def runs(words: Column) -> Column:
+        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    return let(word_array(text), runs)
 
 
 def search_tfidf(queries: DataFrame, docs: DataFrame, k: int = 5, least: float = 0.15, grams=gram_array) -> DataFrame:
