@@ -60,7 +60,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-        for doc_ids, texts in sized(batches):
+        for doc_ids, texts in sized(batches, rows=1024, most=4 << 20):
             rows = []
             for d, own in zip(doc_ids.to_pylist(), own_encoder.encode(texts), strict=True):
                 ids = memoryview(own + end)

@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                 seq, size = seq + 1, 0
                 doc_ids.clear(), counts.clear(), held.seek(0), held.truncate()
 
-        for ids, texts in sized(batches):
+        for ids, texts in sized(batches, rows=1024, most=4 << 20):
             for d, own in zip(ids.to_pylist(), own_encoder.encode(texts), strict=True):
                 own += end
                 held.write(own)

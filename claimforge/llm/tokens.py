@@ -162,7 +162,7 @@ class Encoder:
     texts into pieces and finds them among known ones; Python sees only new pieces, and the library's model new words.
     """
 
-    def __init__(self, path: str, most: int = 32 << 20, specials_as_text: bool = False):
+    def __init__(self, path: str, most: int = 16 << 20, specials_as_text: bool = False):
         self.library = Tokenizer.from_file(path)
         if self.library.normalizer is not None or "ByteLevel" not in str(self.library.pre_tokenizer):
             raise ValueError("a byte-level BPE tokenizer without a normalizer is needed")
@@ -226,6 +226,8 @@ class Encoder:
         ends = starts[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         for i, start, end in zip(plain.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             out[i] = ids[start + 1 : end].tobytes()
+        del found, ids, lists, fed
+        pa.default_memory_pool().release_unused()  # workers share an executor's memory
         return out
 
 
