@@ -28,7 +28,7 @@ def _lines(docs: DataFrame, levels: np.ndarray, rule: Overlap, min_words: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, least = shared.value, rule.least
-        for ids, texts in sized(batches, most=4 << 20):
+        for ids, texts in sized(batches, most=2 << 20):
             words = batch_words(texts)
             if not len(words.hashes):
                 continue

@@ -123,7 +123,7 @@ def _sketch(docs: DataFrame, n_sketches: int, size: int) -> DataFrame:
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in sized(batches, rows=2048, most=4 << 20):
+        for ids, texts in sized(batches, rows=1024, most=2 << 20):
             words = batch_words(texts)
             keys = [hashlib.md5((t or "").encode(), usedforsecurity=False).digest() for t in texts.to_pylist()]
             n = np.bincount(words.text, minlength=len(texts)).astype(np.int32)
@@ -182,7 +182,7 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        for kids, parts, found in sized(batches, 2, most=4 << 20):
+        for kids, parts, found in sized(batches, 2, most=2 << 20):
             words = batch_words(found)
             if not len(words.hashes):
                 continue

@@ -51,7 +51,7 @@ def rarity_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
-        for (texts,) in sized(batches, 0, most=4 << 20):
+        for (texts,) in sized(batches, 0, most=2 << 20):
             total += np.bincount(slots(batch_words(texts).hashes), minlength=1 << SLOT_BITS)
         yield from _pages(total)
 
