@@ -22,9 +22,8 @@ K = 5
 TOP = np.uint64(2**64 - 1)
 #: Stands for a null id in joins.
 NO_ID = -(2**63)
-#: Kinds of buckets. A kind has its own order of texts, by which the text that others are compared with is chosen: a
-#: large group of copies, which shares many buckets, meets so many texts and no more.
-ORDERS = 4
+#: Texts that a text is compared with at first; whatever buckets these don't settle goes through the later steps.
+FIRST = 3
 #: Bits of a text's mark: the bit of each word, labelled by its occurrences, is flipped once.
 MARK_BITS = 2048
 
@@ -212,10 +211,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes are connected texts. Copies of a text share its key and are compared once. Candidates share one of n_sketches
     order-MinHash sketches, each of the sketch_size smallest five-word shingles in text order.
 
-    In a bucket of texts with one sketch, texts are first compared with one of them, drawn by one of ORDERS orders; where a
-    bucket then still holds several classes, with two others. What are different classes after that is joined exactly,
-    on the rarest words of each text. So a large group of copies costs few comparisons, and every two texts in a bucket
-    end up in one class or are known to differ. Buckets are only aggregated and joined.
+    In a bucket of texts with one sketch, texts are first compared with its lowest one, each text with FIRST such ones;
+    where a bucket then still holds several classes, with two others. What are different classes after that is joined
+    exactly, on the rarest words of each text. So a large group of copies costs few comparisons, and every two texts in
+    a bucket end up in one class or are known to differ. Buckets are only aggregated and joined.
 
     A null text counts as empty; texts without words are linked to equal ones only. Null ids come last in the choice of
     class_id. Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
@@ -226,10 +225,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     distinct = sketched.where("n > 0").groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "n", "sketches", "mark")).alias("s"))
     distinct = stage_table(distinct.select("key", kid.alias("kid"), "s.*"), "texts-sketched")
     members = distinct.select("key", "kid", F.explode(F.array_distinct("sketches")).alias("bucket"))
-    mask = F.xxhash64(F.pmod("bucket", F.lit(ORDERS)))  # an order of its kind's own
-    drawn = F.col("kid").bitwiseXOR(mask)
-    back = lambda c: F.col(c).bitwiseXOR(mask)
-    shared = members.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high").select("bucket", back("low").alias("center"))
+    shared = members.groupBy("bucket").agg(F.min("kid").alias("center"), F.max("kid").alias("high")).where("center <> high").select("bucket", "center")
     members = stage_table(members.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
 
     found = stage_table(distinct.select("key", "kid", "doc").join(members.select("kid").distinct(), "kid", "left_semi"), "found")
@@ -239,12 +235,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     known = stage_table(distinct.join(found.select("kid"), "kid", "left_semi").select("kid", "n", "mark", "sketches"), "known")
 
     ordered = [F.least("kid", "other").alias("akid"), F.greatest("kid", "other").alias("bkid")]
-    done = stage_table(members.withColumnRenamed("center", "other").where("kid <> other").select(*ordered).distinct(), "pairs")
+    centers = members.where("kid <> center").groupBy("kid").agg(F.array_sort(F.collect_set("center")).alias("centers"))  # at most n_sketches each
+    done = stage_table(centers.select("kid", F.explode(F.slice("centers", 1, FIRST)).alias("other")).select(*ordered).distinct(), "pairs")
     links = _verified(done, known, texts, least)
     labels = components(links)
     # two others of each bucket that isn't one class
     again = stage_table(_labelled(members.select("key", "kid", "bucket"), labels), "labelled")
-    drawn = F.xxhash64("kid", F.pmod("bucket", F.lit(ORDERS)))
+    drawn = F.xxhash64("kid")
     others = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("kid", "component"), drawn).alias("x"), F.max_by(F.struct("kid", "component"), drawn).alias("y"))
     others = others.where("low <> high").select("bucket", F.explode(F.array("x", "y")).alias("o")).select("bucket", F.col("o.kid").alias("other"), F.col("o.component").alias("theirs"))
     pairs = again.join(others, "bucket").where("component <> theirs").select(*ordered).distinct()
