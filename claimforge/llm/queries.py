@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dup, media, near_dup, packing, pictures, pii, quality, sharding, token_files
+from . import ball_search, bpe, hard_negatives, html_text, line_dup, media, near_dup, packing, pictures, pii, quality, sharding, token_files, windows
 from .common import new_path
 
 
@@ -62,5 +62,71 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dup.repeated_lines(_table(spark, sf_dir, "documents"), min_words=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op7_media, op8_pii, op9_packing, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.concat_and_cut(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search_ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_OPERATORS = (
+    op1_quality, op2_main_text, op3_sharding, op4_near_dup, op5_token_files, op6_bpe, op7_media, op8_pii, op9_packing, op10_line_dedup,
+    op11_hard_negatives, op12_windows, op13_ranked_search,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": r"""
+WITH v AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS alike, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+    FROM v a JOIN v ON a.vec_id <> v.vec_id
+    WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.alike AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER w <= 5
+""",
+    "op13_ranked_search": r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+),
+asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, totals WHERE term IN (SELECT term FROM asked) GROUP BY term
+),
+impacts AS (
+    SELECT tf.doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) AS impact
+    FROM tf JOIN weights USING (term) JOIN lengths ON tf.doc_id = lengths.doc_id, totals
+),
+scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS "rank", doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 20
+""",
+}
