@@ -69,13 +69,6 @@ def neighbors(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("subj").alias("node"), "rel", F.col("obj").alias("other")).union(back).distinct()
 
 
-def kg_contradictions(claims: DataFrame, triples: DataFrame) -> DataFrame:
-    """Claims (claim_id, subj, rel, obj) whose subject has another object for the relation, or a NOT for the same one."""
-    own = claims.alias("c").join(triples.distinct().alias("t"), "subj")
-    rule = F.when((F.col("t.rel") == "NOT") & (F.col("t.obj") == F.col("c.obj")), 0.9).when((F.col("t.rel") == F.col("c.rel")) & (F.col("t.obj") != F.col("c.obj")), 0.8)
-    return own.select("claim_id", "subj", rule.alias("confidence")).where("confidence is not null").groupBy("claim_id", "subj").agg(F.max("confidence").alias("confidence"))
-
-
 def apply_feedback(pairs: DataFrame, feedback: DataFrame, keys: list[str]) -> DataFrame:
     """The verdict of the latest applied feedback of a pair replaces its own."""
     latest = feedback.where("applied = 1").groupBy(*keys).agg(F.max_by("user_verdict", "id").alias("_v"))

@@ -37,6 +37,7 @@ INJECTION_RULES = (
     ScanRule("override", "override", r"\b(ignore (?:all |the )?(?:previous|above)|disregard)\b", "high", 0.9),
     ScanRule("prompt leak", "leak", r"\b(system prompt|your instructions)\b", "high", 0.8),
     ScanRule("role", "jailbreak", r"\b(you are now|pretend to be|act as)\b", "medium", 0.7),
+    ScanRule("hidden markup", "hidden", r"(<!--|display: ?none|visibility: ?hidden)", "medium", 0.6), ScanRule("active markup", "active", r"(<script|<iframe|javascript:)", "medium", 0.5),
 )
 WAF_RULES = (("bot", r"(?i)(curl|bot|crawler|spider)"), ("sqli", r"(?i)(union select|or 1=1|drop table)"), ("xss", r"(?i)(<script|javascript:|onerror=)"), ("traversal", r"(\.\./|%2e%2e)"))
 

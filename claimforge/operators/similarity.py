@@ -81,11 +81,13 @@ def build_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
 def gram_array(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """All runs of so many characters of a lower-case text without white space, repeated ones too; a shorter text has none."""
 
-    def runs(t: Column, n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, n))
-        return F.filter(found, lambda g: F.length(g) == n)
+    def runs(chars: Column, n: int) -> Column:
+        if n == 1:
+            return chars
+        count = F.greatest(F.size(chars) - n + 1, F.lit(0))
+        return F.zip_with(F.slice(runs(chars, n - 1), F.lit(1), count), F.slice(chars, F.lit(n), count), lambda a, b: F.concat(a, b))
 
-    return let(squeeze(F.lower(text)), lambda t: F.concat(*(runs(t, n) for n in sizes)))
+    return let(F.split(squeeze(F.lower(text)), ""), lambda chars: F.concat(*(runs(chars, n) for n in sizes)))
 
 
 def word_runs(text: Column) -> Column:
@@ -144,14 +146,16 @@ def search_bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5
     return top_k(score, "query_id", k, F.desc("score"), F.col("doc_id"))
 
 
-def best_match(claims: DataFrame, facts: DataFrame, least: float = 0.3) -> DataFrame:
+def best_match(claims: DataFrame, facts: DataFrame, least: float = 0.3, others: bool = False) -> DataFrame:
     """The best fact for each claim: 0.65 bigram Jaccard + 0.35 character overlap, 0.05 more where a fact holds the claim.
 
     claims and facts have id and text. Candidates are all pairs whose bigram Jaccard is `least` or more. A short claim
     (under 10 characters) must score 0.6, others 0.4. Ties go to the smaller fact id. Null and one-letter texts match nothing.
+    With others, ids are of one table and none matches itself.
     """
     grams = lambda x: x.select("id", char_ngrams(squeeze(F.lower(F.col("text"))), 2).alias("grams")).where(F.size("grams") > 0)
     pairs = similar_pairs(grams(claims), grams(facts), least)
+    pairs = pairs.where("left_id <> right_id") if others else pairs
     own = pairs.join(claims.toDF("left_id", "claim"), "left_id").join(facts.toDF("right_id", "fact"), "right_id")
     score = F.least(F.lit(1.0), 0.65 * F.col("similarity") + 0.35 * char_overlap(F.lower("claim"), F.lower("fact")) + F.when(F.contains(F.lower("fact"), F.lower("claim")), 0.05).otherwise(0.0))
     own = own.withColumn("score", F.round(score, 6)).where(F.col("score") >= F.when(F.length("claim") < 10, 0.6).otherwise(0.4))
@@ -159,15 +163,17 @@ def best_match(claims: DataFrame, facts: DataFrame, least: float = 0.3) -> DataF
     return best.select(F.col("left_id").alias("claim_id"), F.col("b.right_id").alias("fact_id"), F.col("b.score").alias("score"))
 
 
-def fuzzy_entity(names: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:
+def fuzzy_entity(names: DataFrame, candidates: DataFrame, least: float = 0.6, others: bool = False) -> DataFrame:
     """For each name the candidate of most similar bigram counts (cosine), if `least` or more; both have id and text.
 
-    A join on bigrams; ties go to the smaller candidate id. Names of one character or none match nothing.
+    A join on bigrams; ties go to the smaller candidate id. Names of one character or none match nothing. With others, ids
+    are of one table and none matches itself.
     """
     rows = lambda x: term_rows(x, "id", gram_array(F.col("text"), (2,)))
     a, b = rows(names), rows(candidates)
     norm = lambda x: x.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l"))
     dots = a.toDF("name_id", "gram", "x").join(b.toDF("entity_id", "gram", "y"), "gram").groupBy("name_id", "entity_id").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    dots = dots.where("name_id <> entity_id") if others else dots
     own = dots.join(norm(a).toDF("name_id", "p"), "name_id").join(norm(b).toDF("entity_id", "q"), "entity_id")
     own = own.withColumn("similarity", F.round(F.col("s") / (F.col("p") * F.col("q")), 6)).where(F.col("similarity") >= least)
     best = own.groupBy("name_id").agg(F.max_by(F.struct("entity_id", "similarity"), F.struct("similarity", (-F.col("entity_id")).alias("r"))).alias("b"))

@@ -13,14 +13,17 @@ def _of(verdict: str, value: Column) -> Column:
 def decide_weighted(votes: DataFrame, keys: list[str]) -> DataFrame:
     """hallucination score, and the winner: most weight times confidence among weights of 0.85 or more, else among all.
 
-    A contradiction of little weight and confidence is uncertain. Ties go to the checker of the smaller name.
+    A contradiction of little weight and confidence is uncertain. Ties go to the checker of the smaller name. Weights and
+    confidences count to six places and are summed up as decimals, so the score doesn't depend on the rows' order.
     """
     w, c = F.col("weight"), F.col("confidence")
+    dw, dc = (x.cast("decimal(10,6)") for x in (w, c))
+    total = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, dw * dc).otherwise(F.lit(0).cast("decimal(1,0)"))).cast("double")
     rank = F.struct((w < 0.85).alias("light"), (-w * c).alias("wc"), "checker", "verdict")
     best = F.min_by(F.struct("verdict", "confidence", "weight"), rank).alias("best")
-    out = votes.groupBy(*keys).agg((_of("contradicted", w * c) + 0.5 * _of("uncertain", w * c)).alias("s"), F.sum(w).alias("w"), best)
+    out = votes.groupBy(*keys).agg((total("contradicted") + 0.5 * total("uncertain")).alias("s"), F.sum(dw).cast("double").alias("w"), best)
     weak = (F.col("best.verdict") == "contradicted") & (F.col("best.weight") < 0.85) & (F.col("best.confidence") < 0.65)
-    return out.select(*keys, F.round(F.when(F.col("w") == 0, 0.0).otherwise(F.col("s") / F.col("w")), 6).alias("hallucination"), F.when(weak, "uncertain").otherwise(F.col("best.verdict")).alias("verdict"), F.when(weak, 0.5).otherwise(F.col("best.confidence")).alias("confidence"))
+    return out.select(*keys, (F.floor(F.when(F.col("w") == 0, 0.0).otherwise(F.col("s") / F.col("w")) * 1e6 + 0.5) / 1e6).alias("hallucination"), F.when(weak, "uncertain").otherwise(F.col("best.verdict")).alias("verdict"), F.when(weak, 0.5).otherwise(F.col("best.confidence")).alias("confidence"))
 
 
 def vote_majority(votes: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

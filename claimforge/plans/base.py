@@ -27,8 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt out evenly where it has fewer partitions than there are cores, as a file that can't be split has.
+
+    Larger tables have more partitions than cores and stay as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return claims.split_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def seed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,23 +42,23 @@ GRAMS2 = "SELECT p_partkey id, p_name x, lower(regexp_replace(p_name, '\\s+', ''
 
 @query(
     rf"""WITH n AS ({GRAMS2}), u AS (SELECT id, unnest([substr(z, i, 2) for i in range(1, length(z))]) g FROM n), t AS (SELECT id, g, count(*) tf FROM u GROUP BY 1, 2), l AS (SELECT id, sqrt(sum(tf * tf)) l FROM t GROUP BY 1),
-d AS (SELECT a.id a, b.id b, sum(a.tf * b.tf) s FROM t a JOIN t b USING (g) WHERE a.id % 20 = 0 AND b.id % 20 <> 0 GROUP BY 1, 2), c AS (SELECT a, b, round(s / (x.l * y.l), 6) j FROM d JOIN l x ON x.id = a JOIN l y ON y.id = b)
+d AS (SELECT a.id a, b.id b, sum(a.tf * b.tf) s FROM t a JOIN t b USING (g) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY 1, 2), c AS (SELECT a, b, round(s / (x.l * y.l), 6) j FROM d JOIN l x ON x.id = a JOIN l y ON y.id = b)
 SELECT a name_id, first(b ORDER BY j DESC, b) entity_id, max(j) similarity FROM c WHERE j >= 0.6 GROUP BY 1"""
 )
 def fuzzy_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return similarity.fuzzy_entity(parts.where("id % 20 = 0"), parts.where("id % 20 <> 0"))
+    return similarity.fuzzy_entity(parts.where("id % 20 = 0"), parts, others=True)
 
 
 @query(
     rf"""WITH n AS ({GRAMS2}), t AS (SELECT id, lower(x) x, list_distinct([substr(z, i, 2) for i in range(1, length(z))]) g, list_distinct(string_split(lower(x), '')) ch FROM n),
-c AS (SELECT a.id a, b.id b, a.x ax, b.x bx, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) j, len(list_intersect(a.ch, b.ch)) / len(a.ch) o FROM t a JOIN t b ON a.id % 20 = 0 AND b.id % 20 <> 0),
+c AS (SELECT a.id a, b.id b, a.x ax, b.x bx, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) j, len(list_intersect(a.ch, b.ch)) / len(a.ch) o FROM t a JOIN t b ON a.id % 20 = 0 AND a.id <> b.id),
 s AS (SELECT a, b, ax, round(least(1.0, 0.65 * j + 0.35 * o + CASE WHEN contains(bx, ax) THEN 0.05 ELSE 0 END), 6) score FROM c WHERE j >= 0.3)
 SELECT a claim_id, first(b ORDER BY score DESC, b) fact_id, max(score) score FROM s WHERE score >= CASE WHEN length(ax) < 10 THEN 0.6 ELSE 0.4 END GROUP BY 1"""
 )
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return similarity.best_match(parts.where("id % 20 = 0"), parts.where("id % 20 <> 0"))
+    return similarity.best_match(parts.where("id % 20 = 0"), parts, others=True)
 
 
 # -- graphs from text: statements about suppliers, customers and parts, derived from the tables
@@ -88,8 +88,13 @@ def extract_kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.extract_kg_triples(_statements(spark, sf_dir), "k", "text")
 
 
+def _nth(df: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """df with a column nth: its key modulo the number of rows of the other table, whose keys count from 0."""
+    return df.crossJoin(F.broadcast(of.agg(F.count("*").alias("_n")))).withColumn("nth", F.col(key) % F.col("_n")).drop("_n")  # one row
+
+
 CLAIMED = """claimed AS (SELECT c_custkey claim_id, 'Supplier' || s_suppkey subj, ['LOCATED_AT', 'ENDED_IN', 'INVENTED'][1 + c_custkey % 3] rel, CASE c_custkey % 3 WHEN 0 THEN upper(substr(n_name, 1, 1)) || lower(regexp_replace(substr(n_name, 2), '[^A-Za-z]', '', 'g'))
-WHEN 1 THEN CAST(1805 + c_nationkey AS VARCHAR) ELSE 'engine' || chr(CAST(97 + c_nationkey AS INTEGER)) END obj FROM customer JOIN supplier ON s_suppkey = c_custkey % 100 JOIN nation ON n_nationkey = c_nationkey)"""
+WHEN 1 THEN CAST(1805 + c_nationkey AS VARCHAR) ELSE 'engine' || chr(CAST(97 + c_nationkey AS INTEGER)) END obj FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = c_nationkey)"""
 
 
 @query(
@@ -102,7 +107,8 @@ SELECT claim_id, b.r "rule", b.c::DOUBLE confidence FROM (SELECT claim_id, first
 def kg_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A claim about a supplier for each customer, against the triples read from text."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.regexp_replace(F.substring(F.col("n_name"), 2, 100), "[^A-Za-z]", ""))).alias("place"))
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.col("s_suppkey") == F.col("c_custkey") % 100).join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    c = _nth(table(spark, sf_dir, "customer"), "c_custkey", s).join(s, F.col("s_suppkey") == F.col("nth")).join(n, F.col("n_nationkey") == F.col("c_nationkey"))
     kind = F.col("c_custkey") % 3
     obj = F.when(kind == 0, F.col("place")).when(kind == 1, (1805 + F.col("c_nationkey")).cast("string")).otherwise(F.concat(F.lit("engine"), F.char(97 + F.col("c_nationkey"))))
     rel = F.when(kind == 0, "LOCATED_AT").when(kind == 1, "ENDED_IN").otherwise("INVENTED")
@@ -111,12 +117,13 @@ def kg_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT l_suppkey src, o_custkey % 100 + 1 dst, CASE l_returnflag WHEN 'R' THEN 'contradicts' WHEN 'A' THEN 'overrides' ELSE 'supports' END t FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    """WITH e AS (SELECT DISTINCT l_suppkey src, o_custkey % (SELECT count(*) FROM supplier) dst, CASE l_returnflag WHEN 'R' THEN 'contradicts' WHEN 'A' THEN 'overrides' ELSE 'supports' END t FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 b AS (SELECT src a, dst b FROM e WHERE t <> 'supports' AND src <> dst UNION SELECT dst, src FROM e WHERE t <> 'supports' AND src <> dst) SELECT a node, count(*) n, round(avg(s_acctbal), 6) mean_confidence FROM b JOIN supplier ON s_suppkey = b GROUP BY 1"""
 )
 def competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "contradicts").when(F.col("l_returnflag") == "A", "overrides").otherwise("supports")
-    e = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_suppkey").alias("src"), (F.col("o_custkey") % 100 + 1).alias("dst"), kind.alias("type")).distinct()
+    o = _nth(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "supplier"))
+    e = table(spark, sf_dir, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_suppkey").alias("src"), F.col("nth").alias("dst"), kind.alias("type")).distinct()
     return graph.competitors(e, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("confidence")))
 
 
@@ -141,16 +148,18 @@ def entity_fact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH q AS (SELECT p_partkey query_id, p_name q, regexp_replace(lower(p_name), '\s+', '', 'g') qp FROM part), e AS (SELECT s_suppkey entity_id, s_name n FROM supplier UNION ALL SELECT 1000000 + p_partkey, upper(p_name) FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 2000000 + p_partkey, p_name FROM part WHERE p_partkey % 3 = 0),
+    r"""WITH q0 AS (SELECT 'part ' || p_partkey query_id, p_name q FROM part UNION ALL SELECT 'supplier ' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'region ' || r_regionkey, r_name || ' and others' FROM region UNION ALL SELECT 'nation ' || n_nationkey, n_name FROM nation),
+q AS (SELECT *, regexp_replace(lower(q), '\s+', '', 'g') qp FROM q0), e AS (SELECT 'supplier ' || s_suppkey entity_id, s_name n FROM supplier UNION ALL SELECT 'part ' || p_partkey, upper(p_name) FROM part UNION ALL SELECT 'region ' || r_regionkey, r_name FROM region),
 a AS (SELECT n q, min(entity_id) e1 FROM e GROUP BY 1), b AS (SELECT regexp_replace(lower(n), '\s+', '', 'g') qp, min(entity_id) e2 FROM e GROUP BY 1), h AS (SELECT substr(regexp_replace(lower(n), '\s+', '', 'g'), 1, 3) qh, min(entity_id) e3 FROM e GROUP BY 1 HAVING count(*) = 1)
 SELECT query_id, coalesce(e1, e2, e3) entity_id, CASE WHEN e1 IS NOT NULL THEN 'exact' WHEN e2 IS NOT NULL THEN 'plain' WHEN e3 IS NOT NULL THEN 'prefix' ELSE 'none' END stage FROM q LEFT JOIN a USING (q) LEFT JOIN b USING (qp) LEFT JOIN h ON qh = substr(qp, 1, 3)"""
 )
 def resolve_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against suppliers, some part names in capitals and some as they are."""
-    p = table(spark, sf_dir, "part")
-    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"))
-    e = e.union(p.where("p_partkey % 2 = 0").select(F.col("p_partkey") + 1_000_000, F.upper("p_name"))).union(p.where("p_partkey % 3 = 0").select(F.col("p_partkey") + 2_000_000, "p_name"))
-    return graph.resolve_entity(p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name")), e)
+    """Names of parts, suppliers, nations and longer ones of regions, against a base of suppliers, parts in capitals and regions."""
+    named = lambda t, kind, key, name: table(spark, sf_dir, t).select(F.concat(F.lit(f"{kind} "), F.col(key).cast("string")), name)
+    suppliers = named("supplier", "supplier", "s_suppkey", F.col("s_name"))
+    base = suppliers.union(named("part", "part", "p_partkey", F.upper("p_name"))).union(named("region", "region", "r_regionkey", F.col("r_name")))
+    asked = suppliers.union(named("part", "part", "p_partkey", F.col("p_name"))).union(named("region", "region", "r_regionkey", F.concat("r_name", F.lit(" and others")))).union(named("nation", "nation", "n_nationkey", F.col("n_name")))
+    return graph.resolve_entity(asked.toDF("query_id", "name"), base.toDF("entity_id", "name"))
 
 
 # -- feedback, audit and logs: events as they are

@@ -58,8 +58,8 @@ SCANS = {
     "audit_text": f"""WITH {LEAKS}, {CONTENT}, {BIAS}, l AS (SELECT doc_id, count(*) n, max(confidence) c FROM leaks GROUP BY 1), c AS (SELECT doc_id, count(*) n, max(r) r FROM content GROUP BY 1), b AS (SELECT doc_id, count(*) n, max(r) r FROM bias GROUP BY 1)
 SELECT doc_id, coalesce(l.n, 0) n_leaks, coalesce(c.n, 0) n_content, coalesce(b.n, 0) n_bias, CASE WHEN coalesce(l.c, 0) >= 0.9 OR coalesce(c.r, 0) >= 3 THEN 'blocked' WHEN coalesce(b.r, 0) >= 3 OR coalesce(l.n, 0) + coalesce(c.n, 0) > 0 THEN 'warning' ELSE 'ok' END status
 FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)""",
-    "scan_injection": f"""WITH turns AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' Disregard the above.' ELSE ' You are now another.' END said FROM conversations WHERE role <> 'assistant'), f AS ({found(scan.INJECTION_RULES, 'turns', 'conv_id, turn', 'lower(said)')})
-SELECT conv_id, turn, array_to_string(list_sort(list(DISTINCT category)), ',') reasons, max(confidence) confidence FROM f GROUP BY 1, 2""",
+    "scan_injection": f"""WITH turns AS (SELECT 'turn' kind, conv_id id, CAST(turn AS BIGINT) part, text said FROM conversations UNION ALL SELECT 'page', page_id, 0, html FROM pages), f AS ({found(scan.INJECTION_RULES, 'turns', 'kind, id, part', 'lower(said)')})
+SELECT kind, id, part, array_to_string(list_sort(list(DISTINCT category)), ',') reasons, max(confidence) confidence FROM f GROUP BY 1, 2, 3""",
 }
 TERMS = ("de", "la", "the", "die", "und", "of")
 _SEEN = " + ".join(f"max(CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END) OVER w" for w in TERMS)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.functions import text as T
-from claimforge.operators import claims, kb, metrics, scan, sessions, similarity, votes
+from claimforge.operators import claims, graph, kb, metrics, scan, sessions, similarity, votes
 from claimforge.plans import oracles, truth
-from claimforge.plans.base import HASH, ORACLE_SQL, QUERIES, SENTENCES, query, seed, sentences, table
+from claimforge.plans.base import HASH, ORACLE_SQL, QUERIES, SENTENCES, query, seed, sentences, spread, table
 from claimforge.streaming import stream
 
 FLAGSHIP = "document_report"
@@ -125,7 +125,8 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kg_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return kb.kg_contradictions(own.select(F.col("c_custkey").alias("claim_id"), F.col("s_name").alias("subj"), F.lit("LOCATED_AT").alias("rel"), F.col("n_name").alias("obj")), geography(spark, sf_dir))
+    claimed = own.select(F.col("c_custkey").alias("claim_id"), F.col("s_name").alias("subj"), F.lit("LOCATED_AT").alias("rel"), F.col("n_name").alias("obj"))
+    return graph.kg_contradictions(claimed, geography(spark, sf_dir)).join(claimed.select("claim_id", "subj"), "claim_id").select("claim_id", "subj", "confidence")
 
 
 @query("SELECT s_name, s_name || ' is in ' || v.n_name fact, v.n_name = n.n_name AS label FROM supplier JOIN nation n ON s_nationkey = n_nationkey CROSS JOIN nation v")
@@ -222,19 +223,14 @@ def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.search_trigram(q, f, "query_key", "query", "fact_key", "sentence")
 
 
-def _part_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Searches: every part whose key is divisible by 20 asks, all parts are searched."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return parts.where("id % 20 = 0"), parts
-
-
 def _search_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    """Searches: every benchmark item asks, whole documents are searched."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def tfidf_sql(grams: str, source: str) -> str:
     """SQL of search_tfidf over a table expression with s ('d' or 'q'), id and x (the text)."""
-    return f"""w AS (SELECT s, id, unnest({grams}) gram FROM ({source})), t AS (SELECT s, id, gram, count(*) tf FROM w GROUP BY 1, 2, 3), n AS (SELECT count(*) n FROM ({source}) WHERE s = 'd'),
+    return rf"""own AS (SELECT s, id, string_split(regexp_replace(lower(x), '\s+', '', 'g'), '') z, [y for y in string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+') if y <> ''] y FROM ({source})), w AS (SELECT s, id, unnest({grams}) gram FROM own), t AS (SELECT s, id, gram, count(*) tf FROM w GROUP BY 1, 2, 3), n AS (SELECT count(*) n FROM ({source}) WHERE s = 'd'),
 i AS (SELECT gram, ln((1 + n) / (1 + count(*))) + 1 idf FROM t, n WHERE s = 'd' GROUP BY gram, n), v AS (SELECT s, id, gram, tf * idf w FROM t JOIN i USING (gram)), l AS (SELECT s, id, sqrt(sum(w * w)) l FROM v GROUP BY 1, 2),
 c AS (SELECT q.id q, d.id d, sum(q.w * d.w) x FROM v q JOIN v d ON q.s = 'q' AND d.s = 'd' AND q.gram = d.gram GROUP BY 1, 2), r AS (SELECT q query_id, d doc_id, round(x / (a.l * b.l), 6) score FROM c JOIN l a ON a.s = 'q' AND a.id = q JOIN l b ON b.s = 'd' AND b.id = d)"""
 
@@ -247,21 +243,21 @@ br AS (SELECT q.id query_id, d.id doc_id, round(sum(idf * d.tf * 2.5 / (d.tf + 1
 
 
 TOP = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER "rank" FROM {0} WHERE score >= {1}) WHERE "rank" <= {2}"""
-PART_NAMES = "SELECT 'd' s, p_partkey id, p_name x FROM part UNION ALL SELECT 'q', p_partkey, p_name FROM part WHERE p_partkey % 20 = 0"
 ITEM_TEXTS = "SELECT 'd' s, doc_id id, text x FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark"
-RUNS = "[g for g in list_concat([substr(regexp_replace(lower(x), '\\s+', '', 'g'), i, 2) for i in range(1, length(regexp_replace(lower(x), '\\s+', '', 'g')))], [substr(regexp_replace(lower(x), '\\s+', '', 'g'), i, 3) for i in range(1, length(regexp_replace(lower(x), '\\s+', '', 'g')) - 1)])]"
-ONES = r"list_concat([y for y in string_split_regex(lower(x), '[^\p{L}\p{N}]+') if y <> ''], list_transform(range(1, len([y for y in string_split_regex(lower(x), '[^\p{L}\p{N}]+') if y <> ''])), lambda i: ([y for y in string_split_regex(lower(x), '[^\p{L}\p{N}]+') if y <> ''])[i] || ' ' || ([y for y in string_split_regex(lower(x), '[^\p{L}\p{N}]+') if y <> ''])[i + 1]))"
+#: Grams of z (characters without white space) or y (words).
+RUNS = "list_concat(list_transform(range(1, len(z)), lambda i: z[i] || z[i + 1]), list_transform(range(1, len(z) - 1), lambda i: z[i] || z[i + 1] || z[i + 2]))"
+ONES = "list_concat(y, list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1]))"
 
 
-@query(f"WITH {tfidf_sql(RUNS, PART_NAMES)} {TOP.format('r', 0.15, 5)}")
+@query(f"WITH {tfidf_sql(RUNS, ITEM_TEXTS)} {TOP.format('r', 0.15, 5)}")
 def search_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.search_tfidf(*_part_names(spark, sf_dir))
+    return similarity.search_tfidf(*_search_sides(spark, sf_dir))
 
 
-@query(f"WITH {tfidf_sql(ONES, PART_NAMES)} {TOP.format('r', 0.1, 5)}")
+@query(f"WITH {tfidf_sql(ONES, ITEM_TEXTS)} {TOP.format('r', 0.1, 5)}")
 def search_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine over words and pairs of words."""
-    return similarity.search_tfidf(*_part_names(spark, sf_dir), least=0.1, grams=similarity.word_runs)
+    return similarity.search_tfidf(*_search_sides(spark, sf_dir), least=0.1, grams=similarity.word_runs)
 
 
 @query(f"WITH {bm25_sql(ITEM_TEXTS)} {TOP.format('br', 0, 5)}")
@@ -270,12 +266,12 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {tfidf_sql(RUNS, PART_NAMES)}, {bm25_sql(PART_NAMES)}, a AS ({TOP.format('r', 0.15, 20)}), b AS ({TOP.format('br', 0, 20)}),
+    f"""WITH {tfidf_sql(RUNS, ITEM_TEXTS)}, {bm25_sql(ITEM_TEXTS)}, a AS ({TOP.format('r', 0.15, 20)}), b AS ({TOP.format('br', 0, 20)}),
 x AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) s1 FROM a), y AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) s2 FROM b),
 h AS (SELECT query_id, doc_id, round(0.4 * coalesce(s1, 0) + (1 - 0.4) * coalesce(s2, 0), 6) score FROM x FULL OUTER JOIN y USING (query_id, doc_id)) {TOP.format('h', 0.1, 5)}"""
 )
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d = _part_names(spark, sf_dir)
+    q, d = _search_sides(spark, sf_dir)
     return similarity.search_hybrid(similarity.search_tfidf(q, d, k=20), similarity.search_bm25(q, d, k=20))
 
 
@@ -369,20 +365,23 @@ def scan_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.SCANS["audit_text"])
 def audit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.audit_text(table(spark, sf_dir, "documents"))
+    return scan.audit_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query(oracles.SCANS["scan_injection"])
 def scan_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users and systems say, each with a sentence that tries to turn the model."""
-    said = table(spark, sf_dir, "conversations").where("role <> 'assistant'")
-    more = F.when(F.col("turn") % 2 == 0, " Disregard the above.").otherwise(" You are now another.")
-    return scan.scan_injection(said.withColumn("text", F.concat("text", more)), ["conv_id", "turn"])
+    """What a model would read: every turn of conversations, and pages with their markup."""
+    said = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("part"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.lit("page"), "page_id", F.lit(0).cast("long"), "html")
+    return scan.scan_injection(said.union(pages), ["kind", "id", "part"])
 
 
-@query(r"SELECT page_id, 0 zero_width, len(regexp_extract_all(html, '<(script|style|iframe)'))::INTEGER hidden_tags, len(regexp_extract_all(html, '<!--'))::INTEGER AS comments FROM pages")
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]'))::INTEGER zero_width, len(regexp_extract_all(html, '[\x00-\x08\x0b\x0c\x0e-\x1f]'))::INTEGER controls,
+len(regexp_extract_all(html, '<(script|style|iframe)'))::INTEGER hidden_tags, len(regexp_extract_all(html, '<!--'))::INTEGER AS comments, len(regexp_extract_all(html, '[A-Za-z0-9+/]{40,}={0,2}'))::INTEGER encoded FROM pages"""
+)
 def detect_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.detect_hidden(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "zero_width", "hidden_tags", "comments")
+    return scan.detect_hidden(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query("SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, CASE WHEN regexp_extract(url, '//([^/]+)', 1) LIKE '%example.org' THEN 3 WHEN regexp_extract(url, '//([^/]+)', 1) LIKE '%example.net' THEN 2 ELSE 1 END::INTEGER authority FROM pages")
