@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimforge.sources.staging import staged
+
 #: Relation and pattern with subject and object groups; own small defaults, meant to be replaced.
 RELATIONS = (
     ("IS_A", r"([A-Z]\w+(?: [A-Z]\w+)*) is an? ([a-z]+)"), ("BORN_IN", r"([A-Z]\w+(?: [A-Z]\w+)*) was born in ([0-9]{3,4})"), ("DIED_IN", r"([A-Z]\w+(?: [A-Z]\w+)*) died in ([0-9]{3,4})"),
@@ -60,6 +62,66 @@ def kg_contradictions(claims: DataFrame, triples: DataFrame, fuzzy: float = 0.6)
     return every.groupBy("claim_id").agg(F.max("r").alias("r")).select("claim_id", "r.rule", "r.confidence")
 
 
+def kg_contradictions_fuzzy(claims: DataFrame, triples: DataFrame, aliases: DataFrame | None = None, least: float = 0.6, less: float = 0.1) -> DataFrame:
+    """Contradicted claims (claim_id, subj, rel, obj), names that the graph doesn't know replaced by ones that it does.
+
+    Stages, of which a claim takes the first that contradicts it: alias (subject or object is an alias of the table aliases,
+    alias and name: the rules of kg_contradictions on the names), exact (on the claim as it stands), subject and object (the
+    one replaced by the graph's most similar name, by bigrams at `least` or more, if that is another; confidence is `less`
+    lower). Columns: claim_id, stage, rule, confidence, used (the name put in). Names are resolved once each, and only
+    those of claims that are left. Of an alias's names the smallest counts. Empty tables give none.
+    """
+    from claimforge.operators.similarity import fuzzy_entity
+
+    own, triples = staged(claims.select("claim_id", "subj", "rel", "obj"), "claims"), staged(triples.select("subj", "rel", "obj").distinct(), "triples")
+
+    def judged(rows: DataFrame, stage: str) -> DataFrame:
+        """rows: claims with the column used."""
+        hit = kg_contradictions(rows, triples).join(rows.select("claim_id", "used"), "claim_id")
+        lower = less if stage in ("subject", "object") else 0.0
+        return staged(hit.select("claim_id", F.lit(stage).alias("stage"), "rule", F.round(F.col("confidence") - lower, 6).alias("confidence"), "used"), "judged")
+
+    out = []
+    left = own
+    if aliases is not None:
+        names = aliases.where("alias is not null and name is not null").groupBy("alias").agg(F.min("name").alias("name"))
+        linked = own.join(names.toDF("subj", "s_name"), "subj", "left").join(names.toDF("obj", "o_name"), "obj", "left").where("s_name is not null or o_name is not null")
+        linked = linked.select("claim_id", F.coalesce("s_name", "subj").alias("subj"), "rel", F.coalesce("o_name", "obj").alias("obj"), F.concat_ws(", ", "s_name", "o_name").alias("used"))
+        out.append(judged(linked, "alias"))
+        left = left.join(out[-1], "claim_id", "left_anti")
+    out.append(judged(left.withColumn("used", F.lit(None).cast("string")), "exact"))
+    nodes = triples.select("subj").union(triples.select("obj")).where("subj is not null").distinct().select(F.col("subj").alias("id"), F.col("subj").alias("text"))
+    for stage, part in (("subject", "subj"), ("object", "obj")):
+        left = left.join(out[-1], "claim_id", "left_anti")
+        left = staged(left, "left")
+        asked = left.where(F.col(part).isNotNull()).select(F.col(part).alias("id"), F.col(part).alias("text")).distinct()
+        best = fuzzy_entity(asked, nodes, least).select(F.col("name_id").alias(part), F.col("entity_id").alias("used")).where(F.col(part) != F.col("used"))
+        swapped = left.join(best, part)
+        out.append(judged(swapped.select("claim_id", *(F.col("used").alias(c) if c == part else F.col(c) for c in ("subj", "rel", "obj")), "used"), stage))
+    every = out[0]
+    for x in out[1:]:
+        every = every.union(x)
+    return every
+
+
+def graph_votes(pairs: DataFrame, keys: list[str], triples: DataFrame, aliases: DataFrame | None = None, claim: str = "claim", fact: str = "fact", narrative: str = r"(?i)\b(story|legend|tale|rumou?r) (of|that)\b") -> DataFrame:
+    """Votes of the graph on pairs: keys, checker, verdict, confidence, weight, as run_checkers gives them.
+
+    A claim whose triples the graph contradicts is contradicted, with the highest confidence of its triples; not where more
+    than half of the larger text's different characters are common to claim and fact, and not in narrative about a story.
+    """
+    from claimforge.functions.text import stable_hash
+
+    told = pairs.select(stable_hash(F.col(claim)).alias("text_id"), F.col(claim).alias("text")).distinct().where(~F.col("text").rlike(narrative))
+    found = extract_kg_triples(told, "text_id", "text").distinct().withColumn("claim_id", F.concat_ws("|", F.col("text_id").cast("string"), "subj", "rel", "obj"))
+    hits = kg_contradictions_fuzzy(found.select("claim_id", "subj", "rel", "obj"), triples, aliases)
+    best = hits.join(found.select("claim_id", "text_id"), "claim_id").groupBy("text_id").agg(F.max("confidence").alias("confidence"))
+    chars = lambda x: F.array_distinct(F.split(F.col(x), ""))
+    share = F.size(F.array_intersect(chars(claim), chars(fact))) / F.greatest(F.size(chars(claim)), F.size(chars(fact)))
+    own = pairs.where(share <= 0.5).withColumn("text_id", stable_hash(F.col(claim))).join(best, "text_id")
+    return own.select(*keys, F.lit("graph").alias("checker"), F.lit("contradicted").alias("verdict"), "confidence", F.lit(0.78).alias("weight"))
+
+
 def competitors(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("contradicts", "overrides")) -> DataFrame:
     """For each node the nodes that edges (src, dst, type) of such kinds link it to either way, and their mean confidence.
 

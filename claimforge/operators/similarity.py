@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.text import char_ngrams, char_overlap, let, squeeze, word_array
+from claimforge.sources.staging import staged
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, least: float, name: str) -> DataFrame:
@@ -163,21 +164,50 @@ def best_match(claims: DataFrame, facts: DataFrame, least: float = 0.3, others:
     return best.select(F.col("left_id").alias("claim_id"), F.col("b.right_id").alias("fact_id"), F.col("b.score").alias("score"))
 
 
-def fuzzy_entity(names: DataFrame, candidates: DataFrame, least: float = 0.6, others: bool = False) -> DataFrame:
+def _vectors(names: DataFrame, n: int = 2) -> DataFrame:
+    """id, grams: the counts of runs of n characters of each name, array<struct<gram, tf>>."""
+    return term_rows(names, "id", gram_array(F.col("text"), (n,))).groupBy("id").agg(F.collect_list(F.struct("gram", "tf")).alias("grams"))
+
+
+def _norm(grams: Column) -> Column:
+    return F.sqrt(F.aggregate(grams, F.lit(0.0), lambda s, x: s + x["tf"] * x["tf"]))
+
+
+def fuzzy_entity(names: DataFrame, candidates: DataFrame, least: float = 0.6, others: bool = False, stages: tuple[float, ...] = (0.9, 0.75)) -> DataFrame:
     """For each name the candidate of most similar bigram counts (cosine), if `least` or more; both have id and text.
 
-    A join on bigrams; ties go to the smaller candidate id. Names of one character or none match nothing. With others, ids
-    are of one table and none matches itself.
+    An exact prefix join: with grams in the order of their rarity, two vectors of a cosine of t or more share a gram among
+    the first of each, after which what is left of a vector is shorter than t times the whole. Names are looked for at the
+    high thresholds of `stages` first, where few and rare grams are joined; only those without a match go on to the next.
+    Ties go to the smaller candidate id. Names of one character or none match nothing. With others, ids are of one table
+    and none matches itself.
     """
-    rows = lambda x: term_rows(x, "id", gram_array(F.col("text"), (2,)))
-    a, b = rows(names), rows(candidates)
-    norm = lambda x: x.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l"))
-    dots = a.toDF("name_id", "gram", "x").join(b.toDF("entity_id", "gram", "y"), "gram").groupBy("name_id", "entity_id").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    dots = dots.where("name_id <> entity_id") if others else dots
-    own = dots.join(norm(a).toDF("name_id", "p"), "name_id").join(norm(b).toDF("entity_id", "q"), "entity_id")
-    own = own.withColumn("similarity", F.round(F.col("s") / (F.col("p") * F.col("q")), 6)).where(F.col("similarity") >= least)
-    best = own.groupBy("name_id").agg(F.max_by(F.struct("entity_id", "similarity"), F.struct("similarity", (-F.col("entity_id")).alias("r"))).alias("b"))
-    return best.select("name_id", "b.entity_id", "b.similarity")
+    own, base = _vectors(names), _vectors(candidates)
+    rare = base.select(F.explode("grams.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def ordered(x: DataFrame) -> DataFrame:
+        rows = x.select("id", F.explode("grams").alias("g")).select("id", "g.*").join(rare, "gram", "left")
+        sized = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "tf"))).alias("grams"))
+        return sized.withColumn("norm", _norm(F.col("grams")))
+
+    def first(x: DataFrame, t: float) -> DataFrame:
+        left = F.transform("grams", lambda g, i: F.struct(g["gram"], _norm(F.slice("grams", i + 1, F.size("grams"))).alias("rest")))
+        return x.select("id", F.explode(F.filter(left, lambda p: p["rest"] >= t * F.col("norm") - 1e-9)).alias("p")).select("id", "p.gram")
+
+    own, base, found = staged(ordered(own), "names"), staged(ordered(base), "names"), None
+    for t in (*[x for x in stages if x > least], least):
+        ask = own if found is None else own.join(found.select(F.col("name_id").alias("id")), "id", "left_anti")
+        pairs = first(ask, t).toDF("name_id", "gram").join(first(base, t).toDF("entity_id", "gram"), "gram").select("name_id", "entity_id").distinct()
+        pairs = pairs.where("name_id <> entity_id") if others else pairs
+        own_side = ask.select(F.col("id").alias("name_id"), F.col("grams").alias("x"), F.col("norm").alias("p"))
+        pairs = pairs.join(own_side, "name_id").join(base.select(F.col("id").alias("entity_id"), F.col("grams").alias("y"), F.col("norm").alias("q")), "entity_id")
+        counts = F.map_from_arrays("y.gram", "y.tf")
+        dot = F.aggregate("x", F.lit(0.0), lambda s, g: s + g["tf"] * F.coalesce(F.try_element_at(F.col("counts"), g["gram"]), F.lit(0)))
+        pairs = pairs.withColumn("counts", counts).withColumn("similarity", F.round(dot / (F.col("p") * F.col("q")), 6)).where(F.col("similarity") >= t)
+        best = pairs.groupBy("name_id").agg(F.min_by(F.struct("entity_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), "entity_id")).alias("b"))
+        best = staged(best.select("name_id", "b.entity_id", "b.similarity"), "nearest")
+        found = best if found is None else found.union(best)
+    return found
 
 
 def search_hybrid(tfidf: DataFrame, bm25: DataFrame, k: int = 5, weight: float = 0.4, least: float = 0.1) -> DataFrame:

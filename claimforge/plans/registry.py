@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from claimforge.functions import text as T
 from claimforge.operators import claims, graph, kb, metrics, scan, sessions, similarity, votes
 from claimforge.plans import oracles, truth
 from claimforge.plans.base import HASH, ORACLE_SQL, QUERIES, SENTENCES, query, seed, sentences, spread, table
+from claimforge.sources.staging import shared_path
 from claimforge.streaming import stream
 
 FLAGSHIP = "document_report"
@@ -519,15 +519,10 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{base}/claimforge/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stream.run_available(stream.stream_dedupe(events, "event_id", "ts", "30 days").select("event_id", "user_id"), f"{path}/rows", f"{path}/checkpoint")
     return spark.read.schema("event_id long, user_id long").parquet(f"{path}/rows")
 
 
-from claimforge.plans import more, truth  # noqa: E402, F401  their queries join the registry
+from claimforge.plans import more, reason, truth  # noqa: E402, F401  their queries join the registry
