@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimforge.operators import feedback, graph, metrics, similarity, votes
 from claimforge.plans.base import query, table
-from claimforge.plans.oracles import OF, VOTES
+from claimforge.plans.oracles import FOLDS, OF, VOTES
 
 
 def line_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,12 +240,7 @@ def should_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.should_alert(line_votes(spark, sf_dir))
 
 
-@query(
-    f"""WITH RECURSIVE o AS (SELECT user_id u, event_id, epoch_us(ts) / 1e6 t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events WHERE event_type = 'error'),
-f AS (SELECT u, n, event_id, t, [t] h, 0 k, -1e18::DOUBLE til, false ban FROM o WHERE n = 1 UNION ALL
-SELECT u, n, event_id, t, CASE WHEN off THEN h WHEN len(x) >= 2 THEN []::DOUBLE[] ELSE x END, CASE WHEN NOT off AND len(x) >= 2 THEN k + 1 ELSE k END, CASE WHEN NOT off AND len(x) >= 2 THEN t + least(864000, 86400 * pow(6, k)) ELSE til END, NOT off AND len(x) >= 2
-FROM (SELECT o.u, o.n, o.event_id, o.t, f.h, f.k, f.til, o.t < f.til off, list_append([y for y in f.h if y > o.t - 86400], o.t) x FROM f JOIN o ON o.u = f.u AND o.n = f.n + 1)) SELECT u user_id, event_id FROM f WHERE ban"""
-)
+@query(FOLDS["exponential_ban"])
 def exponential_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors that ban a user: two within a day, for a day first and ten days at most."""
     own = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)

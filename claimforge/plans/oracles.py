@@ -22,6 +22,10 @@ FROM f JOIN o ON o.u = f.u AND o.n = f.n + 1) SELECT u user_id, event_id, ok acc
     "alert_cooldown": """WITH RECURSIVE o AS (SELECT event_type r, epoch_us(ts) / 1e6 t, row_number() OVER (PARTITION BY event_type ORDER BY ts) n FROM events WHERE value > 50),
 f AS (SELECT r, t, n FROM o WHERE n = 1 UNION ALL SELECT r, t, n FROM (SELECT o.r, o.t, o.n, row_number() OVER (PARTITION BY o.r ORDER BY o.n) k FROM f JOIN o ON o.r = f.r AND o.n > f.n AND o.t - f.t >= 3600) WHERE k = 1)
 SELECT r event_type, t AS "at" FROM f""",
+    "exponential_ban": """WITH RECURSIVE o AS (SELECT user_id u, event_id, epoch_us(ts) / 1e6 t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events WHERE event_type = 'error'),
+f AS (SELECT u, n, event_id, t, [t] h, 0 k, -1e18::DOUBLE til, false ban FROM o WHERE n = 1 UNION ALL
+SELECT u, n, event_id, t, CASE WHEN off THEN h WHEN len(x) >= 2 THEN []::DOUBLE[] ELSE x END, CASE WHEN NOT off AND len(x) >= 2 THEN k + 1 ELSE k END, CASE WHEN NOT off AND len(x) >= 2 THEN t + least(864000, 86400 * pow(6, k)) ELSE til END, NOT off AND len(x) >= 2
+FROM (SELECT o.u, o.n, o.event_id, o.t, f.h, f.k, f.til, o.t < f.til off, list_append([y for y in f.h if y > o.t - 86400], o.t) x FROM f JOIN o ON o.u = f.u AND o.n = f.n + 1)) SELECT u user_id, event_id FROM f WHERE ban""",
     "bot_rate": """WITH e AS (SELECT user_id u, CAST(floor(epoch(ts)) AS BIGINT) s FROM events), c AS (SELECT a.u, a.s, count(*) n FROM (SELECT DISTINCT u, s FROM e) a JOIN e b ON a.u = b.u AND b.s BETWEEN a.s - 3599 AND a.s GROUP BY 1, 2)
 SELECT u user_id, max(n) peak FROM c GROUP BY 1 HAVING max(n) > 2""",
 }

@@ -12,7 +12,7 @@ from claimforge.operators import claims, graph, kb, metrics, scan, sessions, sim
 from claimforge.plans import oracles, truth
 from claimforge.plans.base import HASH, ORACLE_SQL, QUERIES, SENTENCES, query, seed, sentences, spread, table
 from claimforge.sources.staging import shared_path
-from claimforge.streaming import stream
+from claimforge.streaming import keyed, stream
 
 FLAGSHIP = "document_report"
 
@@ -525,4 +525,38 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, user_id long").parquet(f"{path}/rows")
 
 
+def _to_end(spark: SparkSession, make, source: DataFrame, ts: str) -> DataFrame:
+    path = shared_path(spark, "keyed")
+    keyed.run_to_end(make, source, ts, path, "1 day")
+    out = make(source)
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+@query(oracles.SESSIONS["session_drift"])
+def stream_session_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift of sessions as keyed state with timers: a turn a minute."""
+    t = F.lower("text")
+    terms = {w: F.contains(t, F.lit(w)) for w in oracles.TERMS}
+    turns = _stream(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds(1_000_000_000 + F.col("turn") * 60))
+    make = lambda rows: keyed.stream_session_drift(rows, "conv_id", "turn", "ts", t.rlike("ignore|system").cast("double"), (F.length("text") > 400).cast("double"), terms, late="1 day", idle=None)
+    out = _to_end(spark, make, turns, "ts")
+    return out.withColumn("turn", F.col("turn").cast(table(spark, sf_dir, "conversations").schema["turn"].dataType))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(oracles.FOLDS["alert_cooldown"])
+def stream_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _to_end(spark, lambda rows: keyed.stream_alert(rows.where("value > 50 OR value IS NULL"), "event_type", "ts", 3600.0, late="1 day"), _events(spark, sf_dir), "ts")
+
+
+@query(oracles.FOLDS["exponential_ban"])
+def stream_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that ban a user, as keyed state."""
+    make = lambda rows: keyed.stream_ban(rows.where("event_type = 'error' OR event_type IS NULL"), "user_id", "ts", "event_id", 2, 86400, 86400, 864000, late="1 day")
+    return _to_end(spark, make, _events(spark, sf_dir), "ts")
+
+
 from claimforge.plans import more, reason, truth  # noqa: E402, F401  their queries join the registry
