@@ -25,11 +25,15 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Words that begin or end the class or id of what isn't the article.
 AWAY = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer "
-    "gdpr menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion "
-    "related replies reply share sharing sidebar social sponsor sponsored subscribe subscription toolbar tooltip topbar widget widgets".split()
+    "disqus discussion gdpr menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
+    "promotion related replies reply response responses share sharing sidebar social sponsor sponsored subscribe subscription toolbar tooltip topbar widget widgets".split()
 )
 #: Of these, words of readers' comments, which can be longer than the article.
-READERS = frozenset("comment comments replies reply".split())
+READERS = frozenset("comment comments disqus discussion replies reply response responses".split())
+#: Words beside these that leave a class or id one of the readers' blocks; `comments-open` or `no-comments` say something else.
+BESIDE = frozenset("a all area article block blog body box child container content depth entry even group item items latest list new odd old page parent post row section site thread threads top tree user users visitor wrap wrapper".split())
+#: Words that a section of an article can have as well.
+SECTIONS = frozenset("discussion response responses".split())
 #: Beginnings of class names that say what an element has or lacks, not what it is.
 STATES = ("has-", "no-", "not-", "with-", "without-", "is-", "has_", "no_", "with_")
 ALIKE = frozenset("article body content entry main page post story text".split())
@@ -48,7 +52,7 @@ class _Node:
     def __init__(self, tag: str, parent: _Node | None, hard: bool, soft: frozenset[str], names: frozenset[str]):
         self.tag, self.parent, self.hard, self.soft, self.names = tag, parent, hard, soft, names
         self.points, self.chars, self.linked = 0.0, 0, 0
-        self.holds, self.out = tag in ("article", "main", "h1"), False
+        self.holds, self.out = int(tag in ("article", "main") and not hard), False
         self.branch: _Node | None = None
 
 
@@ -61,17 +65,22 @@ def _is_hard(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return bool(re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
 
 
-def _named(attributes: dict[str, str]) -> tuple[frozenset[str], frozenset[str]]:
-    """Words of an element's classes and id, and those of AWAY that begin or end one of them."""
-    names, away = set(), set()
+def _named(attributes: dict[str, str], inside: bool) -> tuple[frozenset[str], frozenset[str], bool]:
+    """Words of an element's classes and id, those of AWAY that begin or end one of them, and whether it is the readers'.
+
+    inside: the element stands in an article, where sections may have some of the readers' words.
+    """
+    names, away, readers = set(), set(), False
     for one in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [x.lower() for x in WORDS.findall(one)]
         if parts and not one.lower().startswith(STATES):
             names.update(parts)
-            away.update(AWAY.intersection((parts[0], parts[-1])))
+            away.update(AWAY.intersection((parts[0], parts[-1])) - (SECTIONS if inside else frozenset()))
+            own = READERS.intersection(parts) - (SECTIONS if inside else frozenset())
+            readers |= bool(own) and all(p in READERS or p in BESIDE or p.isdigit() for p in parts)
             if "header" in (parts[0], parts[-1]) and not ALIKE.intersection(parts):
                 away.add("header")
-    return frozenset(names), frozenset(away)
+    return frozenset(names), frozenset(away), readers
 
 
 class _Page:
@@ -138,15 +147,18 @@ class _Page:
         if raw.strip(" /"):
             for name, value in ATTRIBUTE.findall(raw):
                 attributes.setdefault(name.lower(), html.unescape(value.strip("\"'")))
-        names, away = _named(attributes)
+        inside = bool(self.open["article"])
+        names, away, readers = _named(attributes, inside)
         soft = away if tag not in ("body", "html", "article", "main") and not (tag in HEADINGS and away == {"header"}) else frozenset()
-        hard = _is_hard(tag, attributes, bool(self.open["article"]))
+        hard = _is_hard(tag, attributes, inside) or readers and tag not in ("body", "html", "main")
         if hard or soft:
             self._flush()
         if raw.rstrip().endswith("/") and tag not in BLOCK:
             return
         if tag in BLOCK:
             self.blocks.append(len(self.stack))
+        if tag in ("td", "th"):
+            self.held.append(" ")
         if tag in ("p", "table", "td", "th", "button"):
             self.walls.append(len(self.stack))
         self.open[tag].append(len(self.stack))
@@ -187,17 +199,22 @@ class _Page:
     def settle(self) -> None:
         """Sums of the tree, and which elements are out: those that no article holds, and all in them.
 
-        An element whose class only looks like a menu or notice stays if it holds an article, a main element or a first
-        heading, or most of the page's plain text and isn't the readers'.
+        Readers' blocks are out whatever they hold, and count nowhere. An element whose class only looks like a menu, sidebar
+        or notice stays if it holds all article and main elements of the page and more than a trifle of its plain text, or
+        most of that text where the page has no such element. One that has a readers' word among others must hold both.
         """
         for node in reversed(self.nodes[1:]):
             if not node.hard:
                 node.parent.chars += node.chars
                 node.parent.linked += node.linked
-                node.parent.holds |= node.holds
+                node.parent.holds += node.holds
         most = (self.root.chars - self.root.linked) / 2
         for node in self.nodes[1:]:
-            stays = node.holds or not node.soft & READERS and node.chars - node.linked > most
+            plain, all_held = node.chars - node.linked, 0 < self.root.holds == node.holds
+            if node.soft & READERS:
+                stays = all_held and plain > most
+            else:
+                stays = all_held and plain > most / 4 or not self.root.holds and plain > most
             node.out = node.parent.out or node.hard or bool(node.soft) and not stays
 
 
