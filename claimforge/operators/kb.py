@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.text import half_life, stable_hash
+from claimforge.sources.staging import staged
 
 
 def dedupe_exact(facts: DataFrame, text: str = "fact") -> DataFrame:
@@ -153,16 +159,83 @@ def perturb_numbers(facts: DataFrame, key: str, text: str, offsets: tuple[int, .
     return own.select(key, "offset", F.concat("_a", (F.col("_n") + F.col("offset")).cast("string"), "_b").alias("fact"))
 
 
+#: To these bases no composite number under 2**64 passes the Miller-Rabin test.
+BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+
+
+def is_prime(n: int) -> bool:
+    """Exact for all 64-bit numbers, by the Miller-Rabin test to fixed bases."""
+    if n < 2:
+        return False
+    for p in BASES:
+        if n % p == 0:
+            return n == p
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    for a in BASES:
+        x = pow(a, odd, n)
+        if x in (1, n - 1):
+            continue
+        for _ in range(twos - 1):
+            x = x * x % n
+            if x == n - 1:
+                break
+        else:
+            return False
+    return True
+
+
 def number_facts(numbers: DataFrame, n: str) -> DataFrame:
-    """Parity, squareness and primality of each different number, each tested by its own divisors up to its root.
+    """Facts of each different 64-bit number: even, square, prime, divisors (those of 2 to 9), leap_year and century.
 
-    Nulls are left out; numbers under 2 aren't prime. Each number's divisors are looked at inside its row, so nothing is joined.
+    Nulls are left out; numbers under 2 aren't prime, and years under 1 have no century. Work a number is bounded: neither
+    divisors nor factors are listed.
     """
     own = numbers.select(F.col(n).cast("long").alias(n)).where(F.col(n).isNotNull()).distinct()
-    root = F.floor(F.sqrt(F.greatest(F.col(n), F.lit(0)))).cast("long")
-    odd = F.sequence(F.lit(3).cast("long"), F.greatest(root, F.lit(3)), F.lit(2).cast("long"))
-    prime = F.when(F.col(n) < 2, False).when(F.col(n) < 4, True).when(F.col(n) % 2 == 0, False).otherwise(~F.exists(odd, lambda d: (F.col(n) % d == 0) & (d < F.col(n))))
-    return own.select(n, (F.col(n) % 2 == 0).alias("even"), (root * root == F.col(n)).alias("square"), prime.alias("prime"))
+    test = F.pandas_udf(lambda x: x.map(is_prime), "boolean")
+    root = F.round(F.sqrt(F.greatest(F.col(n), F.lit(0)))).cast("decimal(19,0)")
+    exact = root * root == F.col(n).cast("decimal(19,0)")  # the rounded root of a square is its root, below 2**63
+    small = F.concat_ws(",", *(F.when(F.col(n) % d == 0, str(d)) for d in range(2, 10)))
+    leap = ((F.col(n) % 4 == 0) & (F.col(n) % 100 != 0)) | (F.col(n) % 400 == 0)
+    return own.select(n, (F.col(n) % 2 == 0).alias("even"), exact.alias("square"), test(n).alias("prime"), small.alias("divisors"), leap.alias("leap_year"), F.when(F.col(n) >= 1, F.floor((F.col(n) - 1) / 100).cast("long") + 1).alias("century"))
+
+
+def primes_upto(spark: SparkSession, top: int, block: int = 1 << 20) -> DataFrame:
+    """All primes up to `top` (10**12 at most) by a sieve in segments of `block` numbers; a task sieves segments one by one.
+
+    Each task finds the primes up to the root of `top` by itself.
+    """
+    if top > 10**12:
+        raise ValueError("at most 10**12")
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = math.isqrt(max(top, 1))
+        flags = np.ones(last + 1, bool)
+        flags[:2] = False
+        for p in range(2, math.isqrt(last) + 1):
+            if flags[p]:
+                flags[p * p :: p] = False
+        base = np.flatnonzero(flags)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                low, high = k * block, min((k + 1) * block, top + 1)
+                own = np.ones(high - low, bool)
+                own[: max(0, min(2 - low, len(own)))] = False
+                for p in base[base * base < high].tolist():
+                    own[max(p * p, -(-low // p) * p) - low :: p] = False
+                yield pa.RecordBatch.from_arrays([pa.array(low + np.flatnonzero(own))], names=["prime"])
+
+    return spark.range(0, max(0, top) // block + 1).mapInArrow(sieve, "prime long")
+
+
+def adjacent_pairs(numbers: DataFrame, n: str) -> DataFrame:
+    """Each different number with the next larger one (next). Ranges of numbers are paired inside, and by their first ones across."""
+    own = staged(numbers.where(F.col(n).isNotNull()).select(n).distinct().repartitionByRange(n).withColumn("_part", F.spark_partition_id()), "ranges")
+    edges = own.groupBy("_part").agg(F.min(n).alias("_first"))
+    edges = edges.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_edge"))  # one row for each partition
+    out = own.withColumn("_next", F.lead(n).over(Window.partitionBy("_part").orderBy(n))).join(F.broadcast(edges), "_part")
+    return out.select(n, F.coalesce("_next", "_edge").alias("next")).where("next is not null")
 
 
 def sample_balanced(samples: DataFrame, label: str, key: str, n: int, seed: int = 7) -> DataFrame:

@@ -9,49 +9,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimforge.sources.staging import staged
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Interpolated quantiles of each group, exact, without one task that holds a group's values.
 
-    Rows are counted by bins of equal width between a group's least and greatest value; the bins that hold a wanted rank
-    are found from the running counts (at most `bins` + 1 numbers a group), and only their rows are ranked. Null values
-    don't count; a group without values has null quantiles. An empty table gives no rows.
+    Equal values of a group are counted first. The different ones are dealt into sorted ranges; a value's rank is the sum of
+    the counts before it, in its range and in the ranges before (one number for each range and group). So neither one
+    large group nor outliers nor ties make a large task. Null values don't count; a group without values has null
+    quantiles. An empty table gives no rows.
     """
-    span = df.groupBy(*by).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"), F.count(value).alias("_n"))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    keyed = span.select(*(F.col(c).alias(f"_by_{c}") for c in by), "_low", "_high", "_n")
-    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    own = own.join(keyed, same) if by else own.crossJoin(F.broadcast(keyed))  # one row
-    own = own.withColumn("_bin", F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)).otherwise(F.lit(0)).cast("int"))
-    counts = own.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumn("_before", upto - F.col("_c"))
-    ranks = F.array(*(F.struct(F.lit(name).alias("name"), side.alias("rank")) for name, q in shares.items() for side in (F.floor(F.lit(q) * (F.col("_n") - 1)), F.ceil(F.lit(q) * (F.col("_n") - 1)))))
-    wanted = counts.withColumn("_r", F.array_distinct(F.filter(ranks, lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_c"))))).where(F.size("_r") > 0)
-    wanted = wanted.select(*(F.col(c).alias(f"_w_{c}") for c in by), F.col("_bin").alias("_w"), "_before", "_r")
-    hit = F.col("_bin") == F.col("_w")
+    own = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    placed = staged(own.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = totals.select(*(F.col(c).alias(f"_b_{c}") for c in by), F.col("_part").alias("_b"), F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+    match = F.col("_part") == F.col("_b")
     for c in by:
-        hit = hit & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-    found = own.join(wanted, hit)
-    found = found.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_v")) - 1)
-    found = found.select(*by, "_n", "_v", "_rank", F.explode("_r").alias("x")).where("_rank = x.rank")
-    at = lambda name, q: F.lit(q) * (F.col("_n") - 1)
+        match = match & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    inside = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = placed.withColumn("_before", F.coalesce(inside, F.lit(0))).join(bases, match).withColumn("_before", F.col("_before") + F.col("_base"))
     picks = []
     for name, q in shares.items():
-        mine, place = F.col("x.name") == name, at(name, q)
-        low, high = F.max(F.when(mine & (F.col("_rank") == F.floor(place)), F.col("_v"))), F.max(F.when(mine & (F.col("_rank") == F.ceil(place)), F.col("_v")))
-        part = F.max(F.when(mine, place - F.floor(place)))
-        picks.append((low + part * (high - low)).alias(name))
-    out = found.groupBy(*by).agg(*picks)
+        place = F.lit(q) * (F.col("_n") - 1)
+        at = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.col("_v")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        picks.append((low + F.max(place - F.floor(place)) * (high - low)).alias(name))
+    out = ranked.groupBy(*by).agg(*picks)
     if not by:
         return out
     renamed = out.select(*(F.col(c).alias(f"_q_{c}") for c in by), *shares)
     match = F.lit(True)
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
-    return span.select(*by).join(renamed, match, "left").select(*by, *shares)
+    return df.select(*by).distinct().join(renamed, match, "left").select(*by, *shares)
 
 
 def snapshot(metrics: DataFrame, value: str, status: str, by: list[str]) -> DataFrame:

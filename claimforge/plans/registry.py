@@ -141,7 +141,10 @@ def perturb_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.perturb_numbers(table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" has size "), F.col("p_size").cast("string")).alias("t")), "p_partkey", "t")
 
 
-@query("SELECT n, n % 2 = 0 AS even, CAST(floor(sqrt(n)) AS BIGINT) * CAST(floor(sqrt(n)) AS BIGINT) = n AS square, n > 1 AND len([d for d in range(2, CAST(floor(sqrt(n)) AS BIGINT) + 1) if n % d = 0]) = 0 AS prime FROM (SELECT DISTINCT p_partkey n FROM part)")
+@query(
+    """SELECT n, n % 2 = 0 AS even, CAST(floor(sqrt(n)) AS BIGINT) * CAST(floor(sqrt(n)) AS BIGINT) = n AS square, n > 1 AND len([d for d in range(2, CAST(floor(sqrt(n)) AS BIGINT) + 1) if n % d = 0]) = 0 AS prime,
+array_to_string([d for d in range(2, 10) if n % d = 0], ',') divisors, (n % 4 = 0 AND n % 100 <> 0) OR n % 400 = 0 AS leap_year, CASE WHEN n >= 1 THEN (n - 1) // 100 + 1 END AS "century" FROM (SELECT DISTINCT p_partkey n FROM part)"""
+)
 def number_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.number_facts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n")), "n")
 
@@ -559,4 +562,4 @@ def stream_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _to_end(spark, make, _events(spark, sf_dir), "ts")
 
 
-from claimforge.plans import memory, more, reason, truth  # noqa: E402, F401  their queries join the registry
+from claimforge.plans import memory, more, reason, trust, truth  # noqa: E402, F401  their queries join the registry
