@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,23 +103,70 @@ def word_runs(text: Column) -> Column:
     return let(word_array(text), runs)
 
 
+#: Queries of a pass over the documents, and numbers in a table of queries and grams at most; what is broadcast is bounded by them.
+QUERIES, CELLS = 1024, 1 << 23
+SCORED = "query_id long, doc_id long, score double"
+
+
 def search_tfidf(queries: DataFrame, docs: DataFrame, k: int = 5, least: float = 0.15, grams=gram_array) -> DataFrame:
-    """Cosine of TF-IDF vectors over runs of two and three characters; queries and docs have id and text.
+    """Cosine of TF-IDF vectors over runs of two and three characters; queries and docs have id (a number) and text.
 
-    Sparse joins only, no dense vectors. A document's norm needs all its grams, a score only those of a query: these are
-    added up per query and document before they are shuffled. A frequent gram's list is joined by parts where it is
-    large (adaptive skew join). Empty and null texts have no vector and match nothing. Ties go to the smaller doc_id.
+    Grams are counted and weighed by joins. Common grams are in most texts, so a join of queries with documents on them
+    would have nearly a row for each pair and gram; instead queries are taken in blocks of bounded size, each document
+    is one row with its norm and its weights of the block's grams, and tasks multiply documents with the block and send
+    each query's k best. Empty and null texts have no vector and match nothing. Ties go to the smaller doc_id.
     """
+    spark = docs.sparkSession
     own, asked = term_rows(docs, "id", grams(F.col("text"))), term_rows(queries, "id", grams(F.col("text")))
+    own = staged(own, "grams")
     n = docs.agg(F.count("*").alias("n_docs"))
     idf = own.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    idf = idf.select("gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = staged(idf.select("gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     d, q = (x.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf")) for x in (own, asked))
-    norm = lambda x, name: x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    score = q.select(F.col("id").alias("query_id"), "gram", F.col("w").alias("wq")).join(d.select(F.col("id").alias("doc_id"), "gram", F.col("w").alias("wd")), "gram").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s"))
-    score = score.join(norm(q, "nq").withColumnRenamed("id", "query_id"), "query_id").join(norm(d, "nd").withColumnRenamed("id", "doc_id"), "doc_id")
-    score = score.select("query_id", "doc_id", F.round(F.col("s") / (F.col("nq") * F.col("nd")), 6).alias("score")).where(F.col("score") >= least)
-    return top_k(score, "query_id", k, F.desc("score"), F.col("doc_id"))
+
+    def score(block: list, numbers: dict[str, int]) -> DataFrame:
+        table = np.zeros((len(numbers), len(block)))
+        for j, r in enumerate(block):
+            for x in r["v"]:
+                table[numbers[x["gram"]], j] = x["w"] / r["norm"]
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), table))
+        names = spark.createDataFrame(list(numbers.items()), "gram string, no int")  # a block's grams
+        mine = d.join(F.broadcast(names), "gram", "left").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "w"))).alias("v"))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, table = shared.value
+            best = pd.DataFrame({"q": [], "doc_id": [], "score": []})
+            rows = max(1, CELLS // max(1, len(table)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, min(rows, 256)):
+                    ids, norm, no, w = (c.slice(at, min(rows, 256)) for c in batch.columns)
+                    sizes = no.value_lengths().to_numpy(zero_copy_only=False)
+                    dense = np.zeros((len(ids), len(table)))
+                    dense[np.repeat(np.arange(len(ids)), sizes), no.flatten().to_numpy()] = w.flatten().to_numpy()
+                    found = np.round((dense @ table) / norm.to_numpy(zero_copy_only=False)[:, None], 6)
+                    x, j = np.nonzero(found >= least)
+                    best = pd.concat([best, pd.DataFrame({"q": j, "doc_id": ids.to_numpy()[x], "score": found[x, j]})]) if len(x) else best
+                    if len(best) > 50_000:
+                        best = best.sort_values(["score", "doc_id"], ascending=[False, True]).groupby("q").head(k)
+            best = best.sort_values(["score", "doc_id"], ascending=[False, True]).groupby("q").head(k)
+            if len(best):
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[best["q"].to_numpy().astype(np.int64)]), pa.array(best["doc_id"].to_numpy().astype(np.int64)), pa.array(best["score"].to_numpy().astype(float))], names=["query_id", "doc_id", "score"])
+
+        found = mine.select(F.col("id").cast("long"), "norm", "v.no", "v.w").mapInArrow(scan, SCORED)
+        return staged(top_k(found, "query_id", k, F.desc("score"), F.col("doc_id")), "scored")
+
+    out = spark.createDataFrame([], f"{SCORED}, rank int")
+    block, numbers = [], {}
+    vectors = q.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("gram", "w")).alias("v"))
+    for r in vectors.toLocalIterator(prefetchPartitions=True):
+        new = {x["gram"] for x in r["v"]} - numbers.keys()
+        if block and (len(block) == QUERIES or (len(numbers) + len(new)) * (len(block) + 1) > CELLS):
+            out, block, numbers = out.union(score(block, numbers)), [], {}
+            new = {x["gram"] for x in r["v"]}
+        for g in sorted(new):
+            numbers[g] = len(numbers)
+        block.append(r)
+    return out.union(score(block, numbers)) if block else out
 
 
 def bm25_tokens(text: Column) -> Column:
