@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,16 +141,61 @@ def _folded_schema(df: DataFrame, *columns: str) -> str:
     return ", ".join([*(f"{c} {kinds[c]}" for c in columns), "accepted boolean"])
 
 
-def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float) -> DataFrame:
-    """Alerts that fire: the first of a rule, then each at least `cooldown` seconds after the last that fired. No nulls."""
+def _pointers(t: np.ndarray, cooldown: float) -> np.ndarray:
+    """For each time in order the place of the first one that is `cooldown` or more later; the number of times if none is."""
+    k = np.searchsorted(t, t + cooldown)
+    while (early := (k < len(t)) & (t[np.minimum(k, len(t) - 1)] - t < cooldown)).any():  # the sum was rounded
+        k[early] += 1
+    while (late := (k > 0) & (t[np.maximum(k - 1, 0)] - t >= cooldown)).any():
+        k[late] -= 1
+    return k
 
-    def step(state: list, t: float) -> bool:
-        fires = not state or t - state[0] >= cooldown
-        if fires:
-            state[:] = [t]
-        return fires
 
-    return _folded(alerts, rule, [ts], list, step, _folded_schema(alerts, rule, ts)).where("accepted").drop("accepted")
+def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float, blocks: int = 64) -> DataFrame:
+    """Alerts that fire: the first of a rule, then each at least `cooldown` seconds after the last that fired. No nulls.
+
+    Time is cut into blocks of `blocks` cooldowns, so a rule with very many alerts is split. In a block each alert points
+    to the next that could fire after it, which tells for every alert that may come first in it how the block ends. Only
+    such alerts, those within a cooldown of the block's beginning and one more, are folded along the rule's blocks; then
+    every block is read again with the last alert before it.
+    """
+    own = alerts.select(F.col(rule).alias("k"), F.col(ts).cast("double").alias("t"))
+    if cooldown <= 0:
+        return alerts.select(rule, ts)
+    own = own.withColumn("b", F.floor(F.col("t") / (blocks * cooldown)))
+    kind = dict(own.dtypes)["k"]
+
+    def ends(group: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(group["t"].to_numpy())
+        step, out = _pointers(t, cooldown), np.empty(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            out[i] = t[i] if step[i] == len(t) else out[step[i]]
+        begin = float(group["b"].iloc[0]) * blocks * cooldown
+        n = min(len(t), int(np.searchsorted(t, begin + cooldown, "right")) + 1)
+        return pd.DataFrame({"k": [group["k"].iloc[0]], "b": [group["b"].iloc[0]], "firsts": [t[:n].tolist()], "lasts": [out[:n].tolist()]})
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        last, before = -math.inf, []
+        for firsts, lasts in group.sort_values("b")[["firsts", "lasts"]].itertuples(index=False):
+            before.append(last)
+            fires = np.flatnonzero(np.asarray(firsts) - last >= cooldown)
+            last = lasts[fires[0]] if len(fires) else last
+        return pd.DataFrame({"k": [group["k"].iloc[0]] * len(before), "b": np.sort(group["b"].to_numpy()), "last": before})
+
+    def fired(group: pd.DataFrame) -> pd.DataFrame:
+        t, last = np.sort(group["t"].to_numpy()), float(group["last"].iloc[0])
+        step, out = _pointers(t, cooldown), []
+        fits = np.flatnonzero(t - last >= cooldown)
+        at = int(fits[0]) if len(fits) else len(t)
+        while at < len(t):
+            out.append(t[at])
+            at = int(step[at])
+        return pd.DataFrame({"k": [group["k"].iloc[0]] * len(out), "t": out})
+
+    by_block = own.groupBy("k", "b").applyInPandas(ends, f"k {kind}, b long, firsts array<double>, lasts array<double>")
+    before = staged(by_block.groupBy("k").applyInPandas(fold, f"k {kind}, b long, last double"), "blocks")
+    out = own.join(before, ["k", "b"]).groupBy("k", "b").applyInPandas(fired, f"k {kind}, t double")
+    return out.select(F.col("k").alias(rule), F.col("t").alias(ts))
 
 
 def token_bucket(events: DataFrame, key: str, ts: str, order: str, rate: float, burst: float, cost: float = 1.0) -> DataFrame:

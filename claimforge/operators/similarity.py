@@ -272,33 +272,75 @@ def top_k(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def match_entities(texts: DataFrame, names: list[str], key: str, text: str, least: int = 2) -> DataFrame:
-    """Occurrences of dictionary names, longest first and not overlapping: key, name, start (code points).
+def dictionary_matches(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """key, start (code points from 0), length: every place in a text where a name of the dictionary (column name) stands.
 
-    The names go to every task as one automaton, so each text is read once whatever their number. They are a parameter;
-    a dictionary that doesn't fit a task should be joined on exploded words instead.
+    Places whose first two characters begin no name are left out by a join on these heads; what is left is joined with the
+    names by equality, once for each length that names have. So neither texts nor names are bounded by a task's memory.
     """
-    own = sorted({n for n in names if n and len(n) >= least})
+    words = staged(names.select("name").where("name is not null and name <> ''").distinct().withColumn("n", F.length("name")), "names")
+    sizes = sorted(r["n"] for r in words.select("n").distinct().collect())  # different lengths only
+    spark = texts.sparkSession
+    if not sizes:
+        return spark.createDataFrame([], f"{key} {dict(texts.dtypes)[key]}, start int, length int")
+    heads = words.select(F.substring("name", 1, 2).alias("head")).distinct()
+    cut = let(F.split(F.col(text), ""), lambda chars: F.transform(chars, lambda _, i: F.concat_ws("", F.slice(chars, i + 1, F.lit(sizes[-1])))))
+    rows = texts.where(F.length(text) > 0).select(F.col(key), F.posexplode(cut).alias("start", "window"))
+    short = heads.where("length(head) = 1").select(F.col("head").alias("one"))
+    two = rows.withColumn("head", F.substring("window", 1, 2)).join(heads, "head", "left_semi").select(key, "start", "window")
+    one = rows.withColumn("one", F.substring("window", 1, 1)).join(short, "one", "left_semi").select(key, "start", "window") if sizes[0] == 1 else None
+    parts = [two.select(key, "start", F.explode(F.array(*(F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in sizes if n > 1))).alias("name"))] if sizes[-1] > 1 else []
+    if one is not None:
+        parts.append(one.select(key, "start", F.substring("window", 1, 1).alias("name")))
+    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return found.join(words, "name").select(key, "start", F.col("n").alias("length"))
+
+
+def _by_text(texts: DataFrame, names: DataFrame, key: str, text: str, pick, schema: str, columns: list[str]) -> DataFrame:
+    """pick(text, its matches as (start, length)) for each text, one row per tuple that it gives."""
+    found = dictionary_matches(texts, names, key, text).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("found"))
+    own = texts.select(key, text).join(found, key, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        trie = ahocorasick.Automaton()
-        for name in own:
-            trie.add_word(name, name)
-        trie.make_automaton()
         for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                found = [(end - len(name) + 1, name) for end, name in trie.iter(t)] if t and own else []
-                taken: list[tuple[int, int]] = []
-                for start, name in sorted(found, key=lambda x: (-len(x[1]), x[0])):
-                    if all(start >= e or start + len(name) <= s for s, e in taken):
-                        taken.append((start, start + len(name)))
-                        rows.append((k, name, start))
-            yield pd.DataFrame(rows, columns=[key, "name", "start"])
-
-    return texts.select(key, text).mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, name string, start int")
+            rows = [(k, *r) for k, t, f in zip(batch[key], batch[text], batch["found"], strict=True) if t for r in pick(t, [(x["start"], x["length"]) for x in f] if f is not None else [])]
+            yield pd.DataFrame(rows, columns=[key, *columns])
+
+    return own.mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, {schema}")
+
+
+def match_entities(texts: DataFrame, names: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
+    """Occurrences of dictionary names (column name), longest first and not overlapping: key, name, start (code points).
+
+    Keys are unique. Of overlapping occurrences of one length the first counts. Null and empty texts have none.
+    """
+
+    def pick(t: str, found: list[tuple[int, int]]) -> list[tuple]:
+        taken, free = [], bytearray(len(t))
+        for start, n in sorted(found, key=lambda x: (-x[1], x[0])):
+            if not any(free[start : start + n]):
+                free[start : start + n] = b"\1" * n
+                taken.append((t[start : start + n], start))
+        return sorted(taken, key=lambda x: x[1])
+
+    return _by_text(texts, names.where(F.length("name") >= least), key, text, pick, "name string, start int", ["name", "start"])
+
+
+def segment_max_match(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, token: each text cut from the left, at each place the longest name of the dictionary, else one character."""
+
+    def pick(t: str, found: list[tuple[int, int]]) -> list[tuple]:
+        longest: dict[int, int] = {}
+        for start, n in found:
+            longest[start] = max(n, longest.get(start, 1))
+        at, out = 0, []
+        while at < len(t):
+            n = longest.get(at, 1)
+            out.append((len(out), t[at : at + n]))
+            at += n
+        return out
+
+    return _by_text(texts, names, key, text, pick, "pos int, token string", ["pos", "token"])
 
 
 def facts_for_entities(entities: DataFrame, bridge: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.operators import memory
+from claimforge.operators import memory, similarity
 from claimforge.plans.base import query, table
 from claimforge.plans.more import line_votes
 
@@ -81,3 +81,29 @@ def learned_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = features.join(status, "claim_id")
     weights, bias = memory.fit_consensus(own, VOTERS, "actual")
     return memory.score_consensus(own, VOTERS, weights, bias).select("claim_id", "actual", "probability")
+
+
+# -- a dictionary: the words that two benchmark items have
+
+WORDS = r"words AS (SELECT w AS name FROM (SELECT DISTINCT item_id, unnest(string_split(text, ' ')) w FROM benchmark) WHERE w <> '' GROUP BY 1 HAVING count(*) >= 2)"
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    words = items.select("item_id", F.explode(F.split("text", " ")).alias("name")).distinct().where("name <> ''").groupBy("name").count().where("count >= 2")
+    return items, words.select("name")
+
+
+@query(
+    f"""WITH RECURSIVE {WORDS}, lens AS (SELECT DISTINCT length(name) n FROM words), m AS (SELECT item_id, p.p, max(n) n FROM benchmark, lens, (SELECT unnest(range(1, (SELECT max(length(text)) + 1 FROM benchmark))) p) p WHERE p.p + n - 1 <= length(text) AND substr(text, p.p, n) IN (SELECT name FROM words) GROUP BY 1, 2),
+s(item_id, pos, spot, n) AS (SELECT item_id, 0, 1, coalesce((SELECT n FROM m WHERE m.item_id = b.item_id AND m.p = 1), 1) FROM benchmark b WHERE length(text) > 0 UNION ALL
+SELECT s.item_id, s.pos + 1, s.spot + s.n, coalesce(m.n, 1) FROM s JOIN benchmark b ON b.item_id = s.item_id AND s.spot + s.n <= length(text) LEFT JOIN m ON m.item_id = s.item_id AND m.p = s.spot + s.n)
+SELECT item_id, pos::INTEGER pos, substr(text, spot, n) token FROM s JOIN benchmark USING (item_id)"""
+)
+def segment_max_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.segment_max_match(*_dictionary(spark, sf_dir), "item_id", "text")
+
+
+@query(f"WITH {WORDS}, lens AS (SELECT DISTINCT length(name) n FROM words), p AS (SELECT unnest(range(1, (SELECT max(length(text)) + 1 FROM benchmark))) p) SELECT item_id, (p.p - 1)::INTEGER AS start, n::INTEGER AS length FROM benchmark, lens, p WHERE p.p + n - 1 <= length(text) AND substr(text, p.p, n) IN (SELECT name FROM words)")
+def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.dictionary_matches(*_dictionary(spark, sf_dir), "item_id", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,48 @@ def read_sparql_json(spark: SparkSession, path: str) -> DataFrame:
     return own.select(F.transform_values("b", lambda k, v: v["value"]).alias("binding"))
 
 
-def read_fact_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def write_facts(facts: DataFrame, path: str, shards: int = 16, key: str = "hash") -> None:
-    """Facts partitioned by shard. Rows of a shard come from one hash of the key, spread over tasks by it as well."""
-    own = facts.withColumn("shard", F.pmod(F.col(key), F.lit(shards)).cast("int"))
-    own.repartition(F.col("shard"), F.pmod(F.xxhash64(key), F.lit(8))).write.mode("append").partitionBy("shard").parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def _committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """batch and folder of the store's finished batches; the log of a batch counts once it has its success mark."""
+    if not _exists(spark, f"{path}/log"):
+        return None
+    return spark.read.schema("batch string, folder string").option("recursiveFileLookup", "true").parquet(f"{path}/log")
+
+
+def read_fact_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The facts of a store that write_facts() makes: those of finished batches only. A store not begun yet is empty."""
+    log = _committed(spark, path)
+    folders = [f"{path}/{r['folder']}" for r in log.collect()] if log is not None else []  # one row a batch
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+
+
+def write_facts(facts: DataFrame, path: str, batch: str, shards: int = 16, key: str = "hash", stop_before_commit: bool = False) -> bool:
+    """Adds a batch's facts to the store, each key once, those that the store lacks only; whether the batch was added now.
+
+    Idempotent: a batch of a name that is finished changes nothing. Rows are written into a folder of their own, by shard
+    (the key modulo `shards`), spread over tasks by a hash as well; then one log row commits the folder. What a run that
+    ended before its commit has left is never read, so the batch can be run again. One writer at a time. Rows with a null
+    key are left out. stop_before_commit is for tests of that.
+    """
+    spark = facts.sparkSession
+    log = _committed(spark, path)
+    if log is not None and not log.where(F.col("batch") == batch).isEmpty():
+        return False
+    schema = ", ".join(f"`{n}` {t}" for n, t in facts.dtypes)
+    own = facts.where(F.col(key).isNotNull()).dropDuplicates([key])
+    own = own.join(read_fact_table(spark, path, schema).select(key), key, "left_anti").select(*facts.columns)
+    folder = f"data/{uuid.uuid4().hex}"
+    own = own.withColumn("shard", F.pmod(F.col(key), F.lit(shards)).cast("int"))
+    own.repartition(F.col("shard"), F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("shard").parquet(f"{path}/{folder}")
+    if not stop_before_commit:
+        spark.createDataFrame([(batch, folder)], "batch string, folder string").coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return not stop_before_commit
 
 
 def append_log(rows: DataFrame, path: str, texts: tuple[str, ...] = (), most: int = 200) -> None:

@@ -51,7 +51,7 @@ def test_similar_pairs_equal_brute_force(spark):
 
 def test_entities_longest_first_without_overlap(spark):
     df = spark.createDataFrame([(1, "New York City and York"), (2, None), (3, "")], "k long, t string")
-    assert rows(similarity.match_entities(df, ["York", "New York", "New York City"], "k", "t")) == [(1, "New York City", 0), (1, "York", 18)]
+    assert rows(similarity.match_entities(df, spark.createDataFrame([("York",), ("New York",), ("New York City",), (None,), ("",), ("a",)], "name string"), "k", "t")) == [(1, "New York City", 0), (1, "York", 18)]
 
 
 def test_lookup_prefers_the_store(spark):

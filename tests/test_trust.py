@@ -8,6 +8,7 @@ import pytest
 
 from claimforge.operators import belief as B
 from claimforge.operators import kb, metrics
+from claimforge.sources import io
 
 
 def test_number_facts_of_large_numbers(spark):
@@ -84,3 +85,32 @@ def test_panels_zones_and_laundering(spark):
     assert sorted(map(tuple, B.zone_flow_stats(flows, allowed).collect())) == [("a", "b", 2, 1, True), ("b", "a", 1, 0, False)]
     records = [(1, "Unknown", ["wiki"]), (2, None, ["x", "official site"]), (3, "wiki anonymous", ["wiki"]), (4, "press", ["wiki"]), (5, "", ["x"]), (6, "", None)]
     assert sorted(r.content_id for r in B.detect_laundering(spark.createDataFrame(records, "content_id long, original string, sources array<string>")).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("cooldown, blocks", [(3.0, 64), (0.7, 2), (50.0, 1), (0.1, 3)])
+def test_cooldown_of_a_hot_rule_is_split_and_equals_the_loop(spark, cooldown, blocks):
+    rng = random.Random(11)
+    data = [("hot", round(rng.uniform(0, 400), 1)) for _ in range(2000)] + [("b", x / 10) for x in range(0, 300, 7)] + [("c", 5.0)] * 3 + [("d", 1000.0 * i) for i in range(5)]
+    frame = spark.createDataFrame(data, "k string, t double").repartition(4)
+    want = []
+    for k in "hot", "b", "c", "d":
+        last = -math.inf
+        for t in sorted(t for kk, t in data if kk == k):
+            if t - last >= cooldown:
+                want.append((k, t))
+                last = t
+    assert sorted(map(tuple, metrics.alert_cooldown(frame, "k", "t", cooldown, blocks).collect())) == sorted(want)
+    assert metrics.alert_cooldown(frame.limit(0), "k", "t", cooldown).count() == 0
+
+
+def test_fact_writes_are_idempotent(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/store", "hash long, fact string"
+    batch = lambda *rows: spark.createDataFrame(rows, schema)
+    held = lambda: sorted(map(tuple, io.read_fact_table(spark, path, schema).collect()))
+    assert held() == []
+    first = batch((1, "a"), (2, "b"), (2, "b"), (None, "x"), (-5, "c"))
+    assert not io.write_facts(first, path, "one", 4, stop_before_commit=True) and held() == []  # killed between write and commit
+    assert io.write_facts(first, path, "one", 4) and held() == [(-5, "c"), (1, "a"), (2, "b")]
+    assert not io.write_facts(first, path, "one", 4) and len(held()) == 3
+    assert io.write_facts(batch((2, "b"), (3, "d")), path, "two", 4) and held() == [(-5, "c"), (1, "a"), (2, "b"), (3, "d")]
+    assert io.write_facts(batch(), path, "three", 4) and len(held()) == 4
