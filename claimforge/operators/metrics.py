@@ -190,7 +190,7 @@ def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float, block
         while at < len(t):
             out.append(t[at])
             at = int(step[at])
-        return pd.DataFrame({"k": [group["k"].iloc[0]] * len(out), "t": out})
+        return pd.DataFrame({"k": pd.Series([group["k"].iloc[0]] * len(out), dtype=object), "t": pd.Series(out, dtype=float)})
 
     by_block = own.groupBy("k", "b").applyInPandas(ends, f"k {kind}, b long, firsts array<double>, lasts array<double>")
     before = staged(by_block.groupBy("k").applyInPandas(fold, f"k {kind}, b long, last double"), "blocks")
