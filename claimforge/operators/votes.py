@@ -26,6 +26,15 @@ def decide_weighted(votes: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.floor(F.when(F.col("w") == 0, 0.0).otherwise(F.col("s") / F.col("w")) * 1e6 + 0.5) / 1e6).alias("hallucination"), F.when(weak, "uncertain").otherwise(F.col("best.verdict")).alias("verdict"), F.when(weak, 0.5).otherwise(F.col("best.confidence")).alias("confidence"))
 
 
+def verify_with_retrieval(results: DataFrame, checks: DataFrame, key: str, least: float = 0.6) -> DataFrame:
+    """key, verdict, confidence, stage: results, with the verdict of several retrieved facts (checks) put in where a result is
+    uncertain or less sure than `least`, and the other's confidence isn't lower. One row a key on either side."""
+    other = checks.select(key, F.col("verdict").alias("_v"), F.col("confidence").alias("_c"))
+    own = results.select(key, "verdict", "confidence").join(other, key, "left")
+    take = ((F.col("verdict") == "uncertain") | (F.col("confidence") < least)) & F.coalesce(F.col("_c") >= F.col("confidence"), F.lit(False))
+    return own.select(key, F.when(take, F.col("_v")).otherwise(F.col("verdict")).alias("verdict"), F.when(take, F.col("_c")).otherwise(F.col("confidence")).alias("confidence"), F.when(take, "retrieval").otherwise("first").alias("stage"))
+
+
 def vote_majority(votes: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """The verdict of most weight; one that isn't clear and has a contradiction is uncertain, few voters abstain."""
     names = ("contradicted", "uncertain", "unverifiable", "verified")

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.operators import belief as B
-from claimforge.operators import kb
+from claimforge.operators import kb, votes
+from claimforge.plans import truth
 from claimforge.plans.base import query, table
+from claimforge.plans.more import line_votes
+from claimforge.plans.oracles import VOTES
 
 FLAG = "CASE l_returnflag WHEN '{0}' THEN 1 ELSE 0 END"
 NODES = """u AS (SELECT l_suppkey k, count(*) n, avg(CASE l_returnflag WHEN 'N' THEN 1.0 ELSE 0 END) ok, sum(CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END) bad, count(DISTINCT l_partkey) parts FROM lineitem GROUP BY 1),
@@ -159,3 +162,28 @@ def adjacent_primes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Primes up to the largest part key, each with the next one."""
     top = table(spark, sf_dir, "part").agg(F.max("p_partkey")).head()[0] or 0  # one number
     return kb.adjacent_pairs(kb.primes_upto(spark, top), "prime")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT s_nationkey src, n_nationkey dst, max(0.5 + (s_suppkey % 5) / 10.0) w FROM supplier JOIN nation ON n_nationkey IN ((s_nationkey * 3 + 1) % 25, (s_nationkey + s_suppkey % 3) % 25) WHERE n_nationkey <> s_nationkey GROUP BY 1, 2),
+p(root, node, hops, trust, path) AS (SELECT src, dst, 1, w::DOUBLE, [src, dst] FROM e UNION ALL SELECT root, dst, hops + 1, trust * w::DOUBLE * 0.7::DOUBLE, list_append(path, dst) FROM p JOIN e ON src = node AND NOT list_contains(path, dst) WHERE hops < 3)
+SELECT root, node, b.h hops, round(b.t, 6) trust, array_to_string(b.p, '>') path FROM (SELECT root, node, first({'h': hops, 't': trust, 'p': path} ORDER BY hops, trust DESC, path) b FROM p GROUP BY 1, 2)"""
+)
+def trust_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How trust gets from each nation to others along its suppliers' links."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_nationkey")
+    links = s.select(k.alias("src"), (0.5 + (F.col("s_suppkey") % 5) / 10).alias("weight"), F.explode(F.array((k * 3 + 1) % 25, (k + F.col("s_suppkey") % 3) % 25)).alias("dst"))
+    links = links.join(n, F.col("n_nationkey") == F.col("dst")).select("src", "dst", "weight")
+    return kb.trust_path(links, n.select(F.col("n_nationkey").alias("node"))).withColumn("path", F.concat_ws(">", "path"))
+
+
+@query(
+    f"""WITH {VOTES}, a AS ({truth.weighted_sql('v', 'claim_id')}), o AS (SELECT claim_id, max(row(CASE verdict WHEN 'verified' THEN 3 WHEN 'contradicted' THEN 2 WHEN 'uncertain' THEN 1 ELSE 0 END, confidence)) m FROM v GROUP BY 1),
+b AS (SELECT claim_id, CASE m[1] WHEN 3 THEN 'verified' WHEN 2 THEN 'contradicted' WHEN 1 THEN 'uncertain' END v, m[2] c FROM o), t AS (SELECT a.*, b.v, b.c, (a.verdict = 'uncertain' OR a.confidence < 0.6) AND b.c >= a.confidence t FROM a JOIN b USING (claim_id))
+SELECT claim_id, CASE WHEN t THEN v ELSE verdict END verdict, CASE WHEN t THEN c ELSE confidence END confidence, CASE WHEN t THEN 'retrieval' ELSE 'first' END stage FROM t"""
+)
+def verify_with_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted decision on each order, with the best single vote put in where it is unsure."""
+    own = line_votes(spark, sf_dir)
+    return votes.verify_with_retrieval(votes.decide_weighted(own, ["claim_id"]), votes.aggregate_checks(own, "claim_id"), "claim_id")

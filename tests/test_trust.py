@@ -114,3 +114,20 @@ def test_fact_writes_are_idempotent(spark, tmp_path):
     assert not io.write_facts(first, path, "one", 4) and len(held()) == 3
     assert io.write_facts(batch((2, "b"), (3, "d")), path, "two", 4) and held() == [(-5, "c"), (1, "a"), (2, "b"), (3, "d")]
     assert io.write_facts(batch(), path, "three", 4) and len(held()) == 4
+
+
+def test_trust_paths_equal_a_search(spark):
+    rng = random.Random(9)
+    edges = {(rng.randrange(12), rng.randrange(12)): rng.choice([0.5, 0.6, 0.9]) for _ in range(30)} | {(3, 3): 1.0}
+    got = {(r.root, r.node): (r.hops, r.trust, r.path) for r in kb.trust_path(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double"), spark.createDataFrame([(i,) for i in range(12)], "node long")).collect()}
+    want = {}
+    for root in range(12):
+        front = [(1.0, [root])]
+        for hops in (1, 2, 3):
+            front = [(t * w * (0.7 if hops > 1 else 1), [*p, b]) for t, p in front for (a, b), w in edges.items() if a == p[-1] and b not in p]
+            for t, p in sorted(front, key=lambda x: (-x[0], x[1])):
+                want.setdefault((root, p[-1]), (hops, round(t, 6), p))
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    for (root, node), (hops, trust, path) in got.items():
+        assert path[0] == root and path[-1] == node and len(path) == hops + 1 == len(set(path))
+        assert math.prod(edges[x] for x in zip(path, path[1:], strict=False)) * 0.7 ** (hops - 1) == pytest.approx(trust, abs=1e-6)
