@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from claimforge.sources.staging import staged
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float | Callable[[Column], Column]]) -> DataFrame:
     """Interpolated quantiles of each group, exact, without one task that holds a group's values.
 
     Equal values of a group are counted first. The different ones are dealt into sorted ranges; a value's rank is the sum of
     the counts before it, in its range and in the ranges before (one number for each range and group). So neither one
-    large group nor outliers nor ties make a large task. Null values don't count; a group without values has null
+    large group nor outliers nor ties make a large task. A share may be a function from a group's count to a rank from 0
+    instead. Null values don't count; a group without values has null
     quantiles. An empty table gives no rows.
     """
     own = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
@@ -34,7 +35,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str,
     ranked = placed.withColumn("_before", F.coalesce(inside, F.lit(0))).join(bases, match).withColumn("_before", F.col("_before") + F.col("_base"))
     picks = []
     for name, q in shares.items():
-        place = F.lit(q) * (F.col("_n") - 1)
+        place = q(F.col("_n")) if callable(q) else F.lit(q) * (F.col("_n") - 1)
         at = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.col("_v")))
         low, high = at(F.floor(place)), at(F.ceil(place))
         picks.append((low + F.max(place - F.floor(place)) * (high - low)).alias(name))
@@ -141,38 +142,41 @@ def _folded_schema(df: DataFrame, *columns: str) -> str:
     return ", ".join([*(f"{c} {kinds[c]}" for c in columns), "accepted boolean"])
 
 
-def _pointers(t: np.ndarray, cooldown: float) -> np.ndarray:
-    """For each time in order the place of the first one that is `cooldown` or more later; the number of times if none is."""
-    k = np.searchsorted(t, t + cooldown)
-    while (early := (k < len(t)) & (t[np.minimum(k, len(t) - 1)] - t < cooldown)).any():  # the sum was rounded
+def _pointers(t: np.ndarray, s: np.ndarray, cooldown: float) -> np.ndarray:
+    """For each time of t the place of the first start in s that is `cooldown` or more later; their number if none is."""
+    k = np.searchsorted(s, t + cooldown)
+    while (early := (k < len(s)) & (s[np.minimum(k, len(s) - 1)] - t < cooldown)).any():  # the sum was rounded
         k[early] += 1
-    while (late := (k > 0) & (t[np.maximum(k - 1, 0)] - t >= cooldown)).any():
+    while (late := (k > 0) & (s[np.maximum(k - 1, 0)] - t >= cooldown)).any():
         k[late] -= 1
     return k
 
 
-def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float, blocks: int = 64) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float, blocks: int = 64, start: str | None = None) -> DataFrame:
     """Alerts that fire: the first of a rule, then each at least `cooldown` seconds after the last that fired. No nulls.
 
+    With `start` an alert began before its time, and that beginning must be `cooldown` or more after the last; a later
+    alert doesn't begin earlier.
+
     Time is cut into blocks of `blocks` cooldowns, so a rule with very many alerts is split. In a block each alert points
     to the next that could fire after it, which tells for every alert that may come first in it how the block ends. Only
     such alerts, those within a cooldown of the block's beginning and one more, are folded along the rule's blocks; then
     every block is read again with the last alert before it.
     """
-    own = alerts.select(F.col(rule).alias("k"), F.col(ts).cast("double").alias("t"))
+    own = alerts.select(F.col(rule).alias("k"), F.col(ts).cast("double").alias("t"), F.col(start or ts).cast("double").alias("s"))
     if cooldown <= 0:
         return alerts.select(rule, ts)
     own = own.withColumn("b", F.floor(F.col("t") / (blocks * cooldown)))
     kind = dict(own.dtypes)["k"]
 
     def ends(group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group["t"].to_numpy())
-        step, out = _pointers(t, cooldown), np.empty(len(t))
+        t, s = np.sort(group["t"].to_numpy()), np.sort(group["s"].to_numpy())
+        step, out = _pointers(t, s, cooldown), np.empty(len(t))
         for i in range(len(t) - 1, -1, -1):
             out[i] = t[i] if step[i] == len(t) else out[step[i]]
         begin = float(group["b"].iloc[0]) * blocks * cooldown
-        n = min(len(t), int(np.searchsorted(t, begin + cooldown, "right")) + 1)
-        return pd.DataFrame({"k": [group["k"].iloc[0]], "b": [group["b"].iloc[0]], "firsts": [t[:n].tolist()], "lasts": [out[:n].tolist()]})
+        n = min(len(t), int(np.searchsorted(s, begin + cooldown, "right")) + 1)
+        return pd.DataFrame({"k": [group["k"].iloc[0]], "b": [group["b"].iloc[0]], "firsts": [s[:n].tolist()], "lasts": [out[:n].tolist()]})
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         last, before = -math.inf, []
@@ -183,9 +187,9 @@ def alert_cooldown(alerts: DataFrame, rule: str, ts: str, cooldown: float, block
         return pd.DataFrame({"k": [group["k"].iloc[0]] * len(before), "b": np.sort(group["b"].to_numpy()), "last": before})
 
     def fired(group: pd.DataFrame) -> pd.DataFrame:
-        t, last = np.sort(group["t"].to_numpy()), float(group["last"].iloc[0])
-        step, out = _pointers(t, cooldown), []
-        fits = np.flatnonzero(t - last >= cooldown)
+        t, s, last = np.sort(group["t"].to_numpy()), np.sort(group["s"].to_numpy()), float(group["last"].iloc[0])
+        step, out = _pointers(t, s, cooldown), []
+        fits = np.flatnonzero(s - last >= cooldown)
         at = int(fits[0]) if len(fits) else len(t)
         while at < len(t):
             out.append(t[at])

@@ -83,9 +83,10 @@ def conversation_report(turns: DataFrame, session: str, pressure: Column, flagge
     return turns.groupBy(session).agg(F.count("*").alias("n_turns"), F.round(F.avg(pressure), 6).alias("mean_pressure"), F.sum(flagged.cast("int")).alias("n_flagged"))
 
 
-def split_stream_segments(tokens: DataFrame, session: str, position: str, token: str, ends: str = r"[.!?;]$") -> DataFrame:
-    """Text of each segment of a token stream; a segment ends after a token that ends a sentence."""
+def split_stream_segments(tokens: DataFrame, session: str, position: str, token: str, ends: str = r"[.!?;]$", most: int = 20) -> DataFrame:
+    """Text of each segment of a token stream; a segment ends after a token that ends a sentence, or after `most` tokens."""
     w = Window.partitionBy(session).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     own = tokens.withColumn("segment", F.coalesce(F.sum(F.col(token).rlike(ends).cast("int")).over(w), F.lit(0)))
+    own = own.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(session, "segment").orderBy(position)) - 1) / most))
     words = F.array_sort(F.collect_list(F.struct(position, token)))
-    return own.groupBy(session, "segment").agg(F.concat_ws(" ", F.transform(words, lambda x: x[token])).alias("text"), F.count("*").alias("n_tokens"))
+    return own.groupBy(session, "segment", "part").agg(F.concat_ws(" ", F.transform(words, lambda x: x[token])).alias("text"), F.count("*").alias("n_tokens"))

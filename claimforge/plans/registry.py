@@ -562,4 +562,4 @@ def stream_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _to_end(spark, make, _events(spark, sf_dir), "ts")
 
 
-from claimforge.plans import memory, more, reason, trust, truth  # noqa: E402, F401  their queries join the registry
+from claimforge.plans import memory, more, reason, signals, trust, truth  # noqa: E402, F401  their queries join the registry
