@@ -30,6 +30,10 @@ def _held(text: Column, words: tuple[str, ...]) -> Column:
     return n
 
 
+def _millionths(x: Column) -> Column:
+    return F.round(x * 1_000_000).cast("long")
+
+
 def prior_intensity(df: DataFrame, session: str, turn: str, text: str, absolute: tuple[str, ...] = ABSOLUTE, factual: tuple[str, ...] = FACTUAL, back: int = 5) -> DataFrame:
     """`prior`: how sure each text sounds, 0.5 to 1: absolute words, density of factual verbs, and the mean share of its
     runs of three characters that each of the `back` texts before it in the session has.
@@ -44,7 +48,7 @@ def prior_intensity(df: DataFrame, session: str, turn: str, text: str, absolute:
     repeat = shared / F.greatest(F.size("_g"), F.lit(1)) / F.greatest(F.size("_before"), F.lit(1))
     density = _held(F.lower(t), factual) / F.greatest(F.length(t), F.lit(1))
     score = 0.5 + F.least(0.08 * _held(F.lower(t), absolute), F.lit(0.3)) + F.least(15 * density, F.lit(0.15)) + F.least(0.15 * repeat, F.lit(0.15))
-    return own.withColumn("prior", F.round(F.least(score, F.lit(1.0)), 6)).drop("_g", "_before")
+    return own.withColumn("prior", _millionths(F.least(score, F.lit(1.0))) / 1_000_000).drop("_g", "_before")
 
 
 def sensory_precision(findings: DataFrame, key: str, verdict: str, confidence: str, source: str) -> DataFrame:
@@ -72,11 +76,11 @@ def hallucination_report(findings: DataFrame, session: str, turn: str, text: str
     own = prior_intensity(findings, session, turn, text, **words)
     share = F.coalesce(*(F.when(F.col(verdict) == v, s) for v, s in SHARE_OF_VERDICT.items()), F.lit(0.1))
     x = F.coalesce(F.col(confidence), F.lit(0.0)) * share
-    own = own.withColumn("_i", F.round(F.col("prior") - F.round(F.least(0.9 * x + 0.05, F.lit(1.0)), 6), 6))
-    own = own.withColumn("_l", index_level(F.col("_i")))
+    own = own.withColumn("_i", _millionths(F.col("prior")) - _millionths(F.least(0.9 * x + 0.05, F.lit(1.0))))
+    own = own.withColumn("_l", index_level(F.col("_i") / 1_000_000))
     n = lambda level: F.sum((F.col("_l") == level).cast("int"))
     out = own.groupBy(session).agg(
-        F.count("*").alias("n"), F.sum(F.round(F.col("_i") * 1_000_000).cast("long")).alias("_sum"),
+        F.count("*").alias("n"), F.sum("_i").alias("_sum"),
         *(n(x).alias(f"n_{x}") for x in ("critical", "high", "moderate")),
     )
     level = F.when(F.col("n_critical") > 0, "critical").when(F.col("n_high") > 0, "high").when(F.col("n_moderate") > F.floor(F.col("n") / 2), "moderate").otherwise("low")

@@ -18,14 +18,14 @@ TWO = {"person": ("er ", " the "), "place": (" in ", " la ", "on "), "event": ("
 held = lambda text, words: " + ".join(f"contains(lower({text}), '{w}')::INT" for w in words)
 PRIOR = """tg AS (SELECT *, CASE WHEN length(x) >= 3 THEN list_distinct([substr(x, i, 3) for i in range(1, length(x) - 1)]) ELSE [] END gr FROM told),
 th AS (SELECT *, row_number() OVER w - 1 back, {lags} FROM tg WINDOW w AS (PARTITION BY k ORDER BY o)),
-prior AS (SELECT *, round(least(1, 0.5 + least(0.08 * ({absolute}), 0.3) + least(15.0 * ({factual}) / greatest(length(x), 1), 0.15)
-  + least(0.15 * (({shared})::DOUBLE / greatest(len(gr), 1) / greatest(least(back, 5), 1)), 0.15))::DOUBLE, 6) p FROM th)""".format(
+prior AS (SELECT *, round(1000000 * least(1, 0.5 + least(0.08 * ({absolute}), 0.3) + least(15.0 * ({factual}) / greatest(length(x), 1), 0.15)
+  + least(0.15 * (({shared})::DOUBLE / greatest(len(gr), 1) / greatest(least(back, 5), 1)), 0.15))::DOUBLE)::BIGINT p FROM th)""".format(
     lags=", ".join(f"lag(gr, {k}) OVER w g{k}" for k in range(1, 6)), absolute=held("x", ABSOLUTE), factual=held("x", FACTUAL), shared=" + ".join(f"coalesce(len(list_intersect(gr, g{k})), 0)" for k in range(1, 6))
 )
 SHARE = "CASE verdict WHEN 'contradicted' THEN 1.0 WHEN 'verified' THEN 0.5 ELSE 0.1 END::DOUBLE"
 
 
-@query(f"""WITH told AS (SELECT conv_id k, turn o, coalesce(text, '') x FROM conversations), {PRIOR} SELECT k conv_id, o turn, p "prior" FROM prior""")
+@query(f"""WITH told AS (SELECT conv_id k, turn o, coalesce(text, '') x FROM conversations), {PRIOR} SELECT k conv_id, o turn, p / 1000000 "prior" FROM prior""")
 def prior_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sure each turn sounds, with the five turns before it."""
     own = signals.prior_intensity(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", ABSOLUTE, FACTUAL)
@@ -42,8 +42,8 @@ def sensory_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {truth.PAIRS}, {truth.VOTES}, {truth.JUDGED}, {truth.BEST}, {truth.RESULTS}, told AS (SELECT doc_id k, sent_no o, claim x, verdict, confidence FROM results), {PRIOR},
-i AS (SELECT k, round(p - round(least(1, 0.9 * (confidence * {SHARE}) + 0.05), 6), 6) i FROM prior),
-n AS (SELECT k doc_id, count(*) n, sum(round(i * 1000000)::BIGINT)::BIGINT s, count(*) FILTER (i > 0.5) n_critical, count(*) FILTER (i > 0.25 AND i <= 0.5) n_high, count(*) FILTER (i > 0.05 AND i <= 0.25) n_moderate FROM i GROUP BY 1)
+j AS (SELECT k, p - round(1000000 * least(1, 0.9 * (confidence * {SHARE}) + 0.05)::DOUBLE)::BIGINT s FROM prior), i AS (SELECT k, s, s / 1000000 i FROM j),
+n AS (SELECT k doc_id, count(*) n, sum(s)::BIGINT s, count(*) FILTER (i > 0.5) n_critical, count(*) FILTER (i > 0.25 AND i <= 0.5) n_high, count(*) FILTER (i > 0.05 AND i <= 0.25) n_moderate FROM i GROUP BY 1)
 SELECT doc_id, n, s / n / 1000000 "index", CASE WHEN n_critical > 0 THEN 'critical' WHEN n_high > 0 THEN 'high' WHEN n_moderate > n // 2 THEN 'moderate' ELSE 'low' END "level", n_critical, n_high, n_moderate FROM n"""
 )
 def hallucination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
