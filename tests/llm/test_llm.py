@@ -425,7 +425,7 @@ def test_media_equals_brute_force_with_stronger_edits(spark):
     described = [{i: media.describe(media.decode_netpbm(b)) for i, b in rows} for rows in (media_rows, query_rows)]
     near = lambda v, w: (np.bitwise_count((v[:, None, :] ^ w[None]).view(np.uint32)).sum(2) <= 15).any(1).sum()
     want = {(i, j): media.agreement(p, v, q, w, 30) for i, (p, v) in described[1].items() for j, (q, w) in described[0].items() if i != j and near(v, w) >= 2}
-    want = {k: n for k, n in want.items() if n >= 5}
+    want = {k: n for k, n in want.items() if n >= 6}
     schema = "media_id long, image binary"
     table, asked = spark.createDataFrame(media_rows, schema), spark.createDataFrame([(-1 - i, b) for i, b in query_rows], schema)
     got = {(-1 - r.query_id, r.media_id): r.n_agree for r in media.find_copies(table, asked).collect()}
