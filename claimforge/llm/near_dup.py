@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, slices, stage_table
+from .common import partitions, sized, stage_table
 from .graph import components
 from .rarity import needed, rarity_levels, slots
-from .setjoin import Overlap, candidates, crowded, ordered_tokens, parity
+from .setjoin import CROWD, Overlap, candidates, crowded, ordered_tokens, parity
 from .words import Words, batch_words, labelled, mix, shingles
 
 K = 5
@@ -26,6 +26,9 @@ NO_ID = -(2**63)
 FIRST = 3
 #: Bits of a text's mark: the bit of each word, labelled by its occurrences, is flipped once.
 MARK_BITS = 2048
+#: Pairs of texts that a task looks at together.
+CELLS = 1 << 20
+_EPS = 1e-6
 
 
 def order_sketches(words: Words, n_sketches: int, size: int, k: int = K) -> np.ndarray:
@@ -132,11 +135,19 @@ def _sketch(docs: DataFrame, n_sketches: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, n int, sketches array<long>, mark array<long>")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, least: float, share: bool = False) -> DataFrame:
-    """The pairs (akid, bkid) of numbers of texts that align, as pairs (a, b) of keys.
+def _plausible(pairs: DataFrame, known: DataFrame, least: float, share: bool = False) -> DataFrame:
+    """The pairs (akid, bkid) of numbers of texts that can align by lengths and marks; share: and share a sketch."""
+    side = lambda s: known.select(*(F.col(c).alias(f"{s}{c}") for c in ("kid", "n", "mark", *(["sketches"] if share else []))))
+    own = pairs.join(side("a"), "akid").join(side("b"), "bkid")
+    differ = F.aggregate(F.zip_with("amark", "bmark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    need = least * F.greatest("an", "bn") - _EPS
+    own = own.where((F.least("an", "bn") >= need) & (differ <= F.col("an") + F.col("bn") - 2 * need))
+    own = own.where(F.arrays_overlap("asketches", "bsketches")) if share else own
+    return stage_table(own.select("akid", "bkid"), "plausible")
 
-    Lengths and marks tell most others before texts are fetched; share: only texts that share a sketch are candidates.
-    """
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (akid, bkid) of numbers of texts that align, as pairs (a, b) of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,20 +164,98 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, least: float
                 at += len(text_a)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    side = lambda s: known.select(*(F.col(c).alias(f"{s}{c}") for c in ("kid", "n", "mark", *(["sketches"] if share else []))))
-    own = pairs.join(side("a"), "akid").join(side("b"), "bkid")
-    differ = F.aggregate(F.zip_with("amark", "bmark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    need = least * F.greatest("an", "bn") - 1e-6
-    own = own.where((F.least("an", "bn") >= need) & (differ <= F.col("an") + F.col("bn") - 2 * need))
-    own = own.where(F.arrays_overlap("asketches", "bsketches")) if share else own
-    own = stage_table(own.select("akid", "bkid"), "plausible")
     text = lambda s: texts.select(F.col("kid").alias(f"{s}kid"), F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
-    own = own.join(text("a"), "akid").join(text("b"), "bkid").select("a", "b", "text_a", "text_b")
+    own = pairs.join(text("a"), "akid").join(text("b"), "bkid").select("a", "b", "text_a", "text_b")
     return stage_table(own.mapInArrow(run, "a binary, b binary"), "verified")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+def open_pairs(part: np.ndarray, n: np.ndarray, mark: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i < j of texts of different parts that can align by their lengths and marks, and the bits in which these differ."""
+    step = max(1, CELLS // max(1, len(n)))
+    for k in range(0, len(n), step):
+        own, rest = slice(k, k + step), slice(k, len(n))
+        low, high = np.minimum(n[own, None], n[None, rest]), np.maximum(n[own, None], n[None, rest])
+        i, j = np.nonzero((part[own, None] != part[None, rest]) & (low >= least * high - _EPS) & ~np.tri(len(n[own]), len(n[rest]), dtype=bool))
+        for at in range(0, len(i), CELLS // MARK_BITS * 64):
+            a, b = i[at : at + CELLS // MARK_BITS * 64] + k, j[at : at + CELLS // MARK_BITS * 64] + k
+            differ = np.bitwise_count(mark[a] ^ mark[b]).sum(1, dtype=np.int64)
+            keep = differ <= n[a] + n[b] - 2 * (least * np.maximum(n[a], n[b]) - _EPS)
+            yield a[keep], b[keep], differ[keep]
+
+
+def _bucket_pairs(open_: DataFrame, known: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs (akid, bkid) of texts of a bucket's different parts that can align by their lengths and marks.
+
+    open_ has bucket, chunk, kid and part; the texts of a bucket's chunk, CROWD or so, are compared in one task. A pair comes
+    at the first bucket that it shares. With nearest, each text comes with the one text of all chunks whose mark is nearest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            flat = {c: rows.column(c).to_numpy() for c in ("bucket", "chunk", "kid", "part", "n")}
+            mark, sketches = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) for c in ("mark", "sketches"))
+            edge = np.flatnonzero((np.diff(flat["bucket"]) != 0) | (np.diff(flat["chunk"]) != 0)) + 1
+            for low, high in zip([0, *edge.tolist()], [*edge.tolist(), rows.num_rows], strict=True):
+                kid, own, bucket = flat["kid"][low:high], sketches[low:high], flat["bucket"][low]
+                best, near = np.full(len(kid), np.iinfo(np.int64).max), np.zeros(len(kid), np.int64)
+                for a, b, differ in open_pairs(flat["part"][low:high], flat["n"][low:high].astype(np.int64), mark[low:high].view(np.uint64), least):
+                    if nearest:
+                        for x, y in ((a, b), (b, a)):
+                            order = np.lexsort((differ, x))
+                            first = order[np.append(True, np.diff(x[order]) != 0)] if len(order) else order
+                            better = first[differ[first] < best[x[first]]]
+                            best[x[better]], near[x[better]] = differ[better], y[better]
+                        continue
+                    same = own[a] == own[b]
+                    at = same.argmax(1)
+                    keep = (own[a, at] == bucket) | ~same[np.arange(len(a)), at]
+                    yield from _numbered(kid[a[keep]], kid[b[keep]], differ[keep])
+                if nearest:
+                    found = best < np.iinfo(np.int64).max
+                    yield from _numbered(kid[found], kid[near[found]], best[found])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column("bucket").to_numpy(), batch.column("chunk").to_numpy()
+            new = int(np.argmax((last[0] == last[0][-1]) & (last[1] == last[1][-1])))  # where the batch's last chunk begins
+            before = held[-1] if held else None
+            if before is not None and (new or (before.column("bucket")[-1], before.column("chunk")[-1]) != (batch.column("bucket")[0], batch.column("chunk")[0])):
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, new)]))
+                held = [batch.slice(new)]
+            elif new:
+                yield from done(pa.Table.from_batches([batch.slice(0, new)]))
+                held = [batch.slice(new)]
+            else:
+                held.append(batch)
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    rows = open_.join(known, "kid").select("bucket", "chunk", "kid", "part", "n", "mark", "sketches")
+    rows = rows.repartition(partitions(rows.sparkSession), "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "kid")
+    found = rows.mapInArrow(run, "x long, y long, differ long")
+    if nearest:
+        found = found.groupBy("x").agg(F.min(F.struct("differ", "y")).alias("s")).select("x", F.col("s.y").alias("y"))
+    return found.select(F.least("x", "y").alias("akid"), F.greatest("x", "y").alias("bkid")).distinct()
+
+
+def _numbered(x: np.ndarray, y: np.ndarray, differ: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(x), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 10_000]) for c in (x, y, differ)], names=["x", "y", "differ"])
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of the buckets that hold several parts: bucket, size, key, kid, component, part and chunk.
+
+    labels: node, component. A bucket of more than CROWD texts is dealt to chunks of half as many.
+    """
+    own = members.select("key", "kid", "bucket").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    own = stage_table(own.withColumn("component", F.coalesce("component", "key")), "labelled")
+    held = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    chunk = F.when(F.col("size") > CROWD, F.pmod(F.xxhash64("kid"), F.ceil(2 * F.col("size") / CROWD))).otherwise(0).cast("long").alias("chunk")
+    return own.join(held.where("low <> high").select("bucket", "size"), "bucket").select("bucket", "size", "key", "kid", "component", F.xxhash64("component").alias("part"), chunk)
 
 
 def _prefix_pairs(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -212,9 +301,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     order-MinHash sketches, each of the sketch_size smallest five-word shingles in text order.
 
     In a bucket of texts with one sketch, texts are first compared with its lowest one, each text with FIRST such ones;
-    where a bucket then still holds several classes, with two others. What are different classes after that is joined
-    exactly, on the rarest words of each text. So a large group of copies costs few comparisons, and every two texts in
-    a bucket end up in one class or are known to differ. Buckets are only aggregated and joined.
+    where a bucket then still holds several classes, each text with the one whose mark is nearest. What are different
+    classes after that is compared as far as lengths and marks allow, in buckets of CROWD texts or fewer; larger ones are
+    joined exactly, on the rarest words of each text. So a large group of copies costs few comparisons, and every two
+    texts in a bucket end up in one class or are known to differ.
 
     A null text counts as empty; texts without words are linked to equal ones only. Null ids come last in the choice of
     class_id. Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
@@ -237,31 +327,31 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ordered = [F.least("kid", "other").alias("akid"), F.greatest("kid", "other").alias("bkid")]
     centers = members.where("kid <> center").groupBy("kid").agg(F.array_sort(F.collect_set("center")).alias("centers"))  # at most n_sketches each
     done = stage_table(centers.select("kid", F.explode(F.slice("centers", 1, FIRST)).alias("other")).select(*ordered).distinct(), "pairs")
-    links = _verified(done, known, texts, least)
-    labels = components(links)
-    # two others of each bucket that isn't one class
-    again = stage_table(_labelled(members.select("key", "kid", "bucket"), labels), "labelled")
-    drawn = F.xxhash64("kid")
-    others = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("kid", "component"), drawn).alias("x"), F.max_by(F.struct("kid", "component"), drawn).alias("y"))
-    others = others.where("low <> high").select("bucket", F.explode(F.array("x", "y")).alias("o")).select("bucket", F.col("o.kid").alias("other"), F.col("o.component").alias("theirs"))
-    pairs = again.join(others, "bucket").where("component <> theirs").select(*ordered).distinct()
-    pairs = stage_table(pairs.join(done, ["akid", "bkid"], "left_anti"), "pairs")
+    links = _verified(_plausible(done, known, least), texts, least)
+    # the nearest one of each text in buckets that aren't one class, as far as the links of the first step tell
+    both = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    opened = _open(members, both.select("node", F.least("node", "low").alias("component")))
+    pairs = stage_table(_bucket_pairs(opened, known, least, True).join(done, ["akid", "bkid"], "left_anti"), "pairs")
     done = done.union(pairs)
-    links = links.union(_verified(pairs, known, texts, least))
-    labels = components(links)
+    links = links.union(_verified(pairs, texts, least))
     # whatever two classes of a bucket are left
-    again = stage_table(_labelled(members.select("key", "bucket"), labels), "labelled")
-    open_buckets = again.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = again.join(open_buckets, "bucket", "left_semi").select("key", "component").distinct()
-    pairs = _prefix_pairs(left, texts, least).select(F.least("akid", "bkid").alias("akid"), F.greatest("akid", "bkid").alias("bkid"))
-    links = links.union(_verified(pairs.join(done, ["akid", "bkid"], "left_anti"), known, texts, least, share=True))
+    opened = stage_table(_open(members, components(links)), "open")
+    pairs = _bucket_pairs(opened.where(F.col("size") <= CROWD), known, least, False)
+    pairs = stage_table(pairs.join(done, ["akid", "bkid"], "left_anti"), "pairs")
+    links = links.union(_verified(pairs, texts, least))
+    left = opened.where(F.col("size") > CROWD).select("key", "component").distinct()
+    if not left.isEmpty():
+        done = done.union(pairs)
+        pairs = _prefix_pairs(left, texts, least).select(F.least("akid", "bkid").alias("akid"), F.greatest("akid", "bkid").alias("bkid"))
+        links = links.union(_verified(_plausible(pairs.join(done, ["akid", "bkid"], "left_anti"), known, least, share=True), texts, least))
     labels = components(links)
 
     # per text first, so that a large group of copies is a few numbers
     per_text = sketched.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     linked = per_text.join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = linked.where("component is not null").groupBy("component").agg(F.min("low").alias("class_id"), F.sum("copies").alias("n_class"))
-    per_text = linked.join(named, "component", "left").select("key", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", "copies").alias("n_class"))
+    linked = linked.withColumn("component", F.coalesce("component", "key"))  # no null, which would gather all other texts in one task
+    per_text = linked.join(named, "component", "left").select("key", F.coalesce("class_id", "low").alias("class_id"), F.coalesce("n_class", "copies").alias("n_class"))
     return sketched.select("doc_id", "key").join(stage_table(per_text, "classes"), "key").select("doc_id", "key", "class_id", "n_class")
 
 

@@ -219,6 +219,54 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.near_duplicate_classes(df.limit(0)).count() == 0 and near_dup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def edited():
+    """Copies of one text, some edited so much that they are hardly alike, behind a passage that they share."""
+    rng, base, passage = np.random.default_rng(12), [f"b{k}" for k in range(150)], [f"p{k}" for k in range(40)]
+    texts = {}
+    for i in range(90):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(8, 60)), replace=False):
+            own[at] = f"e{rng.integers(10**6)}"
+        texts[i] = " ".join(passage + own if i % 3 else own)
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [4096, 12])
+def test_near_duplicates_in_large_buckets_equal_brute_force(spark, monkeypatch, edited, crowd):
+    """In buckets that are compared in tasks and in those that are dealt to chunks and joined; few other pairs are made."""
+    monkeypatch.setattr(near_dup, "CROWD", crowd, raising=False)
+    made, verified = [], near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *a, **b: (made.append(pairs.count()), verified(pairs, *a, **b))[1])
+    df = spark.createDataFrame(list(edited.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(df).collect()}
+    found = words.batch_words(pa.array(list(edited.values())))
+    sketches, ends = near_dup.order_sketches(found, 32, 2), np.searchsorted(found.text, np.arange(91))
+    want, fit = {i: i for i in edited}, 0  # the smallest text of each class
+    for i, j in itertools.combinations(edited, 2):
+        x, y = (found.hashes[ends[k] : ends[k + 1]] for k in (i, j))
+        fit += (Counter(x.tolist()) & Counter(y.tolist())).total() >= 0.8 * max(len(x), len(y))
+        if (sketches[i] == sketches[j]).any() and near_dup.alignment_similarity(x, y, 0.8):
+            low, high = sorted((want[i], want[j]))
+            want = {k: low if v == high else v for k, v in want.items()}
+    assert got == want
+    assert sum(made) <= fit, (made, fit)
+
+
+def test_open_pairs_equal_brute_force(monkeypatch, edited):
+    monkeypatch.setattr(near_dup, "CELLS", 4096)
+    found = words.batch_words(pa.array(list(edited.values())))
+    mark, n, part = near_dup.word_marks(found).view(np.uint64), np.bincount(found.text), np.arange(90) % 7
+    want = {}
+    for i, j in itertools.combinations(range(90), 2):
+        differ = sum(int(x).bit_count() for x in mark[i] ^ mark[j])
+        if part[i] != part[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-6 and differ <= n[i] + n[j] - 1.6 * max(n[i], n[j]) + 2e-6:
+            want[i, j] = differ
+    got = [(a, b, d) for x in near_dup.open_pairs(part, n, mark, 0.8) for a, b, d in zip(*map(np.ndarray.tolist, x), strict=True)]
+    assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want and want
+    assert not list(near_dup.open_pairs(part[:0], n[:0], mark[:0], 0.8))
+
+
 def test_alignment_equals_plain_lcs():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.alignment_similarity(a, a, 0.8) == 1
