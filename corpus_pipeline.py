@@ -11,29 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from claimforge.llm import line_dup, near_dup, packing, pii, quality
 from claimforge.llm.common import new_path, scratch
 
+#: Documents that go to a Python worker at once; both sides hold whole texts of so many.
+BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's number of rows of an Arrow batch to BATCH; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; those with null or empty texts fail the base rules."""
+    _small_batches(spark)
     return quality.filter_quality(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and with them documents that have no other words."""
+    _small_batches(spark)
     return line_dup.drop_repeated_lines(docs, min_words=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies stays: the one of smallest id, and one of repeated rows."""
+    _small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; other texts stay as they are."""
+    _small_batches(spark)
     return pii.redact_pii(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' pieces in training sequences; a document without a token but its end is one piece."""
+    _small_batches(spark)
     return packing.pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

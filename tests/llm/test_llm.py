@@ -550,6 +550,17 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
         assert f(spark, empty, "").count() == 0
 
 
+def test_pipeline_stages_use_small_batches(spark, docs):
+    """A Python worker gets BATCH rows at once; a lower number that was set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for was, want in (("10000", 1000), ("0", 1000), ("70", 70)):
+        for _, f in corpus_pipeline.STAGES[:1]:
+            spark.conf.set(key, was)
+            f(spark, docs, "")
+            assert int(spark.conf.get(key)) == want
+    spark.conf.unset(key)
+
+
 def test_shards_are_cut_by_bytes(spark):
     """Cuts stand where running sizes pass equal targets, so sizes are equal but for a document."""
     rng = np.random.default_rng(2)
