@@ -234,3 +234,10 @@ def test_streams_of_state_do_not_depend_on_partitions(spark):
             want.add((u, i))
             until[u], n[u], held[u] = t + min(1800, 300 * 6 ** n.get(u, 0)), n.get(u, 0) + 1, []
     assert banned == want
+
+
+def test_word_edges_are_those_of_sql(spark):
+    """Letters outside ASCII end a word, as in SQL's patterns: the filler 'no' of 'Noël', and 'all' of 'allée'."""
+    df = spark.createDataFrame([("Noël Marchand speaks",), ("the Tallé allée",), ("Nobody waits here",)], "sentence string")
+    got = {r.sentence: r.claim_type for r in claims.extract_claims(df).collect()}
+    assert got == {"the Tallé allée": "absolute", "Nobody waits here": "other"}
