@@ -102,3 +102,10 @@ def test_stream_drift_equals_the_windows(spark):
 
 def test_registered_stream_names():
     assert {"stream_alert", "stream_ban", "stream_session_drift", "check_statements", "check_graph", "kg_rules_fuzzy"} <= set(registry.QUERIES)
+
+
+def test_streams_read_folders_of_files(spark, tmp_path):
+    """A table that is a folder of part files gives the stream the same rows as one file."""
+    turns = spark.createDataFrame([(c, t, "user", f"the {c} ignore {t}") for c in range(3) for t in range(4)], "conv_id long, turn long, role string, text string")
+    turns.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    assert registry.QUERIES["stream_session_drift"](spark, f"{tmp_path}/many").count() == 12
