@@ -241,3 +241,12 @@ def test_word_edges_are_those_of_sql(spark):
     df = spark.createDataFrame([("Noël Marchand speaks",), ("the Tallé allée",), ("Nobody waits here",)], "sentence string")
     got = {r.sentence: r.claim_type for r in claims.extract_claims(df).collect()}
     assert got == {"the Tallé allée": "absolute", "Nobody waits here": "other"}
+
+
+def test_weighted_votes_are_added_in_the_order_given(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.6 in doubles and 0.3 + 0.2 + 0.1 is not, so the order decides a tie, not the partitions."""
+    one = [(1, "verified", 0.1, 1), (1, "verified", 0.2, 2), (1, "verified", 0.3, 3), (1, "contradicted", 0.6, 4)]
+    two = [(2, v, w, 5 - o) for _, v, w, o in one]
+    v = spark.createDataFrame([(k, v, w, 1.0, o) for k, v, w, o in one + two], "k int, verdict string, weight double, confidence double, o int")
+    for n in (1, 5, 8):
+        assert {r.k: r.verdict for r in votes.vote_weighted(v.repartition(n, "o"), ["k"], "o").collect()} == {1: "verified", 2: "contradicted"}
