@@ -51,7 +51,7 @@ def test_flagship_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["vote_majority", "vote_weighted", "compare_vote_modes"])
+@pytest.mark.parametrize("name", ["vote_majority", "vote_weighted", "compare_vote_modes", "consensus_score"])
 def test_sums_are_those_of_the_files_order(spark, tmp_path, name):
     """Last bits of sums decide ties, so they must not depend on how Spark deals rows out; SQL in one thread adds in files' order."""
     lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
