@@ -174,8 +174,9 @@ def similar_memories(memories: DataFrame, least: float = 0.6, recall_wanted: flo
     Equal vectors of a type are compared once, by their smallest id (members of equal vectors are linked to it). The rows
     of a type are dealt into buckets by the signs of random projections; the largest type decides how many signs a bucket
     has (none while a type fits a block: every pair is then compared, exactly) and how many times that is done, so that a
-    pair at `least` meets with a chance of `recall_wanted`. A bucket's rows are compared in blocks of `block` by matrix
-    products; pairs found are exact. Null ids, types and vectors have no pairs; zero vectors are like none.
+    pair at `least` meets with a chance of `recall_wanted`. With recall_wanted 1 a type is one bucket, whatever its size,
+    and no pair is lost. A bucket's rows are compared in blocks of `block` by matrix products, each pair of blocks in a task;
+    pairs found are exact. Null ids, types and vectors have no pairs; zero vectors are like none.
     """
     spark = memories.sparkSession
     rows = memories.where("id is not null and type is not null and vector is not null").select(F.col("id").cast("long").alias("id"), F.col("type").cast("string").alias("type"), F.col("vector").cast("array<double>").alias("vector"))
@@ -186,7 +187,7 @@ def similar_memories(memories: DataFrame, least: float = 0.6, recall_wanted: flo
     copies = copies.join(own.where(zero).select(F.col("id").alias("a")), "a", "left_anti")
     different = own.join(reps.select("id"), "id", "left_semi").where(~zero).select("id", "type", "vector")
     largest = different.groupBy("type").count().agg(F.max("count")).head()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, largest) / block)))
+    bits = max(0, math.ceil(math.log2(max(1, largest) / block))) if recall_wanted < 1 else 0
     meet = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
     tables = 1 if bits == 0 else math.ceil(math.log(1 - recall_wanted) / math.log(1 - meet))
 

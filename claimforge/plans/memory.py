@@ -53,7 +53,7 @@ reach(id, other) AS (SELECT id, id FROM unit UNION SELECT reach.id, e.b FROM rea
 
 @query(f'{CLUSTERS} SELECT id, "cluster", count(*) OVER (PARTITION BY "cluster") n FROM c')
 def cluster_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.cluster_memories(_memories(spark, sf_dir), LEAST)
+    return memory.cluster_memories(_memories(spark, sf_dir), LEAST, recall_wanted=1)
 
 
 @query(
