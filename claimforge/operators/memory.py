@@ -231,10 +231,12 @@ def cluster_memories(memories: DataFrame, least: float = 0.6, recall_wanted: flo
 
 def merge_memories(memories: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row per cluster: the most important member's id (the smaller of equal ones), type, tags of all in order, mean
-    importance, largest decay and how many they were."""
-    own = memories.join(clusters.select("id", "cluster"), "id")
+    importance, largest decay and how many they were. Importances are added in the order of ids, so that a mean at the edge
+    of rounding doesn't depend on how Spark deals rows out; thousandths are rounded as SQL does, after multiplying."""
+    line = Window.partitionBy("cluster").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = memories.join(clusters.select("id", "cluster"), "id").withColumn("_s", F.sum(F.coalesce("importance", F.lit(0.5))).over(line))
     best = F.min_by(F.struct("id", "type"), F.struct((-F.coalesce("importance", F.lit(0.0))).alias("i"), "id"))
-    out = own.groupBy("cluster").agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"), F.round(F.avg(F.coalesce("importance", F.lit(0.5))), 3).alias("importance"), F.max("decay").alias("decay"), F.count("*").alias("n"))
+    out = own.groupBy("cluster").agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"), (F.round(F.max_by("_s", "id") / F.count("*") * 1000) / 1000).alias("importance"), F.max("decay").alias("decay"), F.count("*").alias("n"))
     return out.select("cluster", F.col("b.id").alias("id"), F.col("b.type").alias("type"), "tags", "importance", "decay", "n")
 
 

@@ -62,7 +62,7 @@ SELECT "cluster", first(id ORDER BY imp DESC, id) id, first(label ORDER BY imp D
 )
 def merge_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _memories(spark, sf_dir)
-    return memory.merge_memories(own, memory.cluster_memories(own, LEAST)).withColumn("tags", F.concat_ws(",", "tags"))
+    return memory.merge_memories(own, memory.cluster_memories(own, LEAST, recall_wanted=1)).withColumn("tags", F.concat_ws(",", "tags"))
 
 
 @query("SELECT vec_id id, round((vec_id % 100) / 100 * exp(-((1 + vec_id % 5) / 100) * (vec_id % 365)), 6) importance_now, (vec_id % 100) / 100 * exp(-((1 + vec_id % 5) / 100) * (vec_id % 365)) < 0.05 archived FROM embeddings")

@@ -152,3 +152,20 @@ def test_forgetting(spark):
     frame = spark.createDataFrame([(1, 1.0, 0.1, 10), (2, 0.5, 0.5, 10), (3, None, 0.5, 1)], "id long, importance double, decay double, d long")
     got = {r.id: (r.importance_now, r.archived) for r in memory.apply_forgetting(frame, F.col("d")).collect()}
     assert got == {1: (round(math.exp(-1), 6), False), 2: (round(0.5 * math.exp(-5), 6), True), 3: (None, None)}
+
+
+def test_exact_clusters_and_means_in_order(spark):
+    """With recall_wanted 1 every pair is found however large a type is, and a mean at a rounding edge is that of the ids' order."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(900, 8))
+    frame = spark.createDataFrame([(i, "a", [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, type string, vector array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T, 1) >= 0.8))}
+    assert {(r.a, r.b) for r in memory.similar_memories(frame, 0.8, 1, block=64).collect()} == want
+    weights = [k % 100 / 100 for k in range(1, 41)]
+    total = 0.0
+    for w in weights:
+        total += w
+    rows = spark.createDataFrame([(i, 0, [], w, 0.1) for i, w in enumerate(weights)], "id long, type int, tags array<string>, importance double, decay double").repartition(7)
+    clusters = rows.select("id", F.lit(0).cast("long").alias("cluster"))
+    assert memory.merge_memories(rows, clusters).first().importance == pytest.approx(round(total / len(weights), 3), abs=1e-12)
