@@ -250,3 +250,18 @@ def test_weighted_votes_are_added_in_the_order_given(spark):
     v = spark.createDataFrame([(k, v, w, 1.0, o) for k, v, w, o in one + two], "k int, verdict string, weight double, confidence double, o int")
     for n in (1, 5, 8):
         assert {r.k: r.verdict for r in votes.vote_weighted(v.repartition(n, "o"), ["k"], "o").collect()} == {1: "verified", 2: "contradicted"}
+
+
+def test_names_that_many_rows_have_are_compared_once(spark):
+    """5 names of 4,000 rows: the pairs that are joined are those of names; each row's best is the smallest other id."""
+    names = ["large ring", "hot bolt", "large rings", "cold bolt", "zinc nut"]
+    parts = spark.createDataFrame([(i, names[i % 5] if i else "lone name here") for i in range(4000)], "id long, text string")
+    for operator, key, found in ((similarity.best_match, "claim_id", "fact_id"), (similarity.fuzzy_entity, "name_id", "entity_id")):
+        out = operator(parts.where("id % 20 < 4"), parts, others=True)
+        got = {r[key]: r[found] for r in out.collect()}
+        assert 0 not in got  # nothing is like the lone name but itself
+        first = {1: 1, 2: 2, 3: 3, 0: 5}
+        for k, v in got.items():
+            assert v == (first[k % 5] if k != first[k % 5] else first[k % 5] + 5)
+        assert len(got) == 799
+    assert {r.text: list(r.ids) for r in similarity.same_text(parts).collect()}["hot bolt"] == [1, 6]
