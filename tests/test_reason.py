@@ -109,3 +109,14 @@ def test_streams_read_folders_of_files(spark, tmp_path):
     turns = spark.createDataFrame([(c, t, "user", f"the {c} ignore {t}") for c in range(3) for t in range(4)], "conv_id long, turn long, role string, text string")
     turns.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
     assert registry.QUERIES["stream_session_drift"](spark, f"{tmp_path}/many").count() == 12
+
+
+def test_makers_are_joined_by_different_things(spark):
+    """Many subjects that made a few things: a claim meets each thing once, not each maker."""
+    made = [(f"S{i}", "INVENTED", f"engine{'abc'[i % 3]}") for i in range(300)] + [("S900", "INVENTED", "wheel")]
+    triples = spark.createDataFrame(made, "subj string, rel string, obj string")
+    claims = spark.createDataFrame([(1, "S0", "INVENTED", "enginea"), (2, "S900", "INVENTED", "wheel"), (3, "S1", "INVENTED", "wheel"), (4, "S3", "INVENTED", "engined"), (5, None, "INVENTED", "wheel")], "claim_id int, subj string, rel string, obj string")
+    out = graph.kg_contradictions(claims, triples)
+    assert {r.claim_id: r.confidence for r in out.collect()} == {1: 0.8, 3: 0.8, 4: 0.75}
+    asked = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(" in asked and "max(" in asked  # the makers of a thing are one row
