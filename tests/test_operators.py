@@ -265,3 +265,17 @@ def test_names_that_many_rows_have_are_compared_once(spark):
             assert v == (first[k % 5] if k != first[k % 5] else first[k % 5] + 5)
         assert len(got) == 799
     assert {r.text: list(r.ids) for r in similarity.same_text(parts).collect()}["hot bolt"] == [1, 6]
+
+
+def test_similar_pairs_join_makes_no_candidates(spark):
+    """Sets that share a rare gram and little else don't leave the join; the pairs equal brute force, with one side and with two."""
+    rng = __import__("random").Random(5)
+    sets = {i: sorted({f"g{rng.randrange(60)}" for _ in range(rng.randint(1, 14))} | {"common"}) for i in range(120)}
+    frame = spark.createDataFrame(list(sets.items()), "id long, grams array<string>")
+    share = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    for least in (0.3, 0.5, 0.8):
+        got = {(r.left_id, r.right_id) for r in similarity.similar_pairs(frame.where("id < 60"), frame, least).collect()}
+        assert got == {(a, b) for a in range(60) for b in sets if share(a, b) >= least}
+        assert {(r.left_id, r.right_id) for r in similarity.similar_pairs(frame, None, least).collect()} == {(a, b) for a, b in itertools.combinations(sets, 2) if share(a, b) >= least}
+    plan = similarity.similar_pairs(frame, frame, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect(left_id_rest" in "".join(line for line in plan.splitlines() if "Join" in line)
